@@ -55,8 +55,11 @@ def _fixed_part(pattern: str) -> str:
 
 def _java_pattern(pattern: str) -> str:
     """``\\b`` made Unicode-aware: Java's own reads accented letters as boundaries."""
-    pattern = re.sub(r"^\\b", f"(?<![{WORD}])", pattern)
-    return re.sub(r"\\b$", f"(?![{WORD}])", pattern)
+    if pattern.startswith(r"\b"):
+        pattern = f"(?<![{WORD}])" + pattern[2:]
+    if pattern.endswith(r"\b"):
+        pattern = pattern[:-2] + f"(?![{WORD}])"
+    return pattern
 
 
 def _mentions(lowered: Column, pattern: str) -> Column:

@@ -199,6 +199,14 @@ def change_classes(jobs: DataFrame, feed: DataFrame, crawls: DataFrame) -> DataF
     )
 
 
+def vanished(jobs: DataFrame, feed: DataFrame, crawls: DataFrame) -> DataFrame:
+    """Live postings of validly crawled companies that the feed no longer has."""
+    valid = crawls.filter("ok").select("company_id").distinct()
+    seen = accepted_feed(feed, crawls).select("id")
+    live = jobs.filter(F.col("delisted_at").isNull()).join(valid, "company_id", "left_semi")
+    return live.join(seen, "id", "left_anti")
+
+
 def copy_transitions(feed: DataFrame, classes: DataFrame) -> DataFrame:
     """For ids that occur more than once in a feed: how many copies changed the content in turn."""
     repeated = classes.filter("copies > 1").select("id", "change", "old_hash")
