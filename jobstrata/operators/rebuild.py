@@ -12,6 +12,7 @@ from jobstrata import constants as C
 from jobstrata import schemas
 from jobstrata.functions import scoring
 from jobstrata.functions.skills import or_empty
+from jobstrata.operators.plugins import as_frame, as_records
 from jobstrata.operators.predicates import pending_extraction, pending_family
 from jobstrata.operators.scans import global_order
 
@@ -29,7 +30,6 @@ def collect_outcomes(postings: DataFrame, make_model: Callable[[], Model], attem
     with the facts, ``prompt_tokens`` and ``completion_tokens``. It may raise; nothing is lost.
     Write the result to a table before merging it, so that no reply is paid for twice.
     """
-    names = schemas.OUTCOMES.fieldNames()
 
     def ask(model: Model, posting: dict) -> dict:
         error = None
@@ -46,11 +46,7 @@ def collect_outcomes(postings: DataFrame, make_model: Callable[[], Model], attem
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for batch in batches:
-            replies = [ask(model, row) for row in batch.to_dict("records")]
-            frame = pd.DataFrame(replies, columns=names)
-            for name in ("salary_min", "salary_max", "prompt_tokens", "completion_tokens"):
-                frame[name] = frame[name].astype("Int32")
-            yield frame
+            yield as_frame([ask(model, row) for row in as_records(batch)], schemas.OUTCOMES)
 
     wanted = postings.select("id", "title", "description_raw", "location")
     return wanted.mapInPandas(run, schemas.OUTCOMES)

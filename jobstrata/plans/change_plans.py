@@ -164,13 +164,7 @@ SELECT 'c' || user_id % 10 AS company_id, CAST(user_id AS VARCHAR) AS posting_id
 FROM spans""",
 )
 def spans(spark, sf_dir):
-    events = X.table(spark, sf_dir, "events").select(
-        F.concat(F.lit("c"), F.col("user_id") % 10).alias("company_id"),
-        F.col("user_id").cast("string").alias("posting_id"),
-        F.to_date("ts").alias("day"),
-        (F.col("event_type") != "error").alias("observed"),
-    )
-    found = lifecycle_spans(events)
+    found = lifecycle_spans(X.crawl_log(spark, sf_dir))
     return found.select(
         "company_id", "posting_id", F.col("live_from").cast("string"), F.col("last_seen").cast("string"),
         F.col("delisted_on").cast("string"), "crawls_seen", "opened_as",

@@ -420,3 +420,13 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ok, 20 + k % 60).otherwise(0).cast("int").alias("completion_tokens"),
         F.when(~ok, F.lit("TimeoutError: no reply")).alias("error"),
     )
+
+
+def crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as crawl observations: users are postings, an error means the posting was not seen."""
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("c"), F.col("user_id") % 10).alias("company_id"),
+        F.col("user_id").cast("string").alias("posting_id"),
+        F.to_date("ts").alias("day"),
+        (F.col("event_type") != "error").alias("observed"),
+    )

@@ -21,9 +21,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def registered_sql(name: str) -> str | None:
+    """The twin of a query that was registered before."""
+    return _REGISTRY[name][1]
+
+
 def registered() -> dict[str, tuple[Query, str | None]]:
     from jobstrata.plans import (  # noqa: F401 - importing fills the registry
         change_plans,
+        flow_plans,
         scalar_plans,
         search_plans,
         source_plans,

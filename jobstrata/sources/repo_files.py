@@ -16,7 +16,7 @@ def files_of(paths: DataFrame, root: str) -> DataFrame:
     repository; files directly in the root belong to none.
     """
     prefix = root.rstrip("/") + "/"
-    inner = F.substring_index("path", F.lit(prefix), -1)
+    inner = F.substr("path", F.locate(prefix, "path") + len(prefix))
     parts = F.split(inner, "/")
     skipped = F.array(*[F.lit(d) for d in C.SKIPPED_DIRECTORIES])
     name = F.element_at(parts, -1)
