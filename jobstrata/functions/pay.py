@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobstrata import constants as C
-from jobstrata.functions.text import SPACE, strip
+from jobstrata.functions.text import SPACE, plain_spaces, strip
 
 # --- Fixed values: the pay range pattern ---------------------------------------
 _CURRENCY = r"(\$|usd|eur|€|gbp|£)?"
@@ -52,8 +52,8 @@ def _read_range(found: Column) -> Column:
 def pay_from_text(text: Column) -> Column:
     """The first stated and plausible range as a struct, else null. Nothing is inferred."""
     # Any range has two digits, blanks or a 'k' at most, and a dash word: a cheap first test.
-    worth_reading = text.rlike(rf"(?i)\d[k{SPACE}]*{_DASH}[{SPACE}]*(?:\$|usd|eur|€|gbp|£)?[{SPACE}]*\d")
-    found = F.when(worth_reading, F.regexp_extract_all(text, F.lit(PAY_RANGE), F.lit(0)))
+    worth_reading = plain_spaces(text).rlike(rf"(?i)\d[k{SPACE}]*{_DASH}[{SPACE}]*(?:\$|usd|eur|€|gbp|£)?[{SPACE}]*\d")
+    found = F.when(worth_reading, F.regexp_extract_all(plain_spaces(text), F.lit(PAY_RANGE), F.lit(0)))
     plausible = F.filter(
         F.transform(found, _read_range),
         lambda r: (r["max"] >= r["min"])
@@ -76,22 +76,17 @@ def json_int(value: Column) -> Column:
     )
 
 
-def json_pay(container: Column, low: str, high: str, currency: str) -> Column:
-    """Both bounds of a vendor structure; one unreadable bound voids both, never the currency."""
+def json_pay(low: Column, high: Column, currency: Column) -> Column:
+    """Two variant bounds as pay; one unreadable bound voids both, never the currency."""
 
-    def bound(key: str) -> tuple[Column, Column]:
-        raw = F.try_variant_get(container, f"$.{key}", "variant")
-        stated = raw.isNotNull() & ~F.is_variant_null(raw)
-        value = F.when(stated, json_int(raw))
+    def read(bound: Column) -> tuple[Column, Column]:
+        stated = bound.isNotNull() & ~F.coalesce(F.is_variant_null(bound), F.lit(True))
+        value = F.when(stated, json_int(bound))
         return value, ~stated | value.isNotNull()
 
-    (low_value, low_ok), (high_value, high_ok) = bound(low), bound(high)
+    (low_value, low_ok), (high_value, high_ok) = read(low), read(high)
     both = low_ok & high_ok
-    return pay(
-        F.when(both, low_value),
-        F.when(both, high_value),
-        F.try_variant_get(container, f"$.{currency}", "string"),
-    )
+    return pay(F.when(both, low_value), F.when(both, high_value), currency)
 
 
 _UNITS = {"w": 10_000, "万": 10_000, "k": 1_000, "m": 1_000_000}

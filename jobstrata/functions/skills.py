@@ -53,13 +53,18 @@ def _fixed_part(pattern: str) -> str:
     return text
 
 
-def _java_pattern(pattern: str) -> str:
-    """``\\b`` made Unicode-aware: Java's own reads accented letters as boundaries."""
-    if pattern.startswith(r"\b"):
-        pattern = f"(?<![{WORD}])" + pattern[2:]
-    if pattern.endswith(r"\b"):
-        pattern = pattern[:-2] + f"(?![{WORD}])"
-    return pattern
+def _java_pattern(pattern: str, fixed: str) -> str:
+    """``pattern`` with Unicode word boundaries, tested after the fixed part has been found.
+
+    Java's own ``\\b`` reads accented letters as boundaries; a look-behind in front of the text
+    would be tried at every character.
+    """
+    begins, ends = pattern.startswith(r"\b"), pattern.endswith(r"\b")
+    body = pattern[2 if begins else 0 : len(pattern) - (2 if ends else 0)]
+    head = re.escape(fixed).replace(r"\ ", " ")
+    rest = body[len(fixed if body.startswith(fixed) else re.escape(fixed)) :]
+    before = f"(?<![{WORD}]{head})" if begins else ""
+    return head + before + rest + (f"(?![{WORD}])" if ends else "")
 
 
 def _mentions(lowered: Column, pattern: str) -> Column:
@@ -68,7 +73,7 @@ def _mentions(lowered: Column, pattern: str) -> Column:
     found = F.contains(lowered, F.lit(fixed))
     if pattern in (re.escape(fixed), fixed, fixed + pattern[-2:-1] + "?"):
         return found
-    return found & lowered.rlike(_java_pattern(pattern))
+    return found & lowered.rlike(_java_pattern(pattern, fixed))
 
 
 def lowered_text(text: Column) -> Column:

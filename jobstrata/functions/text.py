@@ -6,13 +6,18 @@ import html
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Unicode word and space characters, spelled out because Java's \w and \s are ASCII by default.
+# Unicode word characters, spelled out because Java's \\w is ASCII by default.
 WORD = r"\p{L}\p{N}_"
-SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
+# White space up to U+00FF, character by character: Java tests such a list by one table look-up,
+# but every range or property in it by a chain of calls. The wider blanks are mapped to it first.
+_ODD = r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
+SPACE = " " + _ODD
+_WIDE = r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PERHAPS_WIDE = r"[\u1680\u2000-\u206f\u3000]"
 SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -23,9 +28,20 @@ def strip(text: Column, characters: str = SPACES) -> Column:
     return F.btrim(text, F.lit(characters))
 
 
+def plain_spaces(text: Column) -> Column:
+    """White space beyond U+00FF as single blanks; pass a column, it is read several times."""
+    return F.when(text.rlike(_PERHAPS_WIDE), F.regexp_replace(text, f"[{_WIDE}]", " ")).otherwise(text)
+
+
+def collapse(text: Column, odd: str = _ODD) -> Column:
+    """Every run of blanks and ``odd`` characters as one blank. Single blanks, by far the most
+    frequent, are left alone."""
+    return F.regexp_replace(text, f" [ {odd}]+|[{odd}][ {odd}]*", " ")
+
+
 def normalize_text(text: Column) -> Column:
     """Lower case, every run of white space one blank, no outer blanks; null becomes ''."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[{SPACE}]+", " "))
+    return F.trim(collapse(F.lower(F.coalesce(plain_spaces(text), F.lit("")))))
 
 
 def normalize_title(title: Column) -> Column:
@@ -62,7 +78,8 @@ def _replace_all(text: Column, pairs: dict[str, str]) -> Column:
 
 
 def unescape_basic(text: Column) -> Column:
-    return _replace_all(text, BASIC_ENTITIES)
+    """The basic entities only; for markup that uses no others."""
+    return F.when(F.contains(text, F.lit("&")), _replace_all(text, BASIC_ENTITIES)).otherwise(text)
 
 
 def unescape(text: Column) -> Column:
@@ -71,31 +88,28 @@ def unescape(text: Column) -> Column:
     return F.coalesce(_unescape_all(rare), unescape_basic(text))
 
 
-_BLOCK_TAGS = {
-    "</p>": "\n\n",
-    "<br>": "\n",
-    "<br/>": "\n",
-    "<br />": "\n",
-    "</li>": "\n",
-    "<li>": "• ",
-}
+# --- Fixed values: tags that become line breaks or bullets ----------------------
+_BLOCK_TAGS = {"</p>": "\n\n", "<br(?: ?/)?>|</li>": "\n", "<li>": "• "}
 
 
-def _markup_to_text(raw: Column, decode) -> Column:
-    text = _replace_all(decode(F.coalesce(raw, F.lit(""))), _BLOCK_TAGS)
-    text = decode(F.regexp_replace(text, "<[^>]+>", ""))
-    text = F.regexp_replace(text, r"[ \t\r\f\x0b]+", " ")
-    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+def with_plain_text(df: DataFrame, markup: str, out: str, decode=unescape) -> DataFrame:
+    """Adds ``out``: entity-encoded or plain HTML of column ``markup`` as readable text, '' for null.
 
-
-def html_to_text(raw: Column) -> Column:
-    """Entity-encoded or plain HTML to readable text; null becomes ''."""
-    return _markup_to_text(raw, unescape)
-
-
-def html_to_text_basic(raw: Column) -> Column:
-    """:func:`html_to_text` for markup that only uses the basic entities; fully native."""
-    return _markup_to_text(raw, unescape_basic)
+    The steps are columns of their own: each is read several times, and as one nested expression
+    they would be computed anew for every reading.
+    """
+    tagless = F.col("_decoded")
+    for tag, shown in {**_BLOCK_TAGS, "<[^>]+>": ""}.items():
+        tagless = F.regexp_replace(tagless, tag, shown)
+    tagless = F.when(F.contains("_decoded", F.lit("<")), tagless).otherwise(F.col("_decoded"))
+    shown = F.regexp_replace(collapse(decode(F.col("_tagless")), r"\t\r\x0c\x0b"), r"\n{3,}", "\n\n")
+    return (
+        df.withColumn("_markup", F.coalesce(F.col(markup), F.lit("")))
+        .withColumn("_decoded", decode(F.col("_markup")))
+        .withColumn("_tagless", tagless)
+        .withColumn(out, strip(shown))
+        .drop("_markup", "_decoded", "_tagless")
+    )
 
 
 _ISO = (

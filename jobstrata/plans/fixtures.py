@@ -38,6 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ensure_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores, as of one small file, spread over the cores; a table of
+    many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _rows(spark: SparkSession, sf_dir: str, name: str) -> Column:
     """Row count of a table as a scalar subquery; parquet answers it from its footers."""
     return table(spark, sf_dir, name).agg(F.count(F.lit(1))).scalar()
@@ -65,7 +72,7 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def postings(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
     """Every order as a posting, with the helper columns the tables below are cut from."""
     k = F.col("k")
-    orders = table(spark, sf_dir, "orders").select(
+    orders = _spread(table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey").alias("k"),
         (F.col("o_custkey") % _rows(spark, sf_dir, "supplier")).alias("company_no"),
         F.col("o_orderstatus").alias("status"),
@@ -79,7 +86,8 @@ def postings(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataF
     df = orders.join(parts, "part_no")
     if with_text:
         docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_no"), "text")
-        df = df.join(docs, "doc_no")
+        # Both sides grow with the data, and the text is read row by row afterwards: shuffle both.
+        df = df.join(docs.hint("merge"), "doc_no")
 
     days = lambda n: F.make_dt_interval(days=n.cast("int"))
     vendor = _pick(C.VENDORS, F.col("company_no") % 3)
@@ -346,7 +354,7 @@ def landing(spark: SparkSession, sf_dir: str, vendor: str | None = None) -> Data
         )
         body = F.to_json("jobs") if name == "lever" else F.to_json(F.struct("jobs"))
         page = grouped.select(
-            "company_id", "vendor", "tenant", "page_no", F.lit(200).alias("status"), body.alias("body"),
+            "company_id", F.lit(name).alias("vendor"), "tenant", "page_no", F.lit(200).alias("status"), body.alias("body"),
             F.lit(None).cast("string").alias("error"), now().alias("crawl_ts"),
         )
         pages = page if pages is None else pages.unionByName(page)

@@ -60,12 +60,13 @@ def _decode_sql(extra: dict[str, str]):
     f"SELECT page_id, {_markup_sql(_decode_sql({'&copy;': 'chr(169)', '&middot;': 'chr(183)'}))} AS plain FROM pages",
 )
 def html_to_text(spark, sf_dir):
-    return X.table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("plain"))
+    return text.with_plain_text(X.table(spark, sf_dir, "pages"), "html", "plain").select("page_id", "plain")
 
 
 @query("html_to_text_basic", f"SELECT page_id, {_markup_sql(_decode_sql({}))} AS plain FROM pages")
 def html_to_text_basic(spark, sf_dir):
-    return X.table(spark, sf_dir, "pages").select("page_id", text.html_to_text_basic(F.col("html")).alias("plain"))
+    pages = X.table(spark, sf_dir, "pages")
+    return text.with_plain_text(pages, "html", "plain", decode=text.unescape_basic).select("page_id", "plain")
 
 
 @query(
