@@ -280,13 +280,14 @@ def ingest(
     now = as_timestamp(now)
     accepted = accepted_feed(feed, crawls)
     crawled = crawls.filter("ok").select("company_id", F.lit(True).alias("_crawled")).distinct()
-    settled = _settled_feed(accepted)
     relisted = relist_lookup(jobs, accepted).select(
         "id", F.col("relist_count").alias("_relists"), F.col("first_seen_at").alias("_inherited")
     )
+    # Joined to the feed first: behind the outer join its partitioning by id would be lost.
+    settled = _settled_feed(accepted).join(relisted, "id", "left")
     old = jobs.join(crawled, "company_id", "left")
     old = old.select("id", F.struct(*jobs.columns, "_crawled").alias("old"))
-    both = settled.join(old, "id", "full_outer").join(relisted, "id", "left")
+    both = settled.join(old, "id", "full_outer")
 
     is_new = F.col("old").isNull()
     seen = F.col("content_hash").isNotNull()

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from jobstrata.operators import ingest, maintenance
 from jobstrata.operators.plugins import extract_with
-from tests.helpers import NOW, by_id, companies, crawls, days_ago, feed, jobs
+from tests.helpers import NOW, by_id, companies, crawls, days_ago, explain, feed, jobs
 
 
 def after(spark, state, rows, ok=None, **kwargs):
@@ -164,3 +164,20 @@ def test_backfill(spark):
     stats = maintenance.backfill_stats(state, fresh, ok).first()
     assert (stats.jobs_dated, stats.jobs_no_ats_date, stats.jobs_unmatched, stats.ghost_recomputed) == (1, 1, 1, 2)
     assert (stats.companies_fetched, stats.companies_failed) == (1, 1)
+
+
+def test_wide_rows_are_shuffled_once(spark, tmp_path):
+    """With no side small enough to broadcast, state and feed still only move to meet on the id."""
+    jobs(spark, {"id": "acme:1"}).write.parquet(str(tmp_path / "jobs"))
+    feed(spark, {"ats_job_id": "1"}).write.parquet(str(tmp_path / "feed"))
+    stored = spark.read.parquet(str(tmp_path / "jobs")), spark.read.parquet(str(tmp_path / "feed"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = explain(ingest.ingest(stored[0], companies(spark, "acme"), stored[1], crawls(spark, acme=True), NOW).jobs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    tree = plan.split("\n\n")[0].splitlines()
+    top = next(i for i, line in enumerate(tree) if "FullOuter" in line)
+    assert not any("Exchange" in line for line in tree[:top])
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
