@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobstrata.llm.common import let
+
 WIDTH = 10
 #: Beyond so many windows the set is not broadcast: probes and windows are then shuffled by hash.
 MAX_BROADCAST_WINDOWS = 2_000_000
@@ -22,13 +24,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(TOKEN), F.lit(0))
 
 
-def _key(words: Column, start: Column, width: int) -> Column:
-    return F.xxhash64(*[F.get(words, start + i) for i in range(width)])
+def _keys(hashes: Column, width: int) -> Column:
+    """A 64-bit key for every window of ``width`` words, from the words' own hashes."""
+    starts = F.when(F.size(hashes) >= width, F.sequence(F.lit(0), F.size(hashes) - width)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
 
 
-def _probes(words: Column, width: int) -> Column:
-    starts = F.when(F.size(words) >= width, F.sequence(F.lit(0), F.size(words) - width)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(F.lit(width).alias("length"), i.alias("at"), _key(words, i, width).alias("key")))
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda word: F.xxhash64(word))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -39,7 +42,7 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     cut = items.select("item_id", length.alias("length"), F.explode(F.transform(starts, lambda i: F.slice("_words", i + 1, length))).alias("window"))
     return cut.groupBy("length", "window").agg(F.collect_set("item_id").alias("items")).select(
         "length", F.array_join("window", " ").alias("window_text"), "items",
-        F.coalesce(*[F.when(F.col("length") == n, _key(F.col("window"), F.lit(0), n)) for n in range(1, width + 1)]).alias("key"),
+        F.coalesce(*[F.when(F.col("length") == n, F.get(_keys(_hashes(F.col("window")), n), F.lit(0))) for n in range(1, width + 1)]).alias("key"),
     )
 
 
@@ -51,26 +54,35 @@ def find_passages(jobs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max
     """
     windows = benchmark_windows(benchmark, width)
     lengths = {r["length"]: r["n"] for r in windows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    probes = []
-    words = F.col("_words")
+    text_key = F.xxhash64("description_raw").alias("_text")
+    split = jobs.select("id", text_key, tokens(F.col("description_raw")).alias("_words"))
+    # The first probe always hits; it keeps postings without any passage, so that no second scan of the texts is needed.
+    always = F.array(F.lit(0).cast("long"))
+
+    def probes(hashes: Column) -> Column:
+        return F.concat(always, *[_keys(hashes, n) for n in sorted(lengths)])
+
+    probed = split.select("id", "_text", "_words", F.size("_words").cast("long").alias("n_words"), F.posexplode(let(_hashes(F.col("_words")), probes)).alias("_pos", "_key"))
+    # Where a probe lies: all windows of the smallest length come first, then those of the next.
+    at, passed = F.when(F.col("_pos") == 0, F.lit(-1)), F.lit(1)
+    length = F.when(F.col("_pos") == 0, F.lit(0))
     for n in sorted(lengths):
-        probes.append(_probes(words, n))
-    # One probe that always hits keeps postings without any passage: no second scan of the texts is needed for them.
-    always = F.array(F.struct(F.lit(0).alias("length"), F.lit(-1).alias("at"), F.lit(0).cast("long").alias("key")))
-    split = jobs.select("id", tokens(F.col("description_raw")).alias("_words"), F.xxhash64("description_raw").alias("_text"))
-    probed = split.select("id", "_text", "_words", F.size("_words").cast("long").alias("n_words"), F.explode(F.concat(always, *probes)).alias("_probe"))
+        here = F.greatest(F.col("n_words").cast("int") - n + 1, F.lit(0))
+        at, length = at.when(F.col("_pos") < passed + here, F.col("_pos") - passed), length.when(F.col("_pos") < passed + here, F.lit(n))
+        passed = passed + here
     spark = jobs.sparkSession
     sentinel = spark.range(1).select(F.lit(0).alias("length"), F.lit("").alias("window_text"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("key"))
     known = windows.select("length", "window_text", "items", "key").union(sentinel).select(*[F.col(c).alias(f"w_{c}") for c in ("length", "window_text", "items", "key")])
     if sum(lengths.values()) <= max_broadcast:
         known = F.broadcast(known)
-    same_words = F.array_join(F.slice("_words", F.greatest(F.col("_probe.at"), F.lit(0)) + 1, F.col("_probe.length")), " ") == F.col("w_window_text")
-    hits = probed.join(known, (F.col("_probe.key") == F.col("w_key")) & (F.col("_probe.length") == F.col("w_length"))).filter(same_words)
+    hits = probed.join(known, F.col("_key") == F.col("w_key")).withColumns({"_at": at, "_length": length})
+    same_words = F.array_join(F.slice("_words", F.greatest(F.col("_at"), F.lit(0)) + 1, F.col("_length")), " ") == F.col("w_window_text")
+    hits = hits.filter((F.col("_length") == F.col("w_length")) & same_words)
     return (
         hits.groupBy("id", "_text").agg(
             F.max("n_words").alias("n_words"),
-            F.count(F.when(F.col("_probe.at") < 0, True)).alias("_copies"),
-            F.sort_array(F.collect_set(F.when(F.col("_probe.at") >= 0, F.struct(F.col("_probe.at").alias("at"), F.col("_probe.length").alias("length"))))).alias("hits"),
+            F.count(F.when(F.col("_at") < 0, True)).alias("_copies"),
+            F.sort_array(F.collect_set(F.when(F.col("_at") >= 0, F.struct(F.col("_at").alias("at"), F.col("_length").alias("length"))))).alias("hits"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("w_items")))).alias("items"),
         )
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))

@@ -55,7 +55,7 @@ sketch AS (
 own AS ({_quartiles('lang, source, ')}), bylang AS ({_quartiles('lang, ')}), overall AS ({_quartiles('')}),
 limits AS (
   SELECT o.lang, o.source, {_limit('symbol_rate', 100)} AS max_symbol_rate, {_limit('word_length', 150)} AS max_word_length,
-    {_limit('word_length', 150, True)} AS min_word_length, {_limit('repeat_rate', 150)} AS max_repeat_rate, {_limit('dup_line_rate', 300)} AS max_dup_line_rate
+    {_limit('word_length', 150, True)} AS min_word_length, {_limit('repeat_rate', 450)} AS max_repeat_rate, {_limit('dup_line_rate', 500)} AS max_dup_line_rate
   FROM own o LEFT JOIN bylang l ON l.lang IS NOT DISTINCT FROM o.lang CROSS JOIN overall g)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   coalesce(NOT base_failed AND word_length >= min_word_length AND word_length <= max_word_length AND symbol_rate <= max_symbol_rate

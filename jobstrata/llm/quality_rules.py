@@ -29,8 +29,8 @@ class Limits:
     spread: int = 3
     symbol_rate: int = 100  # symbols per 1000 words
     word_length: int = 150  # hundredths of a character
-    repeat_rate: int = 150  # repeated words per 1000
-    dup_line_rate: int = 300  # repeated lines per 1000
+    repeat_rate: int = 450  # repeated words per 1000
+    dup_line_rate: int = 500  # repeated lines per 1000
 
 
 def repeated_words(words: Column) -> Column:
@@ -120,14 +120,15 @@ def limits_of(sketch: DataFrame, limits: Limits) -> DataFrame:
     """Per language and source: ``max_`` of each measure and ``min_word_length``."""
     own = quartiles(sketch, ["language", "source"], "own_")
     by_language = quartiles(merged(sketch, ["language"]), ["language"], "language_").withColumnRenamed("language", "_language")
-    overall = quartiles(merged(sketch, []).withColumn("_one", F.lit(1)), ["_one"], "all_")
-    rows = own.withColumn("_one", F.lit(1)).join(by_language, F.col("language").eqNullSafe(F.col("_language")), "left").join(overall, "_one", "left")
+    overall = quartiles(merged(sketch, []), [], "all_")
+    rows = own.join(by_language, F.col("language").eqNullSafe(F.col("_language")), "left")
+    rows = rows.withColumn("_all", overall.select(F.struct(*overall.columns)).scalar())
 
     def level(name: str) -> Column:
         return (
             F.when(F.col("own_rows") >= limits.min_rows, F.col(f"own_{name}"))
             .when(F.col("language_rows") >= limits.min_rows, F.col(f"language_{name}"))
-            .otherwise(F.col(f"all_{name}"))
+            .otherwise(F.col(f"_all.all_{name}"))
         )
 
     out = {}

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobstrata.llm.common import shared_folder
 from jobstrata.session import ensure_utc
 
 NAMES = {"doc_id": "id", "text": "description_raw", "lang": "language"}
@@ -49,6 +50,27 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobstrata.llm.token_files import read_token_files, write_token_files
+
+    folder = shared_folder(spark, "token-files")
+    write_token_files(postings(spark, sf_dir), folder)
+    return read_token_files(spark, folder).withColumnRenamed("id", "doc_id")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobstrata.llm.quality_classifier import score_quality
+
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
+    return score_quality(postings(spark, sf_dir), labels).withColumnRenamed("id", "doc_id")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobstrata.llm.language_id import identify
+
+    return identify(postings(spark, sf_dir)).withColumnsRenamed({"id": "doc_id", "language_pred": "lang_pred"})
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobstrata.llm.mixing import mixed_sizes
 
@@ -56,5 +78,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_decontamination, op10_mixing)
+    f.__name__: f for f in (op1_quality_rules, op3_decontamination, op6_token_files, op8_quality_classifier, op9_language_id, op10_mixing)
 }
