@@ -7,7 +7,6 @@ task that runs twice leaves one copy. Reading decodes images in parallel; only o
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobstrata.llm import rans
+from jobstrata.llm.pieces import Pieces
 
 END = 0
 FILE_TOKENS = 1 << 22
-MAX_KNOWN = 700_000  # pieces kept per worker; the store starts anew beyond
+_BATCH = 1 << 20  # characters encoded at a time
 
 
 def default_vocabulary() -> str:
@@ -31,82 +31,23 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: A blank that no letter or digit follows.
-_LOOSE = re.compile(r" (?![^\W_])")
-
-
-class Pieces:
-    """Token ids, as little-endian bytes, of the pieces of texts.
-
-    A text is cut before every blank that a letter or digit follows. The vocabulary's own pre-tokenizer always starts a
-    new word there, so the ids of the pieces, one after another, are the ids of the text, and each different piece needs
-    to be encoded once. New pieces of a batch are encoded as one text; since tokens spell bytes, the ids of a piece are
-    those up to its number of bytes.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        special = {t for t in self.tokenizer.get_added_tokens_decoder()}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, number in vocabulary.items():  # byte-level vocabularies write each byte as one character
-            self.bytes_of[number] = len(token.encode()) if number in special else len(token)
-        self.known: dict[str, bytes] = {}
-
-    def _add(self, new: list[str]) -> None:
-        # The first piece of a text has no blank before it, so it can't follow another one.
-        first, rest = [p for p in new if p[:1] != " "], [p for p in new if p[:1] == " "]
-        for piece, coded in zip(first, self.tokenizer.encode_batch_fast(first, add_special_tokens=False)):
-            self.known[piece] = np.asarray(coded.ids, "<u4").tobytes()
-        for at in range(0, len(rest), 4096):
-            some = rest[at:at + 4096]
-            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(p.encode()) for p in some])
-            through = np.cumsum(self.bytes_of[ids])
-            cuts = np.searchsorted(through, ends) + 1
-            if len(ids) and (through[cuts - 1] != ends).any():
-                raise ValueError("a token crosses pieces: the vocabulary isn't byte-level")
-            data, start = ids.tobytes(), 0
-            for piece, cut in zip(some, (4 * cuts).tolist()):
-                self.known[piece] = data[start:cut]
-                start = cut
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > MAX_KNOWN:
-            self.known.clear()
-        ends, flat = [], []
-        for text in texts:
-            flat += self._cut(text)
-            ends.append(len(flat))
-        coded = list(map(self.known.get, flat))
-        if new := {piece for piece, found in zip(flat, coded) if found is None}:
-            self._add(sorted(new))
-            coded = list(map(self.known.get, flat))
-        return [b"".join(coded[a:b]) for a, b in zip([0, *ends], ends)]
-
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        if "\0" in text:
-            return [text]
-        pieces = text.replace(" ", "\0 ").split("\0")
-        if _LOOSE.search(text) is None:
-            return pieces
-        joined = [pieces[0]]
-        for piece in pieces[1:]:
-            if piece[1:2].isalnum():
-                joined.append(piece)
-            else:
-                joined[-1] += piece
-        return joined
-
-
 @lru_cache(maxsize=1)
 def _pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Consecutive texts of _BATCH characters or a little less; a longer one alone."""
+    start = size = 0
+    for k, text in enumerate(texts):
+        if k > start and size + len(text) > _BATCH:
+            yield start, k
+            start, size = k, 0
+        size += len(text)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def encode_postings(jobs: DataFrame, vocabulary: str | None = None, end: int = END, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """part, seq, tokens_before (in the part), tokens, ids, image: the file images in ascending id order.
 
@@ -123,27 +64,27 @@ def encode_postings(jobs: DataFrame, vocabulary: str | None = None, end: int = E
     ])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, last = _pieces(path), np.asarray([end], "<u4").tobytes()
-        ids, coded, size, seq, before, part = [], [], 0, 0, 0, 0
+        pieces, part, seq, before = _pieces(path), 0, 0, 0
+        ids, counts, coded, size = [], [], [], 0
 
         def image() -> pa.RecordBatch:
-            data = rans.encode(np.frombuffer(b"".join(coded), "<u4"), [len(c) // 4 for c in coded])
-            row = [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(ids_type)), pa.array([data], pa.binary())]
+            row = [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(ids_type)), pa.array([rans.encode(np.concatenate(coded), counts)], pa.binary())]
             return pa.RecordBatch.from_arrays(row, ["part", "seq", "tokens_before", "tokens", "ids", "image"])
 
         for batch in batches:
             ids_type = batch.column("id").type
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                part = some.column("part")[0].as_py()
-                for key, ids_bytes in zip(some.column("id").to_pylist(), pieces.encode(some.column("text").to_pylist())):
-                    ids.append(key)
-                    coded.append(ids_bytes + last)
-                    size += len(ids_bytes) // 4 + 1
-                    if size >= file_tokens:
-                        yield image()
-                        before, seq, size = before + size, seq + 1, 0
-                        ids, coded = [], []
+            keys, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
+            part = batch.column("part")[0].as_py() if keys else part
+            for a, b in _runs(texts):
+                found, own = pieces.encode(texts[a:b])
+                coded.append(np.insert(found, np.cumsum(own), end))
+                ids += keys[a:b]
+                counts += (own + 1).tolist()
+                size += len(coded[-1])
+                if size >= file_tokens:
+                    yield image()
+                    before, seq = before + size, seq + 1
+                    ids, counts, coded, size = [], [], [], 0
         if coded:
             yield image()
 
