@@ -40,6 +40,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobstrata.llm.repeated_spans import remove_repeats
+
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return remove_repeats(postings(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobstrata.llm.decontaminate import contamination
 
@@ -58,6 +67,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder).withColumnRenamed("id", "doc_id")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobstrata.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(postings(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobstrata.llm.quality_classifier import score_quality
 
@@ -78,5 +93,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_decontamination, op6_token_files, op8_quality_classifier, op9_language_id, op10_mixing)
+    f.__name__: f for f in (op1_quality_rules, op2_repeated_spans, op3_decontamination, op6_token_files, op7_near_duplicates, op8_quality_classifier, op9_language_id, op10_mixing)
 }
