@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobstrata.llm.common import shared_folder
@@ -59,6 +59,31 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobstrata.llm.url_filter import Rule, judge_urls
+
+    pages = table(spark, sf_dir, "pages").withColumnsRenamed({"page_id": "id", "url": "careers_url", "html": "description_raw"})
+    return judge_urls(pages, [Rule(*r) for r in URL_RULES]).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def _joined(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobstrata.llm.personal_data import KINDS, find_personal_data
+
+    found = find_personal_data(postings(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), *[_count(k) for k in KINDS], F.sha2(_joined("rule_spans"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("rule_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobstrata.llm.token_files import read_token_files, write_token_files
 
@@ -93,5 +118,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_repeated_spans, op3_decontamination, op6_token_files, op7_near_duplicates, op8_quality_classifier, op9_language_id, op10_mixing)
+    f.__name__: f for f in (op1_quality_rules, op2_repeated_spans, op3_decontamination, op4_url_filter, op5_personal_data, op6_token_files, op7_near_duplicates, op8_quality_classifier, op9_language_id, op10_mixing)
 }
