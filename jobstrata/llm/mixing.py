@@ -165,4 +165,4 @@ def mixed_texts(jobs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     joined = keyed.join(cuts, keyed["id"].eqNullSafe(cuts["_id"]) & (keyed["_copy"] == cuts["_copy_taken"]))
     mixed = F.get(F.transform(F.array(pieces), text), F.lit(0))
-    return joined.select(*[mixed.alias(c) if c == "description_raw" else keyed[c] for c in jobs.columns])
+    return joined.select(*[mixed.alias(c) if c == "description_raw" else keyed[f"`{c}`"] for c in jobs.columns])

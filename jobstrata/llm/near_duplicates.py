@@ -286,3 +286,9 @@ def near_duplicates(jobs: DataFrame) -> DataFrame:
     found = rows.select("id", "n_shingles", "digest").join(final, "digest", "left")
     own = found.withColumn("component_id", F.coalesce("component_id", "id"))
     return own.select("id", "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def keep_first(jobs: DataFrame) -> DataFrame:
+    """The postings, with all their columns, that come first in their group of near duplicates."""
+    later = near_duplicates(jobs).filter(~F.col("kept")).select(F.col("id").alias("_later"))
+    return jobs.join(later, F.col("id") == F.col("_later"), "left_anti")

@@ -98,7 +98,7 @@ def candidates(text: str) -> list[Span]:
                 if count > 19:
                     break
                 end = groups[j][1]
-                if j - i == 3 and count <= 12:
+                if j - i == 3 and count <= 12 and all(b - a <= 3 and int(text[a:b]) <= 255 for a, b in groups[i:j + 1]):
                     found.add((begin, 1, end))
                 if 13 <= count <= 19:
                     found.add((begin, 2, end))

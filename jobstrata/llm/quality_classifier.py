@@ -63,13 +63,13 @@ class RuleEnsemble:
     intercept: float
     rules: tuple[tuple[float, tuple[tuple[int, bool, float], ...]], ...]
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
         """The probability of good quality, from the statistics' columns."""
         total = F.lit(self.intercept)
         for weight, tests in self.rules:
             holds = F.lit(True)
             for feature, at_most, threshold in tests:
-                value = F.col(STATISTICS[feature])
+                value = F.col(f"`{prefix}{STATISTICS[feature]}`")
                 holds = holds & (value <= threshold if at_most else value > threshold)
             total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
@@ -154,3 +154,20 @@ def score_quality(jobs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     stats = written(statistics(jobs), "quality-statistics")
     score = fit(stats, labels, max_labelled).column()
     return stats.select("id", F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_good(jobs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The postings, with all their columns, that the ensemble predicts to be good.
+
+    The statistics are worked out once for fitting and once more beside the texts, which costs less than joining them.
+    """
+    score = fit(written(statistics(jobs), "quality-statistics"), labels, max_labelled).column("stat: ")
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in jobs.schema] + [f"`stat: {s}` double" for s in STATISTICS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.array([describe(t or "") for t in batch.column("description_raw").to_pylist()], float).reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in rows.T]], [*batch.schema.names, *[f"stat: {s}" for s in STATISTICS]])
+
+    good = jobs.mapInArrow(run, fields).filter(score >= 0.5)
+    return good.select(*[f"`{c}`" for c in jobs.columns])

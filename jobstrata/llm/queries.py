@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from jobstrata.llm.common import shared_folder
 from jobstrata.session import ensure_utc
 
-NAMES = {"doc_id": "id", "text": "description_raw", "lang": "language"}
+NAMES = {"doc_id": "id", "text": "description_raw", "lang": "language", "source": "source"}
+_OTHER = "other: "  # columns that no operator reads keep their names apart from those of postings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def as_postings(documents: DataFrame) -> DataFrame:
-    return documents.withColumnsRenamed(NAMES)
+    return documents.select(*[F.col(f"`{c}`").alias(NAMES.get(c, _OTHER + c)) for c in documents.columns])
 
 
 def as_documents(jobs: DataFrame) -> DataFrame:
-    return jobs.withColumnsRenamed({v: k for k, v in NAMES.items()})
+    back = {v: k for k, v in NAMES.items()}
+    return jobs.select(*[F.col(f"`{c}`").alias(back.get(c, c.removeprefix(_OTHER))) for c in jobs.columns])
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,12 +86,16 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("rule_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
-def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenised(jobs: DataFrame) -> DataFrame:
     from jobstrata.llm.token_files import read_token_files, write_token_files
 
-    folder = shared_folder(spark, "token-files")
-    write_token_files(postings(spark, sf_dir), folder)
-    return read_token_files(spark, folder).withColumnRenamed("id", "doc_id")
+    folder = shared_folder(jobs.sparkSession, "token-files")
+    write_token_files(jobs, folder)
+    return read_token_files(jobs.sparkSession, folder).withColumnRenamed("id", "doc_id")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenised(postings(spark, sf_dir))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,7 +145,7 @@ def find_runs(jobs: DataFrame, buckets: int) -> DataFrame:
     return jobs.mapInArrow(run, f"bucket long, settled boolean, m array<long>, r array<long>, id array<{kind}>, twin array<long>, start array<long>, strings array<int>")
 
 
-def settle(found: DataFrame, kind: str) -> DataFrame:
+def settle(found: DataFrame, kind: str, hot_runs: int = HOT) -> DataFrame:
     """id, twin, start, strings of runs that repeat an earlier one as a whole (``anchor`` null), and of the earliest of
     each kind of run where different runs share a minimiser (``anchor``), which need sorting."""
 
@@ -167,7 +167,7 @@ def settle(found: DataFrame, kind: str) -> DataFrame:
         pick = pa.array(np.concatenate([by[later], open_]))
         n_later = int(later.sum())
         anchors = pa.concat_arrays([pa.nulls(n_later, pa.int64()), m.take(pa.array(open_))])
-        hot = np.concatenate([np.zeros(n_later, bool), rivals[rivals > 1] > HOT])
+        hot = np.concatenate([np.zeros(n_later, bool), rivals[rivals > 1] > hot_runs])
         _, _, ids2, twins2, start2, strings2 = flat(table.filter(settled))
         n2 = len(ids2)
         return pa.table({
@@ -260,7 +260,7 @@ def sort_open_runs(opened: DataFrame, kind: str) -> DataFrame:
     return opened.groupBy("bucket").applyInArrow(run, f"id {kind}, twin long, start long, strings int")
 
 
-def remove_repeats(jobs: DataFrame) -> DataFrame:
+def remove_repeats(jobs: DataFrame, hot_runs: int = HOT) -> DataFrame:
     """id, n_bytes, spans (removed, as byte offsets from start to end), kept (the remaining bytes) of every posting.
 
     Input: id of any orderable type, description_raw; other columns are ignored. Null texts are empty. Strings never cross
@@ -270,7 +270,7 @@ def remove_repeats(jobs: DataFrame) -> DataFrame:
     kind = jobs.schema["id"].dataType.simpleString()
     texts = jobs.select("id", F.xxhash64("description_raw").alias("twin"), F.coalesce("description_raw", F.lit("")).cast("binary").alias("text"))
     buckets = _STEPS * int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = written(settle(find_runs(texts, buckets), kind), "runs")
+    found = written(settle(find_runs(texts, buckets), kind, hot_runs), "runs")
     keys = ["id", "twin"]
     marks = found.filter("anchor is not null").groupBy(*keys).agg(F.collect_set(F.struct("start", "strings", "anchor", "hot")).alias("open"))
     # Both joins shuffle the texts alike, so that one shuffle serves them; left joins keep rows without marks.
