@@ -28,7 +28,7 @@ _SPAN = LENGTH - GRAM + 1
 _CHUNK = 1 << 20  # positions within a chunk must fit 20 bits
 _PLACE = np.uint64(_CHUNK - 1)
 _HASH = PolyHash(21)
-_STEPS = 8  # buckets per shuffle partition
+_STEPS = 4  # buckets of runs per shuffle partition
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -269,8 +269,8 @@ def remove_repeats(jobs: DataFrame, hot_runs: int = HOT) -> DataFrame:
     """
     kind = jobs.schema["id"].dataType.simpleString()
     texts = jobs.select("id", F.xxhash64("description_raw").alias("twin"), F.coalesce("description_raw", F.lit("")).cast("binary").alias("text"))
-    buckets = _STEPS * int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = written(settle(find_runs(texts, buckets), kind, hot_runs), "runs")
+    buckets = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = written(settle(find_runs(texts, _STEPS * buckets), kind, hot_runs), "runs")
     keys = ["id", "twin"]
     marks = found.filter("anchor is not null").groupBy(*keys).agg(F.collect_set(F.struct("start", "strings", "anchor", "hot")).alias("open"))
     # Both joins shuffle the texts alike, so that one shuffle serves them; left joins keep rows without marks.
