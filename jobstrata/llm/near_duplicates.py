@@ -5,7 +5,7 @@ region is a run of sets with a common prefix of ``PREFIX`` values, and regions t
 Within a region the candidates are the edges of a maximum spanning forest over the estimated similarity, that is, every
 set's best neighbours, at most one edge less than sets. They are confirmed on full shingle sets read from the texts.
 A second pass takes every pair of a region that the estimate lets through and that the confirmed links don't join yet,
-so that a candidate that failed doesn't hide others. Two sets of similarity s meet in a tree with probability s^3: at
+so that a candidate that failed doesn't hide others; where those pairs are many, the region's full sets meet in its task. Two sets of similarity s meet in a tree with probability s^3: at
 0.75 all 20 trees miss a pair once in 55,000, at 0.8 once in 1.7 million.
 """
 
@@ -29,6 +29,7 @@ PERCENT = 75
 LOOSE, CLOSE = 0.53, 0.58
 #: A region that holds more sets is entered at full depth; if it is still larger, it is dealt into parts, anew in each tree.
 REGION = 20_000
+DENSE = 4  # pairs per set up to which the second pass lists them
 MAX_HOT = 100_000  # at most so many regions can hold more than their share of all rows
 BLOCK = 512
 _VALUES = TREES * DEPTH
@@ -168,12 +169,12 @@ def spanning(bits: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def unjoined(bits: np.ndarray, n: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
-    """All pairs of different groups whose estimate is at least CLOSE."""
+def unjoined(bits: np.ndarray, n: np.ndarray, known: np.ndarray) -> list[tuple[int, int]] | None:
+    """All pairs of different groups whose estimate is at least CLOSE; None if they are more than DENSE per set."""
     names, group, size = np.unique(known, return_inverse=True, return_counts=True)
     if len(names) == 1:
         return []
-    edges = []
+    edges: list[tuple[int, int]] = []
     for k in np.flatnonzero(group != size.argmax()).tolist():  # the largest group meets each of the others from their side
         for at in range(0, len(bits), 1 << 14):
             part = slice(at, at + (1 << 14))
@@ -182,42 +183,92 @@ def unjoined(bits: np.ndarray, n: np.ndarray, known: np.ndarray) -> list[tuple[i
             rows = np.flatnonzero(other & later & _possible(n, k, n[part]))
             near = rows[estimate(bits[k], bits[part][rows]) >= CLOSE]
             edges += [(k, at + j) for j in near.tolist()]
+        if len(edges) > DENSE * len(bits):
+            return None
     return edges
 
 
+def joins(sets: list[np.ndarray], known: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links between different groups, at most one less than there are groups, from the full sets.
+
+    The sets outside the largest group meet all others through the places of their shingles: exact sizes of all
+    intersections of one set at a time, and no pairs but the links.
+    """
+    names, group, size = np.unique(known, return_inverse=True, return_counts=True)
+    lengths = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    shingles, code = np.unique(np.concatenate(sets), return_inverse=True)
+    by = np.argsort(code, kind="stable")
+    begin = np.searchsorted(code[by], np.arange(len(shingles) + 1))
+    place = np.concatenate([[0], np.cumsum(lengths)])
+    parent = list(range(len(names)))
+
+    def root(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    links = []
+    for k in np.flatnonzero(group != size.argmax()).tolist():
+        own = code[place[k]:place[k + 1]]
+        counts = begin[own + 1] - begin[own]
+        at = np.repeat(begin[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        both = np.bincount(owner[by[at]], minlength=len(sets))
+        near = np.flatnonzero(100 * both >= percent * (lengths + lengths[k] - both))
+        for j in near.tolist():
+            a, b = root(group[j]), root(group[k])
+            if a != b:
+                parent[a] = b
+                links.append((k, j))
+    return links
+
+
 def candidates(sets: DataFrame, second: bool) -> DataFrame:
-    """Pairs a < b of sets worth confirming; ``known`` is the group of each set so far."""
+    """Pairs a < b of sets worth confirming; ``known`` is the group of each set so far.
+
+    In the second pass a region with too many pairs to list gives its members instead: rows with ``key``, the member as
+    ``a`` and its group as ``known``.
+    """
     id_type = sets.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def pairs(table: pa.Table) -> pa.RecordBatch | None:
+        def found_in(table: pa.Table) -> Iterator[pa.RecordBatch]:
             keys = table.column("key").to_numpy()
             begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
             ends = np.append(begins[1:], len(keys))
             many = ends - begins > 1
             if not many.any():
-                return None
+                return
             packed = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(len(keys), -1)
             n, known = table.column("n_shingles").to_numpy(), table.column("known").to_numpy()
-            found: list[tuple[int, int]] = []
+            pairs: list[tuple[int, int]] = []
+            members: list[int] = []
             two = begins[many & (ends - begins == 2)]
             if len(two):
                 a, b = unpacked(packed[two]), unpacked(packed[two + 1])
                 good = (estimate(a, b) >= (CLOSE if second else LOOSE)) & _possible(n, two, n[two + 1])
                 if second:
                     good &= known[two] != known[two + 1]
-                found += [(int(k), int(k) + 1) for k in two[good]]
-            for a, b in zip(begins[many & (ends - begins > 2)].tolist(), ends[many & (ends - begins > 2)].tolist()):
+                pairs += [(int(k), int(k) + 1) for k in two[good]]
+            more = many & (ends - begins > 2)
+            for a, b in zip(begins[more].tolist(), ends[more].tolist()):
+                if second and (known[a:b] == known[a]).all():
+                    continue
                 bits = unpacked(packed[a:b])
                 some = unjoined(bits, n[a:b], known[a:b]) if second else spanning(bits, n[a:b])
-                found += [(x + a, y + a) for x, y in some]
-            if not found:
-                return None
+                if some is None:
+                    members += range(a, b)
+                else:
+                    pairs += [(x + a, y + a) for x, y in some]
             ids = table.column("id").combine_chunks()
-            left, right = (ids.take(pa.array([p[k] for p in found])) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([left, right], ["a", "b"])
+            one, other, member = (pa.array(v, pa.int64()) for v in ([p[0] for p in pairs], [p[1] for p in pairs], members))
+            columns = [pa.concat_arrays([ids.take(one), ids.take(member)]), pa.concat_arrays([ids.take(other), pa.nulls(len(member), ids.type)])]
+            for values in (keys, known):
+                columns.append(pa.concat_arrays([pa.nulls(len(one), pa.int64()), pa.array(values[members] if members else [], pa.int64())]))
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "known"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -225,17 +276,30 @@ def candidates(sets: DataFrame, second: bool) -> DataFrame:
             keys = batch.column("key").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))  # rows come sorted by key: the last region may go on
             if cut or (held and held[-1].column("key")[0].as_py() != keys[0]):
-                done = pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                if done is not None:
-                    yield done
+                yield from found_in(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
             held.append(batch.slice(cut))
-        if held and (done := pairs(pa.Table.from_batches(held))) is not None:
-            yield done
+        if held:
+            yield from found_in(pa.Table.from_batches(held))
 
     rows = _regions(sets).repartition("key").sortWithinPartitions("key", "path", "id")
-    found = rows.mapInArrow(run, f"a {id_type}, b {id_type}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = rows.mapInArrow(run, f"a {id_type}, b {id_type}, key long, known long")
+    is_pair = F.col("key").isNull()
+    return found.select(F.when(is_pair, F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(is_pair, F.greatest("a", "b")).alias("b"), "key", "known").distinct()
+
+
+def dense_links(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links between groups within each region of ``members`` (key, id, known), confirmed on full sets in its task; a
+    region has at most REGION sets (or its share of MAX_HOT)."""
+    id_type = texts.schema["id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = list(shingle_sets(table.column("description_raw").to_pylist()))
+        found = joins(sets, table.column("known").to_numpy(), percent)
+        ids = table.column("id").combine_chunks()
+        return pa.table({name: ids.take(pa.array([p[k] for p in found], pa.int64())) for k, name in enumerate("ab")})
+
+    return members.join(texts, "id").groupBy("key").applyInArrow(run, f"a {id_type}, b {id_type}")
 
 
 def unpacked(packed: np.ndarray) -> np.ndarray:
@@ -272,15 +336,17 @@ def near_duplicates(jobs: DataFrame) -> DataFrame:
     classes = rows.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "signature")).alias("_first")).select("digest", "_first.*")
     first = written(classes.select("digest", "id", "n_shingles", "signature"), "classes")
     sets = first.select("id", "n_shingles", "signature", F.lit(0).cast("long").alias("known"))
-    pairs = written(candidates(sets, second=False), "pairs")
+    pairs = written(candidates(sets, second=False).select("a", "b"), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = written(jobs.select("id", "description_raw").join(nodes, "id", "left_semi"), "texts")
     links = written(confirmed(pairs, texts), "links")
     groups = written(components(links), "groups")
     # What the first pass left apart: the group of a set is told by a hash of its component.
     apart = first.join(nodes, "id", "left_semi").join(groups, "id", "left").select("id", "n_shingles", "signature", F.xxhash64(F.coalesce("component", "id")).alias("known"))
-    more = candidates(written(apart, "apart"), second=True).join(pairs, ["a", "b"], "left_anti")
-    late = written(confirmed(written(more, "more"), texts), "late-links")
+    more = written(candidates(written(apart, "apart"), second=True), "more")
+    late = confirmed(more.filter("key is null").select("a", "b").join(pairs, ["a", "b"], "left_anti"), texts)
+    dense = dense_links(more.filter("key is not null").select("key", F.col("a").alias("id"), "known"), texts)
+    late = written(late.union(dense), "late-links")
     groups = components(links.union(late)) if late.take(1) else groups
     final = first.select("digest", "id").join(groups, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     found = rows.select("id", "n_shingles", "digest").join(final, "digest", "left")
