@@ -28,7 +28,9 @@ _SPAN = LENGTH - GRAM + 1
 _CHUNK = 1 << 20  # positions within a chunk must fit 20 bits
 _PLACE = np.uint64(_CHUNK - 1)
 _HASH = PolyHash(21)
-_STEPS = 4  # buckets of runs per shuffle partition
+_STEPS, _OPEN_STEPS = 8, 2  # buckets of runs, and of open runs, per shuffle partition
+_BATCH = 8 << 20  # bytes of text whose equal runs are reduced together
+_STRINGS = 200_000  # strings sorted together, or more if one minimiser has more
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -87,13 +89,22 @@ def _lists(columns: list[pa.Array], cuts: np.ndarray) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(offsets, c) for c in columns]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about _BATCH bytes of text."""
+    sizes = np.diff(np.frombuffer(batch.column("text").buffers()[1], np.int32)[batch.column("text").offset:][:batch.num_rows + 1])
+    part = np.cumsum(sizes.astype(np.int64)) // _BATCH
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def find_runs(jobs: DataFrame, buckets: int) -> DataFrame:
     """The runs of all texts, a row per batch and bucket. Runs that repeat within a batch keep their first occurrence;
     the others, known to be repeats, pass through with no hashes (``settled``)."""
     kind = jobs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             found: list[list[np.ndarray]] = [[], [], [], [], []]
 
             def add(row: np.ndarray, shift: int, parts: tuple[np.ndarray, ...], begins: np.ndarray) -> None:
@@ -223,6 +234,46 @@ def _eight(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pieces(data: np.ndarray, anchor: np.ndarray, order: np.ndarray, start: np.ndarray, count: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of strings that also start earlier: owner, start and number, sorting whole minimisers at a time."""
+    by_anchor = np.argsort(anchor, kind="stable")
+    part = np.cumsum(count[by_anchor]) // _STRINGS
+    first = np.concatenate([[True], anchor[by_anchor][1:] != anchor[by_anchor][:-1]]) if len(part) else np.empty(0, bool)
+    part = part[np.flatnonzero(first)][np.cumsum(first) - 1] if len(part) else part  # a minimiser goes with its first run
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.empty(0, int)
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        rows = by_anchor[low:high]
+        # The bytes of these runs only, one after another.
+        size = count[rows] + LENGTH - 1
+        base = np.cumsum(size) - size
+        own = data[np.repeat(begin[rows] - base, size) + np.arange(size.sum())]
+        index = np.repeat(np.arange(len(rows)), count[rows])
+        step = np.arange(len(index)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows])
+        at, owner = base[index] + step, rows[index]
+        place = start[owner] + step
+        # Equal strings agree in the minimiser and in their first and last bytes: only those need comparing.
+        keys = [_eight(own, at + LENGTH - 8), _eight(own, at), anchor[owner]]
+        by = np.lexsort((place, order[owner], *keys))
+        new = np.concatenate([[True], np.any([k[by][1:] != k[by][:-1] for k in keys], axis=0)])
+        group = np.cumsum(new)
+        several = np.bincount(group)[group] > 1
+        by, group = by[several], group[several]
+        if not len(by):
+            continue
+        sorted_, number = classes(own, at[by], group, LENGTH)
+        by = by[sorted_]
+        # Within a class the merge sort kept (posting, start): the first entry is the earliest.
+        head = np.concatenate([[True], number[1:] != number[:-1]])
+        earliest = by[np.flatnonzero(head)][np.cumsum(head) - 1]
+        again = by[(order[owner[by]] != order[owner[earliest]]) | (place[by] != place[earliest])]
+        if not len(again):
+            continue
+        again = again[np.lexsort((place[again], owner[again]))]
+        joins = np.concatenate([[True], (owner[again][1:] != owner[again][:-1]) | (place[again][1:] != place[again][:-1] + 1)])
+        heads = np.flatnonzero(joins)
+        yield owner[again[heads]], place[again[heads]], np.diff(np.append(heads, len(again)))
+
+
 def sort_open_runs(opened: DataFrame, kind: str) -> DataFrame:
     """id, twin, start, strings of the strings that also start earlier, by sorting all strings of a bucket."""
 
@@ -231,31 +282,15 @@ def sort_open_runs(opened: DataFrame, kind: str) -> DataFrame:
         data = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint8)
         count = strings.to_numpy(zero_copy_only=False).astype(np.int64)
         begin = np.cumsum(count + LENGTH - 1) - count - LENGTH + 1
-        owner = np.repeat(np.arange(len(count)), count)
-        step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        at = begin[owner] + step
-        order = _order(ids, twins.to_numpy(zero_copy_only=False))[owner]
-        place = start.to_numpy(zero_copy_only=False)[owner] + step
-        # Equal strings agree in the minimiser and in their first and last bytes: only those need comparing.
-        keys = [_eight(data, at + LENGTH - 8), _eight(data, at), anchor.to_numpy(zero_copy_only=False)[owner]]
-        by = np.lexsort((place, order, *keys))
-        new = np.concatenate([[True], np.any([k[by][1:] != k[by][:-1] for k in keys], axis=0)]) if len(by) else np.empty(0, bool)
-        group = np.cumsum(new)
-        size = np.bincount(group) if len(group) else np.zeros(1, int)
-        several = size[group] > 1
-        by, group = by[several], group[several]
-        sorted_, number = classes(data, at[by], group, LENGTH)
-        by = by[sorted_]
-        # Within a class the merge sort kept (posting, start): the first entry is the earliest.
-        head = np.concatenate([[True], number[1:] != number[:-1]]) if len(by) else np.empty(0, bool)
-        first = by[np.flatnonzero(head)][np.cumsum(head) - 1] if len(by) else by
-        again = by[(order[by] != order[first]) | (place[by] != place[first])]
-        again = again[np.lexsort((place[again], owner[again]))]
-        joins = np.concatenate([[True], (owner[again][1:] != owner[again][:-1]) | (place[again][1:] != place[again][:-1] + 1)]) if len(again) else np.empty(0, bool)
-        heads = np.flatnonzero(joins)
-        lengths = np.diff(np.append(heads, len(again)))
-        pick = pa.array(owner[again[heads]])
-        return pa.table({"id": ids.take(pick), "twin": twins.take(pick), "start": pa.array(place[again[heads]]), "strings": pa.array(lengths.astype(np.int32))})
+        order = _order(ids, twins.to_numpy(zero_copy_only=False))
+        owners, places, lengths = [], [], []
+        for owner, place, length in _pieces(data, anchor.to_numpy(zero_copy_only=False), order, start.to_numpy(zero_copy_only=False), count, begin):
+            owners.append(owner)
+            places.append(place)
+            lengths.append(length)
+        none = np.empty(0, np.int64)
+        pick = pa.array(np.concatenate([none, *owners]))
+        return pa.table({"id": ids.take(pick), "twin": twins.take(pick), "start": pa.array(np.concatenate([none, *places])), "strings": pa.array(np.concatenate([none, *lengths]).astype(np.int32))})
 
     return opened.groupBy("bucket").applyInArrow(run, f"id {kind}, twin long, start long, strings int")
 
@@ -275,7 +310,7 @@ def remove_repeats(jobs: DataFrame, hot_runs: int = HOT) -> DataFrame:
     marks = found.filter("anchor is not null").groupBy(*keys).agg(F.collect_set(F.struct("start", "strings", "anchor", "hot")).alias("open"))
     # Both joins shuffle the texts alike, so that one shuffle serves them; left joins keep rows without marks.
     opened = _joined(texts, marks, "open")
-    sorted_ = sort_open_runs(cut_open_runs(opened, kind, buckets), kind)
+    sorted_ = sort_open_runs(cut_open_runs(opened, kind, _OPEN_STEPS * buckets), kind)
     repeats = found.filter("anchor is null").select(*keys, "start", "strings").union(sorted_)
     spans = repeats.groupBy(*keys).agg(F.collect_list(F.struct("start", "strings")).alias("marks"))
 
