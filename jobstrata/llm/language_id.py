@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobstrata.llm.common import bound_batches
 from jobstrata.llm.quality_classifier import held_out
 
 BINS = 1 << 15
@@ -137,7 +138,7 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def fit_language(jobs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Learns from postings outside the held-out fold that have a language and a letter in their text."""
-    learn = jobs.filter(F.col("language").isNotNull() & F.col("description_raw").rlike(r"\p{L}") & ~held_out(F.col("id"))).select("id", "language", "description_raw")
+    learn = bound_batches(jobs).filter(F.col("language").isNotNull() & F.col("description_raw").rlike(r"\p{L}") & ~held_out(F.col("id"))).select("id", "language", "description_raw")
     seen, counts = document_frequencies(learn)
     total = sum(counts.values())
     idf = np.log((1.0 + total) / (1.0 + seen)) + 1.0

@@ -132,7 +132,9 @@ def mixture(jobs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def _met(taken: DataFrame, parts: DataFrame) -> DataFrame:
-    return taken.join(parts, taken["source"].eqNullSafe(parts["source"]) & (taken["block"] == parts["block"]))
+    """Slots look as small to the planner as the sources they are exploded from, but grow with the index: without the
+    hint they would be broadcast."""
+    return taken.hint("merge").join(parts, taken["source"].eqNullSafe(parts["source"]) & (taken["block"] == parts["block"]))
 
 
 def mixed_sizes(jobs: DataFrame, mix: Mix = Mix()) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobstrata.llm.components import components
-from jobstrata.llm.common import written
+from jobstrata.llm.common import bound_batches, written
 from jobstrata.llm.polyhash import mix
 from jobstrata.llm.shingles import alike, shingle_sets
 
@@ -67,7 +67,7 @@ def sketches(jobs: DataFrame) -> DataFrame:
                     ["id", "n_shingles", "digest", "signature"],
                 )
 
-    return jobs.select("id", "description_raw").mapInArrow(run, f"id {id_type}, n_shingles long, digest binary, signature binary")
+    return bound_batches(jobs).select("id", "description_raw").mapInArrow(run, f"id {id_type}, n_shingles long, digest binary, signature binary")
 
 
 def _places(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

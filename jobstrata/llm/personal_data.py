@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobstrata.llm import boost
+from jobstrata.llm.common import bound_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Trees are fitted on the candidates of at most so many postings with a digit or an at sign, those of least hash.
@@ -179,7 +180,7 @@ def calibrate(odds: np.ndarray, y: np.ndarray, kinds: np.ndarray) -> tuple[float
 
 def fit_spans(jobs: DataFrame, max_postings: int = MAX_POSTINGS) -> SpanModel:
     """Trees and thresholds from the candidates of a bounded sample of postings, the same for the same table."""
-    some = jobs.filter(F.col("description_raw").rlike("[0-9@]"))
+    some = bound_batches(jobs).filter(F.col("description_raw").rlike("[0-9@]"))
     place = F.xxhash64(F.col("id"), F.lit(31))
     total = some.count()
     share = min(1.0, 1.5 * max_postings / max(1, total))

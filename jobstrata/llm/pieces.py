@@ -12,8 +12,9 @@ import numpy as np
 
 from jobstrata.llm.polyhash import PolyHash, mix
 
-MAX_KNOWN = 1_000_000  # pieces kept; the store starts anew beyond
-_SLOTS = 1 << 22
+MAX_KNOWN = 800_000  # pieces kept; the store starts anew beyond
+_SLOTS = 1 << 21  # well above the pieces; a key's upper 21 bits choose its slot
+_ROOM = MAX_KNOWN * 3 // 2
 _STARTS_WORD = np.zeros(256, bool)
 _STARTS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _HASH, _CHECK = PolyHash(11), PolyHash(12)
@@ -34,14 +35,14 @@ class Pieces:
     def _clear(self) -> None:
         self.slot_key, self.slot_piece = np.zeros(_SLOTS, np.uint64), np.full(_SLOTS, -1, np.int32)
         self.known = 0
-        self.check = np.zeros(MAX_KNOWN * 2, np.uint64)
-        self.offset, self.length = np.zeros(MAX_KNOWN * 2, np.int64), np.zeros(MAX_KNOWN * 2, np.int64)
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.check = np.zeros(_ROOM, np.uint64)
+        self.offset, self.length = np.zeros(_ROOM, np.int32), np.zeros(_ROOM, np.int32)
+        self.pool, self.used = np.zeros(1 << 19, np.uint32), 0
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The piece of each key, or -1: linear probing, all keys a step at a time."""
         found = np.full(len(keys), -1, np.int64)
-        open_, slot = np.arange(len(keys)), (keys >> np.uint64(42)).astype(np.int64)
+        open_, slot = np.arange(len(keys)), (keys >> np.uint64(43)).astype(np.int64)
         while len(open_):
             piece = self.slot_piece[slot]
             hit = (piece >= 0) & (self.slot_key[slot] == keys[open_])
@@ -51,7 +52,7 @@ class Pieces:
         return found
 
     def _insert(self, keys: np.ndarray, pieces: np.ndarray) -> None:
-        open_, slot = np.arange(len(keys)), (keys >> np.uint64(42)).astype(np.int64)
+        open_, slot = np.arange(len(keys)), (keys >> np.uint64(43)).astype(np.int64)
         while len(open_):
             free = np.flatnonzero(self.slot_piece[slot] < 0)
             _, first = np.unique(slot[free], return_index=True)
@@ -112,7 +113,7 @@ class Pieces:
         sizes = (ends - starts).astype(np.uint64)
         keys = mix(_HASH.stretch(_HASH.prefix(data), starts, ends) + sizes)
         checks = mix(_CHECK.stretch(_CHECK.prefix(data), starts, ends) ^ sizes)
-        if self.known + len(keys) > 2 * MAX_KNOWN or self.known > MAX_KNOWN:
+        if self.known + len(keys) > _ROOM or self.known > MAX_KNOWN:
             self._clear()
         if len(keys) > MAX_KNOWN:
             own = self._ids(texts)
@@ -127,7 +128,7 @@ class Pieces:
         if (self.check[found] != checks).any():  # one hash agrees, the other doesn't: no piece is trusted
             own = self._ids(texts)
             return np.concatenate(own), np.array([len(o) for o in own], np.int64)
-        lengths = self.length[found]
+        lengths = self.length[found].astype(np.int64)
         through = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.pool[np.repeat(self.offset[found] - through[:-1], lengths) + np.arange(through[-1])]
         return ids, np.diff(through[np.searchsorted(starts, begins)])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobstrata.llm import boost
-from jobstrata.llm.common import written
+from jobstrata.llm.common import bound_batches, written
 
 #: At most so many labelled postings are used for fitting; beyond, those with the smallest hash of their id.
 MAX_LABELLED = 20_000
@@ -53,7 +53,7 @@ def statistics(jobs: DataFrame) -> DataFrame:
             rows = np.array([describe(t or "") for t in batch.column("description_raw").to_pylist()], float).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c) for c in rows.T]], ["id", *STATISTICS])
 
-    return jobs.select("id", "description_raw").mapInArrow(run, schema)
+    return bound_batches(jobs).select("id", "description_raw").mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -169,5 +169,5 @@ def keep_good(jobs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
             rows = np.array([describe(t or "") for t in batch.column("description_raw").to_pylist()], float).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in rows.T]], [*batch.schema.names, *[f"stat: {s}" for s in STATISTICS]])
 
-    good = jobs.mapInArrow(run, fields).filter(score >= 0.5)
+    good = bound_batches(jobs).mapInArrow(run, fields).filter(score >= 0.5)
     return good.select(*[f"`{c}`" for c in jobs.columns])

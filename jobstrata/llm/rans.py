@@ -18,7 +18,7 @@ import numpy as np
 MAGIC, VERSION, BITS, LOW = b"JSTK", 1, 20, 1 << 31
 HEADER = struct.Struct("<4sHHIQQI")  # magic, version, bits, symbols, postings, tokens, blocks
 ENTRY = struct.Struct("<QIIIII")  # tokens, lanes, steps between checkpoints, checkpoints, words, crc of the tokens
-BLOCK_TOKENS, MAX_LANES, STEPS = 1 << 20, 2048, 256
+BLOCK_TOKENS, MAX_LANES, STEPS = 1 << 19, 2048, 128
 
 
 def table_of(tokens: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:

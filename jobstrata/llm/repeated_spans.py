@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobstrata.llm.common import written
+from jobstrata.llm.common import bound_batches, written
 from jobstrata.llm.polyhash import PolyHash, mix
 from jobstrata.llm.suffix_sort import classes
 
@@ -303,7 +303,7 @@ def remove_repeats(jobs: DataFrame, hot_runs: int = HOT) -> DataFrame:
     id and different texts are ordered by a hash of the text. An empty table gives no rows.
     """
     kind = jobs.schema["id"].dataType.simpleString()
-    texts = jobs.select("id", F.xxhash64("description_raw").alias("twin"), F.coalesce("description_raw", F.lit("")).cast("binary").alias("text"))
+    texts = bound_batches(jobs).select("id", F.xxhash64("description_raw").alias("twin"), F.coalesce("description_raw", F.lit("")).cast("binary").alias("text"))
     buckets = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = written(settle(find_runs(texts, _STEPS * buckets), kind, hot_runs), "runs")
     keys = ["id", "twin"]

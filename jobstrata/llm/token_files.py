@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobstrata.llm import rans
+from jobstrata.llm.common import bound_batches
 from jobstrata.llm.pieces import Pieces
 
 END = 0
-FILE_TOKENS = 1 << 22
+FILE_TOKENS = 1 << 21
 _BATCH = 1 << 20  # characters encoded at a time
 
 
@@ -36,11 +37,11 @@ def _pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Consecutive texts of _BATCH characters or a little less; a longer one alone."""
+def _runs(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive texts of ``most`` characters or a little less; a longer one alone."""
     start = size = 0
     for k, text in enumerate(texts):
-        if k > start and size + len(text) > _BATCH:
+        if k > start and size + len(text) > most:
             yield start, k
             start, size = k, 0
         size += len(text)
@@ -57,7 +58,7 @@ def encode_postings(jobs: DataFrame, vocabulary: str | None = None, end: int = E
     parts = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("description_raw", F.lit("")).alias("text")
     # Ties of an id must not be split: ranges are cut by id alone.
-    ordered = jobs.select("id", text).repartitionByRange(parts, "id").sortWithinPartitions("id", "text").withColumn("part", F.spark_partition_id())
+    ordered = bound_batches(jobs).select("id", text).repartitionByRange(parts, "id").sortWithinPartitions("id", "text").withColumn("part", F.spark_partition_id())
     schema = T.StructType([
         T.StructField("part", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("tokens_before", T.LongType()),
         T.StructField("tokens", T.LongType()), T.StructField("ids", T.ArrayType(jobs.schema["id"].dataType)), T.StructField("image", T.BinaryType()),
@@ -75,7 +76,7 @@ def encode_postings(jobs: DataFrame, vocabulary: str | None = None, end: int = E
             ids_type = batch.column("id").type
             keys, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             part = batch.column("part")[0].as_py() if keys else part
-            for a, b in _runs(texts):
+            for a, b in _runs(texts, min(_BATCH, file_tokens)):
                 found, own = pieces.encode(texts[a:b])
                 coded.append(np.insert(found, np.cumsum(own), end))
                 ids += keys[a:b]
