@@ -116,4 +116,74 @@ SELECT doc_id, size, p.source_size, round(target, 6) AS target, coalesce(taken,
 FROM placed p JOIN drawn d ON p.source IS NOT DISTINCT FROM d.source LEFT JOIN sums USING (r)
 """
 
-SQL: dict[str, str] = {"op1_quality_rules": OP1, "op3_decontamination": OP3, "op10_mixing": OP10}
+OP2 = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+strings AS (SELECT r, doc_id, p, substring(h, 2 * p + 1, 200) AS s FROM (SELECT r, doc_id, h, unnest(range(n - 99)) AS p FROM docs WHERE n >= 100)),
+firsts AS (SELECT s, min((doc_id, p)) AS f, count(*) AS c FROM strings GROUP BY s HAVING count(*) > 1),
+again AS (SELECT r, p FROM strings JOIN firsts USING (s) WHERE (doc_id, p) <> f),
+marked AS (SELECT r, p, CASE WHEN p > lag(p) OVER w + 100 OR lag(p) OVER w IS NULL THEN 1 ELSE 0 END AS head FROM again WINDOW w AS (PARTITION BY r ORDER BY p)),
+spans AS (
+  SELECT r, min(p) AS a, max(p) + 100 AS b, row_number() OVER (PARTITION BY r ORDER BY min(p)) AS k
+  FROM (SELECT r, p, sum(head) OVER (PARTITION BY r ORDER BY p) AS g FROM marked) GROUP BY r, g),
+edges AS (SELECT r, k, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY k), 0) AS since FROM spans),
+removed AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, max(b) AS last,
+  string_agg(substring(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY k) AS head FROM edges JOIN docs USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN removed USING (r)
+"""
+
+_HOST = "translate(regexp_extract(substring({0}, instr({0}, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _fits(host: str, path: str) -> str:
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+
+_RULES = " ".join(f"WHEN {_fits(h, p)} THEN '{h}{p}'" for h, p in (("example.org", "/en/1"), ("example.org", "/es/"), ("org", "/"), ("com", "/fr/"), ("com", "/de/")))
+
+OP4 = f"""
+WITH RECURSIVE placed AS (
+  SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN {_HOST.format('url')} ELSE '' END AS host,
+    CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substring(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
+ruled AS (SELECT *, CASE {_RULES} END AS rule FROM placed),
+judged AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS own FROM ruled),
+seeds AS (SELECT host, count(CASE WHEN own = 'allow' THEN 1 END)::DOUBLE AS t0, count(CASE WHEN own = 'block' THEN 1 END)::DOUBLE AS d0 FROM judged GROUP BY host),
+links AS (SELECT host AS src, CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END AS link
+  FROM (SELECT host, unnest(list_distinct(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?([^"''\\s>]+)', 1))) AS link FROM placed) WHERE contains(link, '//')),
+linked AS (SELECT src, CASE WHEN instr(link, '://') > 0 THEN {_HOST.format('link')} ELSE '' END AS dst FROM links),
+above AS (SELECT host, k, array_to_string(string_split(host, '.')[k + 1:], '.') AS parent FROM (SELECT host, unnest(range(1, len(string_split(host, '.')))) AS k FROM seeds WHERE host <> '')),
+nearest AS (SELECT host, arg_min(parent, k) AS parent FROM above WHERE parent IN (SELECT host FROM seeds) AND parent <> '' GROUP BY host),
+edges AS (SELECT src, dst, count(*)::DOUBLE AS w FROM (
+  SELECT src, dst FROM linked WHERE src <> '' AND dst <> '' AND src <> dst UNION ALL SELECT host, parent FROM nearest UNION ALL SELECT parent, host FROM nearest) GROUP BY ALL),
+nodes AS (SELECT src AS host FROM edges UNION SELECT dst FROM edges UNION SELECT host FROM seeds),
+base AS (SELECT host, coalesce(t0, 0) AS t0, coalesce(d0, 0) AS d0 FROM nodes LEFT JOIN seeds USING (host)),
+flows AS (
+  SELECT src AS host, dst AS dest, 0.85 * w / sum(w) OVER (PARTITION BY src) AS ft, 0.0 AS fd, 0.0 AS ct, 0.0 AS cd FROM edges
+  UNION ALL SELECT dst, src, 0.0, 0.85 * w / sum(w) OVER (PARTITION BY dst), 0.0, 0.0 FROM edges
+  UNION ALL SELECT host, host, 0.0, 0.0, (1 - 0.85) * t0, (1 - 0.85) * d0 FROM base),
+ranks(step, host, t, d) AS (
+  SELECT 0, host, t0::DOUBLE, d0::DOUBLE FROM base
+  UNION ALL
+  SELECT step + 1, dest, sum(t * ft + ct)::DOUBLE, sum(d * fd + cd)::DOUBLE FROM ranks JOIN flows USING (host) WHERE step < 8 GROUP BY step, dest)
+SELECT page_id, j.host, path, rule, coalesce(own, CASE WHEN round(d, 9) > round(t, 9) THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN (SELECT host, t, d FROM ranks WHERE step = 8) USING (host)
+"""
+
+OP7 = rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WS}+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, w[i:i + l - 1] AS s FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM (SELECT doc_id, w, least(len(w), 5) AS l FROM docs WHERE len(w) > 0))),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM shingles x JOIN shingles y USING (s) WHERE x.doc_id < y.doc_id GROUP BY ALL)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * shared >= 75 * (p.n + q.n - shared)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached(top, doc_id) AS (SELECT doc_id, doc_id FROM docs UNION SELECT top, b FROM reached JOIN ways ON a = reached.doc_id WHERE b > top)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(top) AS component_id, min(top) = doc_id AS kept
+FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""
+
+SQL: dict[str, str] = {
+    "op1_quality_rules": OP1, "op2_repeated_spans": OP2, "op3_decontamination": OP3, "op4_url_filter": OP4, "op7_near_duplicates": OP7, "op10_mixing": OP10,
+}
