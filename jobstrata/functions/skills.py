@@ -41,6 +41,10 @@ def canonical_skills(tags: Column, aliases: dict[str, str] | None = None) -> Col
     return F.array_distinct(F.filter(mapped, lambda tag: tag != ""))
 
 
+_ATOM = r"(?:[a-z0-9 #/-]|\\[^A-Za-z0-9])"
+_SIMPLE = re.compile(rf"^(?:\\b)?{_ATOM}+(?:{_ATOM}\?|\[[^\]\[\\^]+\]\??|\([a-z0-9 /|-]+\)|{_ATOM})*(?:\\b)?$")
+
+
 def _fixed_part(pattern: str) -> str:
     """The longest text every match of ``pattern`` must start with (word boundaries aside)."""
     text, rest = "", re.sub(r"^\\b|\\b$", "", pattern)
@@ -68,7 +72,13 @@ def _java_pattern(pattern: str, fixed: str) -> str:
 
 
 def _mentions(lowered: Column, pattern: str) -> Column:
-    """A cheap byte search decides most rows; the regex runs on the remaining ones only."""
+    """A cheap byte search decides most rows; the regex runs on the remaining ones only.
+
+    Only patterns of literals, optional literals and plain classes are known to begin with a fixed
+    text. Any other pattern is a regex on its own, whatever its case.
+    """
+    if not _SIMPLE.match(pattern) or not _fixed_part(pattern):
+        return lowered.rlike(f"(?iuU){pattern}")
     fixed = _fixed_part(pattern)
     found = F.contains(lowered, F.lit(fixed))
     if pattern in (re.escape(fixed), fixed, fixed + pattern[-2:-1] + "?"):

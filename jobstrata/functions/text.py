@@ -113,14 +113,14 @@ def with_plain_text(df: DataFrame, markup: str, out: str, decode=unescape) -> Da
 
 
 _ISO = (
-    r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,6})?)?"
+    r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?"
     r"(?:Z|[+-]\d{2}:?\d{2})?)?$"
 )
 
 
 def parse_iso(text: Column) -> Column:
     """ISO date or date-time, with or without offset (none means UTC); anything else is null."""
-    shaped = F.when(text.rlike(_ISO), F.regexp_replace(text, ",", "."))
+    shaped = F.when(text.rlike(_ISO), F.regexp_replace(F.regexp_replace(text, ",", "."), r"(\.\d{6})\d+", "$1"))
     return shaped.try_cast("timestamp")
 
 

@@ -40,6 +40,15 @@ def unexpected_columns(df: DataFrame, allowed: T.StructType) -> list[str]:
     return sorted(names | personal)
 
 
+def schema_report(df: DataFrame, allowed: T.StructType) -> DataFrame:
+    """column, filled: each column that doesn't belong and in how many rows it holds something; no rows when all do."""
+    found = unexpected_columns(df, allowed)
+    if not found:
+        return df.sparkSession.createDataFrame([], "column string, filled long")
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in found])
+    return counts.unpivot([], found, "column", "filled")
+
+
 def assert_anonymous_schema(watches: DataFrame, applications: DataFrame) -> None:
     """Raise when a caller-owned table could hold personal data."""
     for df, allowed in ((watches, schemas.WATCHES), (applications, schemas.APPLICATIONS)):

@@ -20,8 +20,11 @@ from jobstrata.session import as_timestamp
 
 @dataclass(frozen=True)
 class IngestResult:
+    """``changed`` are the rows of ``jobs`` that belong to crawled companies, with their ``change``."""
+
     jobs: DataFrame
     companies: DataFrame
+    changed: DataFrame
 
 
 # --- freshness tiers ----------------------------------------------------------
@@ -72,6 +75,12 @@ def accepted_feed(feed: DataFrame, crawls: DataFrame) -> DataFrame:
     )
 
 
+def crawl_times(crawls: DataFrame, now=None) -> DataFrame:
+    """company_id and ``_at``, the time of its valid crawl: ``now`` for all, or each one's ``crawl_ts``."""
+    at = F.col("crawl_ts") if now is None else as_timestamp(now)
+    return crawls.filter("ok").groupBy("company_id").agg(F.max(at).alias("_at"))
+
+
 def feed_keys(feed: DataFrame) -> DataFrame:
     """One narrow row per posting id: where it first occurs, under which title, how often."""
     return feed.groupBy("id").agg(
@@ -84,19 +93,23 @@ def feed_keys(feed: DataFrame) -> DataFrame:
 
 def _settled_feed(feed: DataFrame) -> DataFrame:
     """One row per posting id. The last copy decides the content; dates and links that the last
-    copy lacks come from the latest copy that has them. Copies collapse before the shuffle."""
+    copy lacks come from the latest copy that has them. Only narrow columns are aggregated; texts
+    join the place of their last copy, partitioned by the id alone as the index is."""
     content = ["title", "description_raw", "location", "remote_hint", "salary_min", "salary_max", "salary_currency"]
 
     def latest(name: str, stated: Column) -> Column:
         return F.max_by(name, F.when(stated, F.col("feed_pos"))).alias(name)
 
-    settled = feed.groupBy("id").agg(
-        F.max_by(F.struct("company_id", *content), "feed_pos").alias("_last"),
+    narrow = feed.groupBy("id").agg(
+        F.max("feed_pos").alias("_last"),
         latest("apply_channel", F.col("apply_channel") != ""),
         latest("posted_at", F.col("posted_at").isNotNull()),
         latest("updated_at", F.col("updated_at").isNotNull()),
     )
-    return settled.select("id", "_last.*", "apply_channel", "posted_at", "updated_at").withColumn(
+    texts = feed.select("id", "feed_pos", "company_id", "_at", *content)
+    # No earlier copy passes; an equality would make the position part of the partitioning.
+    settled = texts.join(narrow, "id").filter(F.col("feed_pos") >= F.col("_last"))
+    return settled.drop("feed_pos", "_last").withColumn(
         "content_hash", content_hash(F.col("title"), F.col("description_raw"))
     )
 
@@ -232,18 +245,20 @@ def ingest_stats(jobs: DataFrame, feed: DataFrame, crawls: DataFrame) -> DataFra
         F.coalesce("updates", (F.col("change") == "updated").cast("bigint")).alias("updates"),
         F.coalesce("confirmations", (F.col("change") == "unchanged").cast("bigint")).alias("confirmations"),
     )
-    changes = counted.agg(
+    changes = counted.agg(F.struct(
         F.count_if(F.col("change") == "new").alias("jobs_new"),
         F.coalesce(F.sum("updates"), F.lit(0)).alias("jobs_updated"),
         F.coalesce(F.sum("confirmations"), F.lit(0)).alias("jobs_unchanged"),
         F.count_if(F.col("change") == "delisted").alias("jobs_delisted"),
-    )
+    ).alias("all"))
     relisted = relist_lookup(jobs, accepted).agg(F.count(F.lit(1)).alias("jobs_relisted"))
     companies = crawls.agg(
         F.count_if("ok").alias("companies_crawled"), F.count_if(~F.col("ok")).alias("companies_failed")
     )
+    # One row each; a counter of its own per column would work the changes out as often.
     return (
-        companies.select("*", *[changes.select(c).scalar().alias(c) for c in changes.columns])
+        companies.withColumn("_changes", changes.scalar())
+        .select("companies_crawled", "companies_failed", "_changes.*")
         .withColumn("jobs_relisted", relisted.scalar())
         .withColumn("extractions", F.col("jobs_new") + F.col("jobs_updated"))
         .withColumn("jobs_seen", F.col("jobs_new") + F.col("jobs_updated") + F.col("jobs_unchanged"))
@@ -267,27 +282,31 @@ def ingest(
     companies: DataFrame,
     feed: DataFrame,
     crawls: DataFrame,
-    now,
+    now=None,
     extractor=None,
     vocabulary: dict[str, list[str]] | None = None,
 ) -> IngestResult:
     """The complete index after one crawl of any number of companies.
 
-    State and feed meet once, on the posting id. Text is only read for new and changed postings.
+    ``now`` is the time of all crawls; without it each company's own ``crawl_ts`` counts. State and
+    feed meet once, on the posting id; postings of companies that were not crawled stay out of it.
+    Text is only read for new and changed postings.
     ``extractor`` replaces the native heuristic: a function from those rows (feed columns plus id)
     to ``(id, facts)``; rows it leaves out fall back to the heuristic.
     """
-    now = as_timestamp(now)
-    accepted = accepted_feed(feed, crawls)
-    crawled = crawls.filter("ok").select("company_id", F.lit(True).alias("_crawled")).distinct()
-    relisted = relist_lookup(jobs, accepted).select(
+    given, times = now, crawl_times(crawls, now)
+    accepted = feed.join(times, "company_id").withColumn("id", job_key(F.col("company_id"), F.col("ats_job_id")))
+    crawled = jobs.join(times, "company_id")
+    untouched = jobs.join(times, "company_id", "left_anti").select(
+        [F.col(f.name).cast(f.dataType) for f in schemas.JOBS.fields]
+    )
+    relisted = relist_lookup(crawled, accepted).select(
         "id", F.col("relist_count").alias("_relists"), F.col("first_seen_at").alias("_inherited")
     )
     # Joined to the feed first: behind the outer join its partitioning by id would be lost.
     settled = _settled_feed(accepted).join(relisted, "id", "left")
-    old = jobs.join(crawled, "company_id", "left")
-    old = old.select("id", F.struct(*jobs.columns, "_crawled").alias("old"))
-    both = settled.join(old, "id", "full_outer")
+    old = crawled.select("id", F.struct(*jobs.columns, "_at").alias("old"))
+    both = settled.join(old, "id", "full_outer").withColumn("_now", F.coalesce("_at", "old._at"))
 
     is_new = F.col("old").isNull()
     seen = F.col("content_hash").isNotNull()
@@ -298,7 +317,7 @@ def ingest(
         found = extractor(marked.filter("_fresh")).select("id", F.col("facts").alias("_found"))
         read = read.join(found, "id", "left").withColumn("facts", F.coalesce("_found", "facts"))
 
-    is_new, seen, fresh = F.col("_new"), F.col("_seen"), F.col("_fresh")
+    is_new, seen, fresh, now = F.col("_new"), F.col("_seen"), F.col("_fresh"), F.col("_now")
     kept = {name: F.col(f"old.{name}") for name in jobs.columns}
 
     def when_fresh(value: Column | str, name: str) -> Column:
@@ -307,7 +326,7 @@ def ingest(
     def when_new(value: Column, name: str) -> Column:
         return F.when(is_new, value).otherwise(kept[name])
 
-    vanished = ~seen & F.coalesce("old._crawled", F.lit(False)) & kept["delisted_at"].isNull()
+    vanished = ~seen & kept["delisted_at"].isNull()
     link = F.when(F.col("apply_channel") != "", F.col("apply_channel"))
     columns = {
         **kept,
@@ -335,28 +354,30 @@ def ingest(
         "extraction_source": when_new(F.lit(C.HEURISTIC_SOURCE), "extraction_source"),
         "skills_fallback": when_new(empty_skills(), "skills_fallback"),
     }
-    touched = seen | F.coalesce("old._crawled", F.lit(False))
+    change = (
+        F.when(is_new, "new").when(fresh, "updated").when(seen, "unchanged").when(vanished, "delisted").otherwise("untouched")
+    )
     state = read.select(
-        *[column.alias(name) for name, column in columns.items()], touched.alias("_touched")
+        *[column.alias(name) for name, column in columns.items()], "_now", change.alias("change")
     ).withColumn(
         "ghost_score",
         F.when(
-            F.col("_touched") & F.col("delisted_at").isNull(),
+            F.col("delisted_at").isNull(),
             scoring.ghost_score_at(
-                F.col("relist_count"), F.col("posted_at"), F.col("first_seen_at"), now
+                F.col("relist_count"), F.col("posted_at"), F.col("first_seen_at"), F.col("_now")
             ),
         ).otherwise(F.col("ghost_score")),
     )
-    state = state.select([F.col(f.name).cast(f.dataType) for f in schemas.JOBS.fields])
-    return IngestResult(state, stamp_crawled(companies, crawls, now))
+    state = state.select(*[F.col(f.name).cast(f.dataType) for f in schemas.JOBS.fields], "change")
+    return IngestResult(state.drop("change").unionByName(untouched), stamp_crawled(companies, crawls, given), state)
 
 
-def stamp_crawled(companies: DataFrame, crawls: DataFrame, now) -> DataFrame:
+def stamp_crawled(companies: DataFrame, crawls: DataFrame, now=None) -> DataFrame:
     """Companies with the time of their last valid crawl."""
-    valid = crawls.filter("ok").select(F.col("company_id").alias("id"), F.lit(True).alias("_ok"))
+    valid = crawl_times(crawls, now).withColumnRenamed("company_id", "id")
     return (
-        companies.join(valid.distinct(), "id", "left")
-        .withColumn("last_crawled_at", F.when(F.col("_ok"), as_timestamp(now)).otherwise(F.col("last_crawled_at")))
+        companies.join(valid, "id", "left")
+        .withColumn("last_crawled_at", F.coalesce("_at", "last_crawled_at"))
         .select(companies.columns)
     )
 

@@ -53,10 +53,10 @@ def backfill_stats(jobs: DataFrame, feed: DataFrame, crawls: DataFrame) -> DataF
         F.count_if(F.col("_match") == "unmatched").alias("jobs_unmatched"),
         F.count_if(F.col("_match").isNotNull() & F.col("delisted_at").isNull()).alias("ghost_recomputed"),
     )
-    companies = crawls.agg(
+    companies = crawls.agg(F.struct(
         F.count_if("ok").alias("companies_fetched"), F.count_if(~F.col("ok")).alias("companies_failed")
-    )
-    return rows.select("*", *[companies.select(c).scalar().alias(c) for c in companies.columns])
+    ).alias("all"))
+    return rows.withColumn("_companies", companies.scalar()).select(*rows.columns, "_companies.*")
 
 
 def _resolved(jobs: DataFrame, companies: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from jobstrata import constants as C
 from jobstrata import schemas
 from jobstrata.functions import scoring
+from jobstrata.functions.extraction import clamp_role_family
 from jobstrata.functions.skills import or_empty
 from jobstrata.operators.plugins import as_frame, as_records
 from jobstrata.operators.predicates import pending_extraction, pending_family
@@ -23,33 +26,50 @@ VALUES = ["skills", "remote_policy", "salary_min", "salary_max", "salary_currenc
 Model = Callable[[dict], dict]
 
 
-def collect_outcomes(postings: DataFrame, make_model: Callable[[], Model], attempts: int = 3) -> DataFrame:
+def collect_outcomes(
+    postings: DataFrame, make_model: Callable[[], Model], attempts: int = 3, parallel: int = 1, pause: float = 0.0
+) -> DataFrame:
     """One outcome per posting: facts and tokens, or the last error after ``attempts`` tries.
 
     ``make_model`` runs once per task and returns a function from a posting (as a dict) to a dict
     with the facts, ``prompt_tokens`` and ``completion_tokens``. It may raise; nothing is lost.
+    Each task keeps up to ``parallel`` calls open; before try k + 1 it waits ``pause`` * 2^(k - 1) seconds.
     Write the result to a table before merging it, so that no reply is paid for twice.
     """
 
+    failed = {"skills": [], "remote_policy": "unknown", "prompt_tokens": 0, "completion_tokens": 0}
+    return _collected(postings, make_model, attempts, parallel, pause, failed, schemas.OUTCOMES)
+
+
+def collect_family_outcomes(
+    postings: DataFrame, make_model: Callable[[], Model], attempts: int = 3, parallel: int = 1, pause: float = 0.0
+) -> DataFrame:
+    """As :func:`collect_outcomes`, for replies with a ``role_family``, which is clamped to the known ones."""
+    failed = {"role_family": None, "prompt_tokens": 0, "completion_tokens": 0}
+    found = _collected(postings, make_model, attempts, parallel, pause, failed, schemas.FAMILY_OUTCOMES)
+    return found.withColumn("role_family", F.when(F.col("ok"), clamp_role_family(F.col("role_family"))))
+
+
+def _collected(postings: DataFrame, make_model, attempts: int, parallel: int, pause: float, failed: dict, schema) -> DataFrame:
     def ask(model: Model, posting: dict) -> dict:
         error = None
-        for _ in range(attempts):
+        for tried in range(attempts):
+            if tried and pause:
+                time.sleep(pause * 2 ** (tried - 1))
             try:
                 return {**model(posting), "job_id": posting["id"], "ok": True, "error": None}
             except Exception as failure:  # noqa: BLE001 - recorded in the outcome
                 error = f"{type(failure).__name__}: {failure}"
-        return {
-            "job_id": posting["id"], "ok": False, "skills": [], "remote_policy": "unknown",
-            "prompt_tokens": 0, "completion_tokens": 0, "error": error,
-        }
+        return {**failed, "job_id": posting["id"], "ok": False, "error": error}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
-        for batch in batches:
-            yield as_frame([ask(model, row) for row in as_records(batch)], schemas.OUTCOMES)
+        with ThreadPoolExecutor(max(1, parallel)) as calls:
+            for batch in batches:
+                yield as_frame(list(calls.map(lambda row: ask(model, row), as_records(batch))), schema)
 
     wanted = postings.select("id", "title", "description_raw", "location")
-    return wanted.mapInPandas(run, schemas.OUTCOMES)
+    return wanted.mapInPandas(run, schema)
 
 
 def with_fallback(model_facts: Column, heuristic: Column) -> Column:
@@ -170,7 +190,7 @@ def label_role_family(
     reached = _budgeted(jobs.filter(pending_family()), outcomes, batch_size, limit, ceiling)
     labels = outcomes.join(
         reached.filter("done AND ok").select(F.col("id").alias("job_id")), "job_id", "left_semi"
-    ).select(F.col("job_id").alias("id"), F.col("role_family").alias("_label"))
+    ).select(F.col("job_id").alias("id"), clamp_role_family(F.col("role_family")).alias("_label"))
     return (
         jobs.join(labels, "id", "left")
         .withColumn("role_family", F.coalesce("role_family", "_label"))
@@ -246,11 +266,11 @@ def compared(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
 def comparison_report(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Model against heuristic in one row."""
     flags = ["remote_changed", "salary_added", "salary_removed", "narrower", "broader", "emptied"]
-    rows = compared(jobs, outcomes).agg(
-        F.avg(F.size("heuristic_skills")).alias("heuristic_skill_avg"),
-        F.avg(F.size("model_skills")).alias("model_skill_avg"),
+    rows = compared(jobs, outcomes).agg(F.struct(
+        F.coalesce(F.avg(F.size("heuristic_skills")), F.lit(0.0)).alias("heuristic_skill_avg"),
+        F.coalesce(F.avg(F.size("model_skills")), F.lit(0.0)).alias("model_skill_avg"),
         *[F.count_if(flag).alias(flag) for flag in flags],
-    )
+    ).alias("all"))
     known = outcomes.join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_semi")
     tokens = known.agg(
         F.count(F.lit(1)).alias("n"),
@@ -259,15 +279,8 @@ def comparison_report(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"),
         F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"),
     )
-    zero = {"heuristic_skill_avg", "model_skill_avg"}
-    return tokens.select(
-        "*",
-        scoring.token_cost(F.col("prompt_tokens"), F.col("completion_tokens")).alias("cost"),
-        *[
-            (F.coalesce(rows.select(c).scalar(), F.lit(0.0)) if c in zero else rows.select(c).scalar()).alias(c)
-            for c in rows.columns
-        ],
-    )
+    cost = scoring.token_cost(F.col("prompt_tokens"), F.col("completion_tokens")).alias("cost")
+    return tokens.withColumn("_rows", rows.scalar()).select(*tokens.columns, cost, "_rows.*")
 
 
 def comparison_examples(jobs: DataFrame, outcomes: DataFrame, count: int = 12) -> DataFrame:

@@ -29,7 +29,7 @@ def fold_before(
     so no block exceeds ``block`` rows, however many rows a key has.
     """
     rows = df.withColumns({"_at": position.cast("bigint"), "_value": value}).withColumn(
-        "_block", F.floor(F.col("_at") / F.lit(block))
+        "_block", F.expr(f"_at div {int(block)}") - (F.col("_at") % block < 0).cast("bigint")
     )
     of_block = {
         "min": F.min("_value"),

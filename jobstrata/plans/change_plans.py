@@ -114,9 +114,7 @@ def ingest_state(spark, sf_dir):
 
 def _only(spark, sf_dir, *kinds: str):
     """The new state of the postings of one change class."""
-    classes = ingest.change_classes(X.state(spark, sf_dir), X.feed(spark, sf_dir), X.crawls(spark, sf_dir))
-    wanted = classes.filter(F.col("change").isin(*kinds)).select("id")
-    return _row(_after(spark, sf_dir).jobs.join(wanted, "id", "left_semi"))
+    return _row(_after(spark, sf_dir).changed.filter(F.col("change").isin(*kinds)))
 
 
 @query("ingest_new", f"{_STATE} SELECT {_ROW} FROM after WHERE is_new")

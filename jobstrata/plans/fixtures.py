@@ -38,11 +38,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ensure_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer splits than cores, as of one small file, spread over the cores; a table of
-    many files is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Narrow rows dealt over all tasks by their key before the wide texts are joined to them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _rows(spark: SparkSession, sf_dir: str, name: str) -> Column:
@@ -72,7 +70,7 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def postings(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
     """Every order as a posting, with the helper columns the tables below are cut from."""
     k = F.col("k")
-    orders = _spread(table(spark, sf_dir, "orders")).select(
+    orders = _spread(table(spark, sf_dir, "orders"), "o_orderkey").select(
         F.col("o_orderkey").alias("k"),
         (F.col("o_custkey") % _rows(spark, sf_dir, "supplier")).alias("company_no"),
         F.col("o_orderstatus").alias("status"),
@@ -340,6 +338,7 @@ def landing(spark: SparkSession, sf_dir: str, vendor: str | None = None) -> Data
     failed = crawls(spark, sf_dir).filter(~F.col("ok"))
     rows = rows.join(failed.select("company_id"), "company_id", "left_anti")
     builders = {"greenhouse": _greenhouse_job(), "lever": _lever_job(), "ashby": _ashby_job()}
+    counts = rows.groupBy("company_id").agg(F.countDistinct(F.expr(f"k div {PAGE}")).alias("page_count"))
     pages = None
     for name, job in builders.items():
         if vendor not in (None, name):
@@ -353,9 +352,9 @@ def landing(spark: SparkSession, sf_dir: str, vendor: str | None = None) -> Data
             ).alias("jobs"))
         )
         body = F.to_json("jobs") if name == "lever" else F.to_json(F.struct("jobs"))
-        page = grouped.select(
+        page = grouped.join(counts, "company_id").select(
             "company_id", F.lit(name).alias("vendor"), "tenant", "page_no", F.lit(200).alias("status"), body.alias("body"),
-            F.lit(None).cast("string").alias("error"), now().alias("crawl_ts"),
+            F.lit(None).cast("string").alias("error"), now().alias("crawl_ts"), "page_count",
         )
         pages = page if pages is None else pages.unionByName(page)
     return pages.unionByName(_bad_pages(spark, sf_dir)) if vendor is None else pages
@@ -380,6 +379,7 @@ def _bad_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("body"),
         F.when(kind == 3, F.lit("ConnectTimeout: timed out")).alias("error"),
         now().alias("crawl_ts"),
+        F.lit(None).cast("bigint").alias("page_count"),
     )
 
 

@@ -13,8 +13,9 @@ from jobstrata.operators.ingest import accepted_feed
 from jobstrata.operators.plugins import extract_with
 from jobstrata.plans import fixtures as X
 from jobstrata.plans import oracle_base as O
-from jobstrata.plans import change_plans  # noqa: F401 - registers the batch twin of a stream
-from jobstrata.plans.registry import joined, query, registered_sql, sorted_tags, sql_stamp, stamp
+from jobstrata.plans.change_plans import _AFTER, _ROW, _row
+from jobstrata.plans.registry import joined, query, registered_sql, sorted_tags, sql_sorted, sql_stamp, stamp
+from jobstrata.plans.scalar_plans import facts_sql
 from jobstrata.plans.watch_plans import _BOTH, _MSCORE, _SAME, _TOP
 from jobstrata.session import ensure_checkpoint_dir
 from jobstrata.sources import receipts, repo_files, snapshot
@@ -46,43 +47,48 @@ _STREAMED = _LISTED.replace(
 )
 
 
-def _core_sql(first: str, verified: str, delisted: str) -> str:
-    return (
-        f"coalesce(s.id, f.id) AS id, coalesce(s.company_id, f.company_id) AS company_id, coalesce(f.content_hash, s.content_hash) AS content_hash, "
-        f"{sql_stamp(first, 'first_seen_at')}, {sql_stamp(verified, 'verified_at')}, {sql_stamp(delisted, 'delisted_at')}, "
-        "CASE WHEN s.id IS NULL THEN coalesce(r.relist_count, 0) ELSE s.relist_count END AS relist_count, "
-        "coalesce(f.apply_channel, s.apply_channel) AS apply_channel"
-    )
-
-
-def _core(jobs):
-    return jobs.select(
-        "id", "company_id", "content_hash", stamp("first_seen_at"), stamp("verified_at"), stamp("delisted_at"), "relist_count", "apply_channel"
-    )
+# What a payload says of pay is checked by the salary queries; it differs from the plain feed's.
+_PAY = ["salary_min", "salary_max", "salary_currency"]
 
 
-@query(
-    "stream_ingest",
-    f"""{_STREAMED} SELECT {_core_sql(
-        f"CASE WHEN s.id IS NULL THEN coalesce(r.first_seen_at, {O.NOW}) ELSE s.first_seen_at END",
-        f"CASE WHEN f.id IS NOT NULL THEN {O.NOW} ELSE s.verified_at END",
-        f"CASE WHEN f.id IS NOT NULL THEN NULL WHEN s.delisted_at IS NULL AND c.ok THEN {O.NOW} ELSE s.delisted_at END")}
-FROM state s FULL JOIN feed f ON f.id = s.id LEFT JOIN crawls c ON c.company_id = s.company_id LEFT JOIN relisted r ON r.id = f.id""",
-)
+@query("stream_ingest", f"{_STREAMED}, {_AFTER}, shown AS (SELECT {_ROW} FROM after) SELECT * EXCLUDE (salary_min, salary_max, salary_currency) FROM shown")
 def stream_ingest(spark, sf_dir):
-    """Landing pages through the file stream into a stored index."""
+    """Three crawls per company through the file stream, in five batches: the one that counts, split over two of them;
+    a later one that fails; and a later one of which only some pages land. Some pages come twice."""
     root = _fresh_root(spark)
     store = StateStore(spark, f"{root}/state")
     store.write({"jobs": X.state(spark, sf_dir), "companies": X.companies(spark, sf_dir)})
-    X.landing(spark, sf_dir).write.parquet(f"{root}/pages")
-    start_ingest(store, f"{root}/pages", f"{root}/checkpoint", _ONCE).awaitTermination()
-    return _core(store.read("jobs", schemas.JOBS))
+    X.landing(spark, sf_dir).write.parquet(f"{root}/made")
+    pages = spark.read.schema(schemas.LANDING).parquet(f"{root}/made")
+    odd = F.col("page_no") % 2 == 1
+
+    def at(hours: int):
+        return X.now() + F.make_dt_interval(hours=F.lit(hours))
+
+    # Failed crawls land before the good one of the same companies is whole.
+    failed = pages.select("company_id", "vendor", "tenant").distinct().withColumns(
+        {
+            "page_no": F.lit(0).cast("bigint"), "status": F.lit(503), "body": F.lit(None).cast("string"), "error": F.lit(None).cast("string"),
+            "crawl_ts": at(2), "page_count": F.lit(None).cast("bigint"),
+        }
+    )
+    partial = pages.filter(odd).withColumns({"crawl_ts": at(3), "page_count": F.lit(10**6).cast("bigint")})
+    for number, batch in enumerate([pages.filter(odd), failed, pages.filter(~odd), partial, pages]):
+        batch.select(schemas.LANDING.fieldNames()).write.parquet(f"{root}/pages/part={number}")
+        start_ingest(store, f"{root}/pages/*", f"{root}/checkpoint", _ONCE).awaitTermination()
+    return _row(store.read("jobs", schemas.JOBS)).drop(*_PAY)
+
+
+_BOOT = f"""{_LISTED}, facts AS ({facts_sql('feed')}), boot AS (
+  SELECT f.*, x.f_skills AS b_skills, x.f_remote AS b_remote FROM feed f JOIN facts x USING (id))"""
 
 
 @query(
     "bootstrap_refresh",
-    f"""{_LISTED} SELECT id, company_id, content_hash, {sql_stamp(O.NOW, 'first_seen_at')}, {sql_stamp(O.NOW, 'verified_at')},
-  CAST(NULL AS VARCHAR) AS delisted_at, 0 AS relist_count, apply_channel FROM feed""",
+    f"""{_BOOT} SELECT id, company_id, title, md5(description_raw) AS body, {sql_sorted('b_skills', 'skills')}, CAST(NULL AS VARCHAR) AS role_family, b_remote AS remote_policy,
+  location, {sql_stamp('posted_at')}, {sql_stamp('updated_at')}, {sql_stamp(O.NOW, 'first_seen_at')},
+  {sql_stamp(O.NOW, 'verified_at')}, CAST(NULL AS VARCHAR) AS delisted_at, 0 AS relist_count,
+  round({O.ghost('0', f'coalesce(posted_at, {O.NOW})')}, 6) AS ghost_score, apply_channel, content_hash, 'heuristic' AS extraction_source, '' AS skills_fallback FROM boot""",
 )
 def bootstrap_refresh(spark, sf_dir):
     """An index from nothing: candidates seeded from the crawl, then the crawl applied."""
@@ -93,7 +99,7 @@ def bootstrap_refresh(spark, sf_dir):
     # Here the company id is the tenant of the crawl as well.
     candidates = X.companies(spark, sf_dir).select("name", F.col("ats_vendor").alias("vendor"), F.col("id").alias("tenant"))
     bootstrap(store, pages, X.now(), candidates=candidates)
-    return _core(store.read("jobs", schemas.JOBS))
+    return _row(store.read("jobs", schemas.JOBS)).drop(*_PAY)
 
 
 @query(
@@ -121,14 +127,29 @@ def snapshot_publish(spark, sf_dir):
     return stats.select("companies", "jobs", stamp("data_as_of"), "age_days", (F.col("bytes") > 0).alias("has_bytes"))
 
 
-@query("snapshot_install", f"{O.JOBS} SELECT id, {sql_stamp('verified_at')} FROM jobs")
+@query(
+    "snapshot_install",
+    f"""{O.JOBS} SELECT 'job' AS kind, id, company_id, title, array_to_string(skills, ',') AS detail, remote_policy, salary_min, relist_count,
+  round(ghost_score, 6) AS ghost_score, content_hash, {sql_stamp('verified_at')}, {sql_stamp('delisted_at')} FROM jobs
+UNION ALL SELECT 'company', id, ats_tenant, name, careers_url, ats_vendor, NULL, NULL, NULL, NULL, {sql_stamp('last_crawled_at')}, NULL FROM companies""",
+)
 def snapshot_install(spark, sf_dir):
     root = _fresh_root(spark)
     source, target = StateStore(spark, f"{root}/source"), StateStore(spark, f"{root}/target")
     source.write({"jobs": X.jobs(spark, sf_dir), "companies": X.companies(spark, sf_dir)})
     snapshot.publish_snapshot(source, f"{root}/snapshot", X.now())
     snapshot.install_snapshot(target, f"{root}/snapshot", X.now())
-    return target.read("jobs", schemas.JOBS).select("id", stamp("verified_at"))
+    jobs, companies = target.read("jobs", schemas.JOBS), target.read("companies", schemas.COMPANIES)
+    return jobs.select(
+        F.lit("job").alias("kind"), "id", "company_id", "title", joined(F.col("skills"), "detail"), "remote_policy", "salary_min", "relist_count",
+        F.round("ghost_score", 6).alias("ghost_score"), "content_hash", stamp("verified_at"), stamp("delisted_at"),
+    ).unionByName(
+        companies.select(
+            F.lit("company").alias("kind"), "id", F.col("ats_tenant").alias("company_id"), F.col("name").alias("title"), F.col("careers_url").alias("detail"),
+            F.col("ats_vendor").alias("remote_policy"), F.date_format("last_crawled_at", "yyyy-MM-dd HH:mm:ss").alias("verified_at"),
+        ),
+        allowMissingColumns=True,
+    )
 
 
 @query("schema_evolve", f"{O.JOBS} SELECT id, 'heuristic' AS extraction_source, CAST(NULL AS VARCHAR) AS role_family FROM jobs")
@@ -141,7 +162,7 @@ def schema_evolve(spark, sf_dir):
 @query(
     "receipts_log",
     f"""{O.JOBS} SELECT 'r' || j.k AS receipt_id, j.id AS job_id, c.name AS company, title, {sql_stamp('verified_at', 'created_at')}
-FROM jobs j JOIN companies c ON c.id = company_id WHERE delisted_at IS NULL""",
+FROM jobs j JOIN companies c ON c.id = company_id""",
 )
 def receipts_log(spark, sf_dir):
     """Two appends, one load."""
@@ -154,8 +175,8 @@ def receipts_log(spark, sf_dir):
 
 def _receipts(spark, sf_dir):
     names = X.companies(spark, sf_dir).select(F.col("id").alias("company_id"), F.col("name").alias("company"))
-    live = X.jobs(spark, sf_dir).filter("delisted_at IS NULL").join(names, "company_id")
-    return live.select(
+    named = X.jobs(spark, sf_dir).join(names, "company_id")
+    return named.select(
         F.concat(F.lit("r"), F.substring_index("id", ":", -1)).alias("receipt_id"), F.col("id").alias("job_id"), "company", "title",
         F.col("verified_at").alias("created_at"),
     )
@@ -163,7 +184,7 @@ def _receipts(spark, sf_dir):
 
 @query(
     "latest_receipts",
-    f"{O.JOBS} SELECT 'r' || k AS receipt_id, {sql_stamp('verified_at', 'created_at')} FROM jobs WHERE delisted_at IS NULL ORDER BY verified_at DESC, 'r' || k DESC LIMIT 10",
+    f"{O.JOBS} SELECT 'r' || k AS receipt_id, {sql_stamp('verified_at', 'created_at')} FROM jobs ORDER BY verified_at DESC, 'r' || k DESC LIMIT 10",
 )
 def latest_receipts(spark, sf_dir):
     return status.latest_receipts(_receipts(spark, sf_dir)).select("receipt_id", stamp("created_at"))
@@ -196,7 +217,7 @@ def stream_lifecycle(spark, sf_dir):
     log = X.crawl_log(spark, sf_dir)
     third = F.when(F.dayofmonth("day") <= 10, 0).when(F.dayofmonth("day") <= 20, 1).otherwise(2)
     for part in range(3):
-        log.filter(third == part).coalesce(1).write.parquet(f"{root}/log/part={part}")
+        log.filter(third == part).write.parquet(f"{root}/log/part={part}")
         start_lifecycle(store, f"{root}/log/*", f"{root}/checkpoint", _ONCE, files_per_batch=1000).awaitTermination()
     found = store.read("spans", SPANS)
     return found.select(*[F.col(c).cast("string") if c in ("live_from", "last_seen", "delisted_on") else c for c in found.columns])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from jobstrata import schemas
 from jobstrata.operators import authorize, guards, predicates, search, status, watches
 from jobstrata.plans import fixtures as X
 from jobstrata.plans import oracle_base as O
@@ -232,3 +233,16 @@ _AGAIN = O.resolved("vendor", "tenant", "ats_job_id", "apply_channel")
 def guard_apply_channel(spark, sf_dir):
     return guards.apply_channel_report(X.jobs(spark, sf_dir), X.companies(spark, sf_dir))
 
+
+
+@query(
+    "guard_schema",
+    f"""WITH {_WATCHES} SELECT 'email' AS column, count(CASE WHEN c % 13 = 0 THEN 1 END) AS filled FROM watches
+UNION ALL SELECT 'resume_text', count(CASE WHEN c % 17 = 0 THEN 1 END) FROM watches""",
+)
+def guard_schema(spark, sf_dir):
+    """A caller-owned table as it should be, which reports nothing, and the same after two columns crept in."""
+    good = X.watches(spark, sf_dir)
+    number = F.substring_index("watch_id", "_", -1).cast("bigint")
+    drifted = good.withColumns({"email": F.when(number % 13 == 0, "a@b.c"), "resume_text": F.when(number % 17 == 0, "text")})
+    return guards.schema_report(good, schemas.WATCHES).union(guards.schema_report(drifted, schemas.WATCHES))

@@ -43,10 +43,11 @@ FEED = _struct(
 
 CRAWLS = _struct(("company_id", _S), ("ok", _B), ("status", _I), ("error", _S))
 
-# A crawl of one tenant may land as several bounded pages; page_no keeps their order.
+# A crawl of one tenant may land as several bounded pages; page_no keeps their order. page_count says
+# how many different pages the crawl has; null means that nothing more is to come.
 LANDING = _struct(
     ("company_id", _S), ("vendor", _S), ("tenant", _S), ("page_no", _L), ("status", _I),
-    ("body", _S), ("error", _S), ("crawl_ts", _TS),
+    ("body", _S), ("error", _S), ("crawl_ts", _TS), ("page_count", _L),
 )
 
 FILTERS = _struct(

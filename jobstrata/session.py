@@ -34,10 +34,13 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a temporary one only where none is set."""
+    """The shared checkpoint folder of the cluster. Only a session on one machine may do without the setting; it gets a
+    temporary folder. On a cluster every executor would write to a disk of its own, so that is refused."""
     context = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if current is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="run-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(current)

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from jobstrata.operators.lifecycle import lifecycle_spans
 from jobstrata.sources.state import StateStore
+from jobstrata.streaming.batches import batch_tag
 
 LOG = T.StructType(
     [
@@ -81,7 +82,7 @@ def start_lifecycle(
     log = store.spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch).parquet(log_path)
     return (
         log.writeStream.queryName("posting_lifecycle")
-        .foreachBatch(lambda batch, number: apply_log(store, batch, f"lifecycle-{number}"))
+        .foreachBatch(lambda batch, number: apply_log(store, batch, batch_tag(batch, "lifecycle", number)))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "1 hour"}))
         .start()

@@ -1,39 +1,61 @@
-"""Continuous matching of standing queries against newly seen postings."""
+"""Continuous matching of standing queries against newly seen postings.
+
+The stream hands every posting over once, whenever it lands. Its first batch is a check like any other, from the cursors
+on. From then on a watch that was checked before meets each batch whole: a posting that lands late is as new to it as any
+other, so its first sighting is not compared with the cursor. A watch that was never checked meets all postings so far.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from jobstrata import schemas
 from jobstrata.operators.watches import advance_cursor, top_matches
 from jobstrata.sources.state import StateStore
+from jobstrata.streaming.batches import batch_tag
 
 
 def match_batch(store: StateStore, postings: DataFrame, out: str, tag: str, now) -> None:
     """Top matches of one batch of postings, written below ``out``, then the cursor moves.
 
-    The batch's directory is replaced when the batch is replayed; a committed batch is skipped.
+    The batch's directories are replaced when the batch is replayed; a committed batch is skipped.
     """
     if store.has_tag(tag):
         return
+    handed_over = f"{store.root}/handed_over"
+    postings.write.mode("overwrite").parquet(f"{handed_over}/batch={tag}")
+    everything = store.spark.read.schema(schemas.JOBS).parquet(handed_over).select(schemas.JOBS.fieldNames())
+    this = store.spark.read.schema(schemas.JOBS).parquet(f"{handed_over}/batch={tag}")
     watches = store.read("watches", schemas.WATCHES)
-    top_matches(watches, postings, now).write.mode("overwrite").parquet(f"{out}/batch={tag}")
-    store.write({"watches": advance_cursor(watches, now)}, tag)
+    never = F.col("last_notified_at").isNull()
+    # The postings so far are the baseline; a posting that changed since is matched as it is now.
+    latest = everything.groupBy("id").agg(F.max("verified_at").alias("verified_at"))
+    baseline = everything.join(latest, ["id", "verified_at"], "left_semi").dropDuplicates(["id"]).select(schemas.JOBS.fieldNames())
+    first = top_matches(watches.filter(never), baseline, now)
+    since = watches.select("watch_id", F.col("last_notified_at").alias("_since"))
+    checked = watches.filter(~never)
+    if store.exists("matched_batches"):
+        checked = checked.withColumn("last_notified_at", F.lit(None).cast("timestamp"))
+    later = top_matches(checked, this, now)
+    later = later.join(since, "watch_id").withColumn("since", F.col("_since")).select(first.columns)
+    first.unionByName(later).write.mode("overwrite").parquet(f"{out}/batch={tag}")
+    store.write({"watches": advance_cursor(watches, now), "matched_batches": store.spark.range(1)}, tag)
 
 
 def start_matching(
-    store: StateStore, postings_path: str, out: str, checkpoint: str, clock, trigger: dict | None = None
+    store: StateStore, postings_path: str, out: str, checkpoint: str, clock, trigger: dict | None = None, files_per_batch: int = 1000
 ) -> StreamingQuery:
     """Matches every batch of new posting files (parquet, ``schemas.JOBS``).
 
     ``clock`` gives the time of a batch from its number; nothing else reads a clock.
     """
-    postings = store.spark.readStream.schema(schemas.JOBS).parquet(postings_path)
+    postings = store.spark.readStream.schema(schemas.JOBS).option("maxFilesPerTrigger", files_per_batch).parquet(postings_path)
     return (
         postings.writeStream.queryName("watch_matching")
         .foreachBatch(
-            lambda batch, number: match_batch(store, batch, out, f"watch-{number}", clock(number))
+            lambda batch, number: match_batch(store, batch, out, batch_tag(batch, "watch", number), clock(number))
         )
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "30 minutes"}))
