@@ -211,11 +211,12 @@ def stream_watch_matches(spark, sf_dir):
 
 @query("stream_lifecycle", registered_sql("lifecycle_spans"))
 def stream_lifecycle(spark, sf_dir):
-    """The crawl log day after day, three batches in all."""
+    """The crawl log in three batches: the middle of the month, then its beginning, and the rest with half of one more day."""
     root = _fresh_root(spark)
     store = StateStore(spark, f"{root}/state")
     log = X.crawl_log(spark, sf_dir)
-    third = F.when(F.dayofmonth("day") <= 10, 0).when(F.dayofmonth("day") <= 20, 1).otherwise(2)
+    half = F.pmod(F.xxhash64("posting_id"), F.lit(2))
+    third = F.when(F.dayofmonth("day") <= 10, 1).when(F.dayofmonth("day") < 20, 0).when(F.dayofmonth("day") == 20, 2 * half).otherwise(2)
     for part in range(3):
         log.filter(third == part).write.parquet(f"{root}/log/part={part}")
         start_lifecycle(store, f"{root}/log/*", f"{root}/checkpoint", _ONCE, files_per_batch=1000).awaitTermination()

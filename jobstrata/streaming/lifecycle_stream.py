@@ -30,6 +30,7 @@ SPANS = T.StructType(
         T.StructField("opened_as", T.StringType()),
     ]
 )
+DAYS = T.StructType([T.StructField("company_id", T.StringType()), T.StructField("last_day", T.DateType())])
 _KEY = ["company_id", "posting_id"]
 
 
@@ -69,16 +70,32 @@ def extend_spans(spans: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def apply_log(store: StateStore, log: DataFrame, tag: str) -> None:
+    """Spans after one batch of the log, whatever its order.
+
+    The log is kept next to the spans. Companies whose days all come after those seen before are extended; for one with
+    a day that is late, or the rest of a day that was split, the spans are worked out again from its whole log.
+    """
     if store.has_tag(tag):
         return
-    spans = extend_spans(store.read("spans", SPANS), log)
-    store.write({"spans": spans.select([F.col(f.name).cast(f.dataType) for f in SPANS.fields])}, tag)
+    kept = f"{store.root}/crawl_log"
+    log.select(LOG.fieldNames()).write.mode("overwrite").parquet(f"{kept}/batch={tag}")
+    batch = store.spark.read.schema(LOG).parquet(f"{kept}/batch={tag}")
+    whole = store.spark.read.schema(LOG).parquet(kept).select(LOG.fieldNames())
+    seen = store.read("crawl_days", DAYS)
+    days = batch.groupBy("company_id").agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
+    late = days.join(seen, "company_id").filter(F.col("_first") <= F.col("last_day")).select("company_id")
+    old = store.read("spans", SPANS)
+    extended = extend_spans(old.join(late, "company_id", "left_anti"), batch.join(late, "company_id", "left_anti"))
+    again = lifecycle_spans(whole.join(late, "company_id", "left_semi"))
+    spans = extended.select(SPANS.fieldNames()).unionByName(again.select(SPANS.fieldNames()))
+    last = seen.unionByName(days.select("company_id", F.col("_last").alias("last_day"))).groupBy("company_id").agg(F.max("last_day").alias("last_day"))
+    store.write({"spans": spans.select([F.col(f.name).cast(f.dataType) for f in SPANS.fields]), "crawl_days": last}, tag)
 
 
 def start_lifecycle(
-    store: StateStore, log_path: str, checkpoint: str, trigger: dict | None = None, files_per_batch: int = 1
+    store: StateStore, log_path: str, checkpoint: str, trigger: dict | None = None, files_per_batch: int = 1000
 ) -> StreamingQuery:
-    """Extends the spans by every new log file (parquet); files arrive in order of their days."""
+    """Brings the spans up to date with every batch of new log files (parquet), late and split days included."""
     log = store.spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch).parquet(log_path)
     return (
         log.writeStream.queryName("posting_lifecycle")

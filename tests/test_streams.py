@@ -175,3 +175,22 @@ def test_checkpoint_folder_on_a_cluster_must_be_set():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_log_days_may_come_late_and_split(spark, tmp_path):
+    import random
+
+    from jobstrata.operators.lifecycle import lifecycle_spans
+    from jobstrata.streaming.lifecycle_stream import LOG, SPANS, apply_log
+
+    rng = random.Random(6)
+    rows = [(f"c{rng.randint(0, 2)}", f"p{rng.randint(0, 9)}", dt.date(2024, 1, rng.randint(1, 28)), rng.random() < 0.6) for _ in range(200)]
+    whole = spark.createDataFrame(rows, LOG)
+    store = StateStore(spark, str(tmp_path))
+    first_half = {15: 0, 24: 2}  # the batches with one half of these days; the other half comes later
+    for number, days in enumerate((range(10, 16), range(1, 10), range(15, 25), range(24, 29))):
+        some = [r for k, r in enumerate(rows) if r[2].day in days and (r[2].day not in first_half or (number == first_half[r[2].day]) == (k % 2 == 0))]
+        apply_log(store, spark.createDataFrame(some, LOG), f"l-{number}")
+    as_set = lambda df: {tuple(r) for r in df.select(SPANS.fieldNames()).collect()}
+    assert as_set(store.read("spans", SPANS)) == as_set(lifecycle_spans(whole))
+    assert store.prune(keep=1) == 6 and as_set(store.read("spans", SPANS)) == as_set(lifecycle_spans(whole))
