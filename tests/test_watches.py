@@ -70,10 +70,9 @@ def brute_force(rows, asked):
     return found
 
 
-@pytest.mark.parametrize("plain", [False, True])
-def test_matching_equals_brute_force(spark, monkeypatch, plain):
-    if plain:  # more thresholds than allowed: every posting its own profile
-        monkeypatch.setattr(watches, "MAX_THRESHOLDS", 1)
+@pytest.mark.parametrize("cuts", [255, 1])
+def test_matching_equals_brute_force(spark, monkeypatch, cuts):
+    monkeypatch.setattr(watches, "CUTS", cuts)  # with one cut point most thresholds lie within a band
     rows, asked = random_input(spark)
     expected = brute_force(rows, asked)
     w, j = table(spark, schemas.WATCHES, asked), jobs(spark, *rows)
