@@ -69,14 +69,14 @@ def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return ranked.select("source", F.col("_place").alias("place"), "source_size", F.when(F.col("_ratio") <= F.col("_level"), F.col("_cap")).otherwise(F.coalesce(level, F.col("_level")) * F.col("_weight")).alias("target"))
 
 
-def layout(jobs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
+def layout(jobs: DataFrame, mix: Mix = Mix(), key: str = "id") -> tuple[DataFrame, DataFrame]:
     """Postings with their place in their source's stream, and the sources with their targets, blocks and draws.
 
-    The order within a source follows the MD5 of the id, so it depends on nothing but the ids (and, for repeated ids,
-    the sizes). Running totals come from range-partitioned ranges: no source is ever gathered in one task.
+    The order within a source follows the MD5 of the id (``key``), so it depends on nothing but the ids (and, for
+    repeated ids, the sizes). Running totals come from range-partitioned ranges: no source is ever gathered in one task.
     """
     sized = jobs.select("id", "source", F.size(words_of(F.col("description_raw"))).cast("long").alias("size"))
-    spread = sized.withColumns({"_no_source": F.col("source").isNull().cast("int"), "_shuffled": F.md5(F.col("id").cast("string"))})
+    spread = sized.withColumns({"_no_source": F.col("source").isNull().cast("int"), "_shuffled": F.md5(F.col(key).cast("string"))})
     placed = global_order(spread, ["_no_source", "source", "_shuffled", "id", "size"], {"_through": "size"})
     placed = placed.select(F.col("rank").alias("row"), "id", "source", "size", "_through")
     plan = targets(placed.select("source", "size"), mix)
@@ -128,13 +128,14 @@ def mixture(jobs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     row, id, from_word, to_word."""
     rows, sources = layout(jobs, mix)
     parts = segments(rows, mix)
-    return _met(slots(sources, mix), parts).select("shard", "slot", parts["source"], "pass", parts["block"], "row", "id", "from_word", "to_word")
+    return _met(slots(sources, mix), parts).select("shard", "slot", "source", "pass", "block", "row", "id", "from_word", "to_word")
 
 
 def _met(taken: DataFrame, parts: DataFrame) -> DataFrame:
     """Slots look as small to the planner as the sources they are exploded from, but grow with the index: without the
     hint they would be broadcast."""
-    return taken.hint("merge").join(parts, taken["source"].eqNullSafe(parts["source"]) & (taken["block"] == parts["block"]))
+    held = parts.withColumnsRenamed({"source": "_source", "block": "_block"})
+    return taken.hint("merge").join(held, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))).drop("_source", "_block")
 
 
 def mixed_sizes(jobs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -156,7 +157,7 @@ def mixed_texts(jobs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     same = Window.partitionBy("id").orderBy("source", F.md5("description_raw"))
     keyed = jobs.withColumn("_copy", F.row_number().over(same))
     named = keyed.select(F.struct("id", "_copy").alias("id"), "source", "description_raw")
-    rows, sources = layout(named, mix)
+    rows, sources = layout(named, mix, "id.id")
     parts = segments(rows, mix)
     met = _met(slots(sources, mix), parts)
     cuts = met.groupBy(F.col("id.id").alias("_id"), F.col("id._copy").alias("_copy_taken"), "pass").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("_cuts"))

@@ -329,11 +329,11 @@ def near_duplicates(jobs: DataFrame) -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable over links) and kept (id = component_id).
 
     Input: id (unique, of any orderable type), description_raw; other columns are ignored. Null, empty and wordless texts
-    have no shingles and no links. Equal sets, however many, form one class under its smallest id before any comparison.
+    have no shingles and no links; a posting without an id is left on its own and kept, with no component_id. Equal sets, however many, form one class under its smallest id before any comparison.
     An empty table gives no rows. Intermediate tables are written to the shared folder.
     """
     rows = written(sketches(jobs), "sketches")
-    classes = rows.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "signature")).alias("_first")).select("digest", "_first.*")
+    classes = rows.filter("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "signature")).alias("_first")).select("digest", "_first.*")
     first = written(classes.select("digest", "id", "n_shingles", "signature"), "classes")
     sets = first.select("id", "n_shingles", "signature", F.lit(0).cast("long").alias("known"))
     pairs = written(candidates(sets, second=False).select("a", "b"), "pairs")
@@ -350,8 +350,8 @@ def near_duplicates(jobs: DataFrame) -> DataFrame:
     groups = components(links.union(late)) if late.take(1) else groups
     final = first.select("digest", "id").join(groups, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     found = rows.select("id", "n_shingles", "digest").join(final, "digest", "left")
-    own = found.withColumn("component_id", F.coalesce("component_id", "id"))
-    return own.select("id", "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    own = found.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
+    return own.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_first(jobs: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ linked AS (SELECT src, CASE WHEN instr(link, '://') > 0 THEN {_HOST.format('link
 above AS (SELECT host, k, array_to_string(string_split(host, '.')[k + 1:], '.') AS parent FROM (SELECT host, unnest(range(1, len(string_split(host, '.')))) AS k FROM seeds WHERE host <> '')),
 nearest AS (SELECT host, arg_min(parent, k) AS parent FROM above WHERE parent IN (SELECT host FROM seeds) AND parent <> '' GROUP BY host),
 edges AS (SELECT src, dst, count(*)::DOUBLE AS w FROM (
-  SELECT src, dst FROM linked WHERE src <> '' AND dst <> '' AND src <> dst UNION ALL SELECT host, parent FROM nearest UNION ALL SELECT parent, host FROM nearest) GROUP BY ALL),
+  SELECT src, dst FROM linked WHERE src <> '' AND dst <> '' AND src <> dst UNION ALL SELECT host, parent FROM nearest) GROUP BY ALL),
 nodes AS (SELECT src AS host FROM edges UNION SELECT dst FROM edges UNION SELECT host FROM seeds),
 base AS (SELECT host, coalesce(t0, 0) AS t0, coalesce(d0, 0) AS d0 FROM nodes LEFT JOIN seeds USING (host)),
 flows AS (

@@ -164,16 +164,19 @@ class SpanModel:
 
 
 def calibrate(odds: np.ndarray, y: np.ndarray, kinds: np.ndarray) -> tuple[float, ...]:
-    """Per kind, the lowest log-odds of at least 0 from which on PRECISION holds; infinite without enough true examples."""
+    """Per kind, from which log-odds on PRECISION holds: a quarter of the way below the lowest such value seen, towards
+    the next lower one or 0, since nothing seen lies between. Infinite without enough true examples."""
     out = []
     for k in range(len(KINDS)):
         o, t = odds[kinds == k], y[kinds == k]
         best = np.inf
         if t.sum() >= MIN_EXAMPLES / 4:
+            below = 0.0
             for cut in np.unique(o[o >= 0]):
                 if t[o >= cut].mean() >= PRECISION:
-                    best = float(cut)
+                    best = float(cut - (cut - below) / 4)
                     break
+                below = float(cut)
         out.append(best)
     return tuple(out)
 

@@ -2,7 +2,8 @@
 
 Trust starts at hosts with allowed pages and follows links (personalised PageRank); distrust starts at hosts with blocked
 pages and follows links backwards: who links to blocked hosts is suspect. Edges are links between hosts, counted once per
-page and target, and ties between a host and its nearest parent domain that serves pages itself. A host is blocked where
+page and target, and one from a host to its nearest parent domain that serves pages itself, as if it linked there: a
+blocked domain makes its subdomains suspect, but one subdomain says nothing about its siblings. A host is blocked where
 distrust exceeds ``ratio`` times trust.
 """
 
@@ -61,7 +62,7 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """src, dst, weight: links between different hosts, and both ways between a host and its nearest known parent."""
+    """src, dst, weight: links between different hosts, and from a host to its nearest known parent."""
     links = pages.select("host", F.explode(F.array_distinct(F.regexp_extract_all("description_raw", F.lit(HREF), F.lit(1)))).alias("_link"))
     target = F.when(F.col("_link").startswith("//"), url_host(F.concat(F.lit("http:"), "_link"))).otherwise(url_host(F.col("_link")))
     linked = links.filter(F.col("_link").contains("//")).select(F.col("host").alias("src"), target.alias("dst"))
@@ -70,8 +71,7 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     parents = hosts.filter(F.col("host") != "").select("host", F.posexplode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(labels), F.lit(2))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))).alias("_step", "_parent"))
     known = hosts.select(F.col("host").alias("_parent"))
     nearest = parents.filter(F.col("_parent") != "").join(known, "_parent").groupBy("host").agg(F.min_by("_parent", "_step").alias("parent"))
-    ties = nearest.select(F.explode(F.array(F.struct(F.col("host").alias("src"), F.col("parent").alias("dst")), F.struct(F.col("parent").alias("src"), F.col("host").alias("dst")))).alias("_tie"))
-    return linked.union(ties.select("_tie.src", "_tie.dst", F.lit(1).cast("long").alias("weight"))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    return linked.union(nearest.select("host", "parent", F.lit(1).cast("long"))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def spread_trust(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:

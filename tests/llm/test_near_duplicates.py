@@ -71,6 +71,12 @@ def test_given_documents(spark):
     assert found(nd.near_duplicates(postings(spark, *made))) == sorted(brute(made), key=repr)
 
 
+def test_postings_without_an_id_are_kept(spark):
+    jobs = postings(spark, (None, "a b c d e f"), (4, "a b c d e f"), (5, "A b c d e f"), (None, "a b c d e f"))
+    assert found(nd.near_duplicates(jobs)) == sorted([(None, 2, None, True), (None, 2, None, True), (4, 2, 4, True), (5, 2, 4, False)], key=repr)
+    assert nd.keep_first(jobs).count() == 3
+
+
 def test_keep_first_keeps_columns(spark):
     jobs = postings(spark, (1, "a b c d e f"), (2, "a b c d e f"), (3, None))
     left = nd.keep_first(jobs)
