@@ -11,15 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobstrata.llm.common import written
-from jobstrata.llm.queries import as_documents, as_postings, table
+from jobstrata.llm.queries import as_documents, as_postings, labels, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the rule ensemble rejects."""
     from jobstrata.llm.quality_classifier import keep_good
 
-    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
-    return as_documents(keep_good(as_postings(docs), labels))
+    return as_documents(keep_good(as_postings(docs), labels(spark, sf_dir)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,10 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_postings(table(spark, sf_dir, "documents"))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobstrata.llm.quality_rules import judge_quality
 
@@ -67,7 +71,7 @@ URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobstrata.llm.url_filter import Rule, judge_urls
 
-    pages = table(spark, sf_dir, "pages").withColumnsRenamed({"page_id": "id", "url": "careers_url", "html": "description_raw"})
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("careers_url"), F.col("html").alias("description_raw"))
     return judge_urls(pages, [Rule(*r) for r in URL_RULES]).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
@@ -107,8 +111,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobstrata.llm.quality_classifier import score_quality
 
-    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
-    return score_quality(postings(spark, sf_dir), labels).withColumnRenamed("id", "doc_id")
+    return score_quality(postings(spark, sf_dir), labels(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
