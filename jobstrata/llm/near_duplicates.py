@@ -5,7 +5,8 @@ region is a run of sets with a common prefix of ``PREFIX`` values, and regions t
 Within a region the candidates are the edges of a maximum spanning forest over the estimated similarity, that is, every
 set's best neighbours, at most one edge less than sets. They are confirmed on full shingle sets read from the texts.
 A second pass takes every pair of a region that the estimate lets through and that the confirmed links don't join yet,
-so that a candidate that failed doesn't hide others; where those pairs are many, the region's full sets meet in its task. Two sets of similarity s meet in a tree with probability s^3: at
+so that a candidate that failed doesn't hide others; where those pairs are many, the region's full sets meet in its task.
+Sets of regions too large for a task are joined exactly instead, on the rare shingles that alike sets must share. Two sets of similarity s meet in a tree with probability s^3: at
 0.75 all 20 trees miss a pair once in 55,000, at 0.8 once in 1.7 million.
 """
 
@@ -27,8 +28,11 @@ TREES, DEPTH, PREFIX = 20, 6, 3
 PERCENT = 75
 #: Estimates below these can't be 0.75 but by an error of more than 5 (candidates) or 4 (second pass) deviations.
 LOOSE, CLOSE = 0.53, 0.58
-#: A region that holds more sets is entered at full depth; if it is still larger, it is dealt into parts, anew in each tree.
+#: In the first pass a region that holds more sets is entered at full depth; if it is still larger, it is dealt into parts, anew
+#: in each tree. All sets of such regions meet in ``hot_pairs``, whichever path or part they were in.
 REGION = 20_000
+SALT = 20_000  # entries of one shingle, on each side, that meet in a task
+_CODES = 1 << 20  # counters of shingles
 DENSE = 4  # pairs per set up to which the second pass lists them
 MAX_HOT = 100_000  # at most so many regions can hold more than their share of all rows
 BLOCK = 512
@@ -105,20 +109,109 @@ def trees(sets: DataFrame, with_bits: bool) -> DataFrame:
     return sets.mapInArrow(run, fields)
 
 
-def _regions(sets: DataFrame) -> DataFrame:
-    """The tree rows with ``key``: region, or region and path where a region is too large, or a part of that."""
+def region_limit(sets: DataFrame) -> int:
+    """So many sets a region may hold. Regions above are fewer than MAX_HOT, so broadcasting them is safe."""
+    return max(REGION, sets.count() * TREES // MAX_HOT)
+
+
+def hot_regions(sets: DataFrame, limit: int) -> DataFrame:
+    """The regions of more than ``limit`` sets, as ``_region``."""
+    return trees(sets, False).groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select(F.col("region").alias("_region"))
+
+
+def _regions(sets: DataFrame, hot: DataFrame | None, limit: int, second: bool) -> DataFrame:
+    """The tree rows with ``key``: region, or region and path where a region is too large, or a part of that. The second
+    pass leaves such regions to ``hot_pairs``."""
     rows = trees(sets, True)
-    counts = trees(sets, False)
-    limit = max(REGION, sets.count() * TREES // MAX_HOT)
-    # Regions above the limit are fewer than MAX_HOT, by the limit's definition: broadcasting them is safe.
-    hot = counts.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select(F.col("region").alias("_region"))
-    deep = counts.join(F.broadcast(hot), F.col("region") == F.col("_region"), "left_semi").groupBy("region", "path").agg(F.count(F.lit(1)).alias("_n"))
+    columns = ["path", "id", "n_shingles", "bits", "known"]
+    if hot is None:
+        return rows.select(F.col("region").alias("key"), *columns)
+    if second:
+        return rows.join(F.broadcast(hot), F.col("region") == F.col("_region"), "left_anti").select(F.col("region").alias("key"), *columns)
+    deep = trees(sets, False).join(F.broadcast(hot), F.col("region") == F.col("_region"), "left_semi").groupBy("region", "path").agg(F.count(F.lit(1)).alias("_n"))
     deep = deep.filter(F.col("_n") > limit).select(F.col("region").alias("_deep_region"), F.col("path").alias("_deep_path"), F.ceil(F.col("_n") / limit).cast("long").alias("_parts"))
     placed = rows.join(F.broadcast(hot), F.col("region") == F.col("_region"), "left")
     placed = placed.join(F.broadcast(deep), (F.col("region") == F.col("_deep_region")) & (F.col("path") == F.col("_deep_path")), "left")
     part: Column = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("id", "region"), F.col("_parts"))).otherwise(F.lit(0))
     key = F.when(F.col("_region").isNull(), F.col("region")).otherwise(F.xxhash64("region", "path", part))
-    return placed.select(key.alias("key"), "path", "id", "n_shingles", "bits", "known")
+    return placed.select(key.alias("key"), *columns)
+
+
+def _codes(texts: DataFrame) -> np.ndarray:
+    """For each counter, the logarithm of how often its shingles occur in ``texts``, in steps of an eighth."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(_CODES, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for s in shingle_sets(batch.column("description_raw")[at:at + 256].to_pylist()):
+                    np.add.at(counts, (s & np.uint64(_CODES - 1)).astype(np.int64), 1)
+        some = np.flatnonzero(counts)
+        for at in range(0, len(some), 1 << 16):
+            part = some[at:at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["code", "n"])
+
+    total = texts.select("description_raw").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(_CODES, np.uint8)
+    out[total.column("code").to_numpy()] = np.minimum(255, 1 + 8 * np.log2(total.column("n").to_numpy()))
+    return out
+
+
+def rare_shingles(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """id, known, shingle, n (shingles of the set) and reach (those from this one on, rare ones first): a row per shingle
+    that can be the first one that the set shares with another alike to it.
+
+    The order is by estimated frequency, then hash. Any order gives all pairs, as long as all sets have the same one.
+    """
+    codes, id_type = _codes(texts), texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                shingles, reaches, sizes = [], [], []
+                for s in shingle_sets(part.column("description_raw").to_pylist()):
+                    order = np.argsort(codes[(s & np.uint64(_CODES - 1)).astype(np.int64)], kind="stable")
+                    reach = len(s) - np.arange(len(s))
+                    own = 100 * reach >= percent * len(s)
+                    shingles.append(s[order[own]].view(np.int64))
+                    reaches.append(reach[own])
+                    sizes.append(len(s))
+                many = [len(s) for s in shingles]
+                each = pa.array(np.repeat(np.arange(part.num_rows), many))
+                columns = [part.column("id").take(each), part.column("known").take(each), pa.array(np.concatenate(shingles)), pa.array(np.repeat(np.array(sizes, np.int64), many)), pa.array(np.concatenate(reaches).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "known", "shingle", "n", "reach"])
+
+    return texts.select("id", "known", "description_raw").mapInArrow(run, f"id {id_type}, known long, shingle long, n long, reach long")
+
+
+def hot_pairs(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs a < b of different groups that may be alike, none missing. ``texts``: id, known, description_raw, a row per set.
+
+    Alike sets of sizes n and m share percent / (100 + percent) * (n + m) shingles, so from their first common one on both
+    have as many left: sets of one template that differ too much don't meet at the template's shingles. Shingles of many
+    sets are dealt out in cells of SALT entries of each side.
+    """
+    entries = written(rare_shingles(texts, percent), "rare")
+    is_small = (100 + percent) * F.col("reach") >= 2 * percent * F.col("n")  # can be the smaller set of a pair
+    sides = entries.groupBy("shingle").agg(F.count_if(is_small).alias("smalls"), F.count(F.lit(1)).alias("alls"))
+    # Fewer than entries / SALT shingles.
+    full = written(sides.filter((F.col("alls") > SALT) & (F.col("smalls") > 0)).select(F.col("shingle").alias("_full"), F.ceil(F.col("smalls") / SALT).alias("_smalls"), F.ceil(F.col("alls") / SALT).alias("_alls")), "full")
+    parts = entries.join(F.broadcast(full), F.col("shingle") == F.col("_full"), "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_smalls", "_alls")})
+
+    def dealt(own: str, other: str) -> Column:
+        mine = F.pmod(F.xxhash64("id"), F.col(own))
+        cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col(other) - 1), lambda k: F.struct(mine.alias(own), k.alias(other)))
+        return F.explode(cells)
+
+    left = parts.filter(is_small).select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("id", "known", "n", "reach")], dealt("_smalls", "_alls").alias("cell"))
+    left = left.select("*", F.col("cell._smalls").alias("_s"), F.col("cell._alls").alias("_t")).drop("cell")
+    right = parts.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("id", "known", "n", "reach")], dealt("_alls", "_smalls").alias("cell"))
+    right = right.select("*", F.col("cell._smalls").alias("_s"), F.col("cell._alls").alias("_t")).drop("cell")
+    first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
+    enough = (100 + percent) * F.least("reach_a", "reach_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    met = left.join(right, ["shingle", "_s", "_t"]).filter(first & enough & (100 * F.col("n_a") >= percent * F.col("n_b")) & (F.col("known_a") != F.col("known_b")))
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -224,8 +317,8 @@ def joins(sets: list[np.ndarray], known: np.ndarray, percent: int = PERCENT) ->
     return links
 
 
-def candidates(sets: DataFrame, second: bool) -> DataFrame:
-    """Pairs a < b of sets worth confirming; ``known`` is the group of each set so far.
+def candidates(sets: DataFrame, hot: DataFrame | None, limit: int, second: bool) -> DataFrame:
+    """Pairs a < b of sets worth confirming; ``known`` is the group of each set so far, ``hot`` the regions above ``limit``.
 
     In the second pass a region with too many pairs to list gives its members instead: rows with ``key``, the member as
     ``a`` and its group as ``known``.
@@ -282,7 +375,7 @@ def candidates(sets: DataFrame, second: bool) -> DataFrame:
         if held:
             yield from found_in(pa.Table.from_batches(held))
 
-    rows = _regions(sets).repartition("key").sortWithinPartitions("key", "path", "id")
+    rows = _regions(sets, hot, limit, second).repartition("key").sortWithinPartitions("key", "path", "id")
     found = rows.mapInArrow(run, f"a {id_type}, b {id_type}, key long, known long")
     is_pair = F.col("key").isNull()
     return found.select(F.when(is_pair, F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(is_pair, F.greatest("a", "b")).alias("b"), "key", "known").distinct()
@@ -290,7 +383,7 @@ def candidates(sets: DataFrame, second: bool) -> DataFrame:
 
 def dense_links(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links between groups within each region of ``members`` (key, id, known), confirmed on full sets in its task; a
-    region has at most REGION sets (or its share of MAX_HOT)."""
+    region has at most ``region_limit`` sets."""
     id_type = texts.schema["id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
@@ -336,15 +429,26 @@ def near_duplicates(jobs: DataFrame) -> DataFrame:
     classes = rows.filter("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "signature")).alias("_first")).select("digest", "_first.*")
     first = written(classes.select("digest", "id", "n_shingles", "signature"), "classes")
     sets = first.select("id", "n_shingles", "signature", F.lit(0).cast("long").alias("known"))
-    pairs = written(candidates(sets, second=False).select("a", "b"), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    limit = region_limit(sets)
+    hot = written(hot_regions(sets, limit), "hot")
+    hot = hot if hot.take(1) else None
+    pairs = written(candidates(sets, hot, limit, second=False).select("a", "b"), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    if hot is not None:
+        crowd = written(trees(sets, True).join(F.broadcast(hot), F.col("region") == F.col("_region"), "left_semi").select("id").distinct(), "crowd")
+        nodes = nodes.union(crowd)
+    nodes = nodes.distinct()
     texts = written(jobs.select("id", "description_raw").join(nodes, "id", "left_semi"), "texts")
     links = written(confirmed(pairs, texts), "links")
     groups = written(components(links), "groups")
     # What the first pass left apart: the group of a set is told by a hash of its component.
     apart = first.join(nodes, "id", "left_semi").join(groups, "id", "left").select("id", "n_shingles", "signature", F.xxhash64(F.coalesce("component", "id")).alias("known"))
-    more = written(candidates(written(apart, "apart"), second=True), "more")
-    late = confirmed(more.filter("key is null").select("a", "b").join(pairs, ["a", "b"], "left_anti"), texts)
+    apart = written(apart, "apart")
+    more = written(candidates(apart, hot, limit, second=True), "more")
+    new = more.filter("key is null").select("a", "b")
+    if hot is not None:
+        new = new.union(hot_pairs(texts.join(apart.select("id", "known").join(crowd, "id", "left_semi"), "id"))).distinct()
+    late = confirmed(new.join(pairs, ["a", "b"], "left_anti"), texts)
     dense = dense_links(more.filter("key is not null").select("key", F.col("a").alias("id"), "known"), texts)
     late = written(late.union(dense), "late-links")
     groups = components(links.union(late)) if late.take(1) else groups

@@ -92,6 +92,32 @@ def test_large_regions_are_entered_deeper(spark, monkeypatch):
     assert {r[2] for r in found(nd.near_duplicates(postings(spark, *made)))} == {0}
 
 
+@pytest.mark.parametrize("salt", [20_000, 7])
+def test_unlinked_sets_of_a_template_hide_no_near_copies(spark, monkeypatch, salt):
+    """80 % of every text is shared, so any two are at 0.66; every tenth has a copy at 0.77, in whichever part of its region."""
+    monkeypatch.setattr(nd, "REGION", 2)
+    monkeypatch.setattr(nd, "SALT", salt, raising=False)
+    rng = random.Random(6)
+    template = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+    made = [(k, " ".join(template + [f"own{k}x{j}" for j in range(40)])) for k in range(600)]
+    made += [(1000 + k, " ".join(template + [f"own{k}x{j}" if j < 14 else f"new{k}x{j}" for j in range(40)])) for k in range(0, 600, 10)]
+    want = brute(made)
+    assert sum(not r[3] for r in want) == 60
+    assert found(nd.near_duplicates(postings(spark, *made))) == sorted(want, key=repr)
+
+
+def test_rare_shingles_bring_every_pair_between_groups(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SALT", 5)
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    made = [(k, " ".join(base[:90 + k % 31]) if k % 5 == 0 else edited(base[:80 + k % 41], k, k % 6)) for k in range(90)]
+    sets = list(shingle_sets([t for _, t in made]))
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if i % 3 != j % 3 and alike(sets[i], sets[j], 75)}
+    jobs = postings(spark, *made).selectExpr("id", "id % 3 known", "description_raw")
+    got = {tuple(r) for r in nd.confirmed(nd.hot_pairs(jobs), jobs).collect()}
+    assert len(want) > 50 and got == want
+
+
 @pytest.mark.parametrize("size", [3, 40, 700])
 def test_forests_reach_every_copy(size):
     rng = np.random.default_rng(size)
