@@ -5,7 +5,8 @@ Suffixes are sorted in buckets that fit a task. The bucket of a string is its mi
 least hash, so equal strings meet and neighbouring strings mostly stay together as one run. Runs equal as a whole are
 settled by 128-bit hashes, the earliest one stands for them; only the runs that share a minimiser but differ are read
 again and their strings sorted by ``suffix_sort``, with the bytes verified. Equal runs of a batch are reduced before the
-shuffle, and a minimiser with more than HOT different runs is dealt out string by string.
+shuffle, and a minimiser with more than HOT different runs is dealt out string by string, where a batch likewise sends each
+different string once.
 """
 
 from __future__ import annotations
@@ -190,7 +191,9 @@ def settle(found: DataFrame, kind: str, hot_runs: int = HOT) -> DataFrame:
 
 
 def cut_open_runs(texts: DataFrame, kind: str, buckets: int) -> DataFrame:
-    """The bytes of the runs that need sorting, a row per batch and bucket. ``texts`` has the runs of each text as ``open``."""
+    """The bytes of the runs that need sorting, a row per batch and bucket. ``texts`` has the runs of each text as ``open``.
+    Single strings of hot minimisers have their content hash as ``anchor``; of equal ones in a batch the earliest is sent, and
+    the others, known to be repeats, pass through with no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,12 +220,35 @@ def cut_open_runs(texts: DataFrame, kind: str, buckets: int) -> DataFrame:
             anchor = np.array(anchors, np.int64)
             content = mix(_HASH.stretch(_HASH.prefix(data), begin, begin + LENGTH))
             # The single strings of hot minimisers are spread by content.
-            bucket = np.where(np.array(hot), content, anchor.view(np.uint64)) % np.uint64(buckets)
-            by = np.argsort(bucket, kind="stable")
+            single, start, twins = np.flatnonzero(hot), np.array(starts), batch.column("twin").to_numpy()
+            anchor = np.where(np.array(hot), content, anchor.view(np.uint64))
+            stay = np.ones(len(row), bool)
+            again = np.empty(0, np.int64)
+            if len(single):
+                order = _order(batch.column("id"), twins)[row]
+                by = single[np.lexsort((start[single], order[single], content[single]))]
+                new = np.concatenate([[True], content[by][1:] != content[by][:-1]])
+                head = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+                same = np.array([pieces[k] == pieces[h] for k, h in zip(by.tolist(), head.tolist())]) & (by != head)
+                stay[by[same]] = False
+                later = same & ((order[by] != order[head]) | (start[by] != start[head]))
+                again = by[later][np.lexsort((start[by[later]], row[by[later]]))]
+            bucket = anchor % np.uint64(buckets)
+            by = np.flatnonzero(stay)
+            by = by[np.argsort(bucket[by], kind="stable")]
             cuts = np.flatnonzero(np.concatenate([[True], bucket[by][1:] != bucket[by][:-1], [True]]))
-            values = [pa.array(anchor[by]), batch.column("id").take(pa.array(row[by])), pa.array(batch.column("twin").to_numpy()[row[by]]), pa.array(np.array(starts)[by]), pa.array(counts_[by].astype(np.int32))]
-            joined = [b"".join(pieces[p] for p in by[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[by][cuts[:-1]].astype(np.int64)), *_lists(values, cuts), pa.array(joined, pa.binary())], ["bucket", "anchor", "id", "twin", "start", "strings", "data"])
+
+            def rows_of(bucket: np.ndarray, own: np.ndarray, many: np.ndarray, cuts: np.ndarray, joined: pa.Array) -> pa.RecordBatch:
+                values = [pa.array(anchor[own].view(np.int64)), batch.column("id").take(pa.array(row[own])), pa.array(twins[row[own]]), pa.array(start[own]), pa.array(many.astype(np.int32))]
+                return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), *_lists(values, cuts), joined], ["bucket", "anchor", "id", "twin", "start", "strings", "data"])
+
+            yield rows_of(bucket[by][cuts[:-1]], by, counts_[by], cuts, pa.array([b"".join(pieces[p] for p in by[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()))
+            if len(again):
+                joins = np.concatenate([[True], (row[again][1:] != row[again][:-1]) | (start[again][1:] != start[again][:-1] + 1)])
+                heads = np.flatnonzero(joins)
+                own, many = again[heads], np.diff(np.append(heads, len(again)))
+                cuts = np.flatnonzero(np.concatenate([[True], row[own][1:] != row[own][:-1], [True]]))
+                yield rows_of(mix(row[own][cuts[:-1]].astype(np.uint64)) % np.uint64(buckets), own, many, cuts, pa.nulls(len(cuts) - 1, pa.binary()))
 
     return texts.mapInArrow(run, f"bucket long, anchor array<long>, id array<{kind}>, twin array<long>, start array<long>, strings array<int>, data binary")
 
@@ -275,9 +301,12 @@ def _pieces(data: np.ndarray, anchor: np.ndarray, order: np.ndarray, start: np.n
 
 
 def sort_open_runs(opened: DataFrame, kind: str) -> DataFrame:
-    """id, twin, start, strings of the strings that also start earlier, by sorting all strings of a bucket."""
+    """id, twin, start, strings of the strings that also start earlier: known repeats, and by sorting all strings of a bucket."""
 
     def run(table: pa.Table) -> pa.Table:
+        settled = table.column("data").is_null()
+        _, *known = (table.filter(settled).column(c).combine_chunks().flatten() for c in ("anchor", "id", "twin", "start", "strings"))
+        table = table.filter(pc.invert(settled))
         anchor, ids, twins, start, strings = (table.column(c).combine_chunks().flatten() for c in ("anchor", "id", "twin", "start", "strings"))
         data = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint8)
         count = strings.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -290,7 +319,8 @@ def sort_open_runs(opened: DataFrame, kind: str) -> DataFrame:
             lengths.append(length)
         none = np.empty(0, np.int64)
         pick = pa.array(np.concatenate([none, *owners]))
-        return pa.table({"id": ids.take(pick), "twin": twins.take(pick), "start": pa.array(np.concatenate([none, *places])), "strings": pa.array(np.concatenate([none, *lengths]).astype(np.int32))})
+        found = [ids.take(pick), twins.take(pick), pa.array(np.concatenate([none, *places])), pa.array(np.concatenate([none, *lengths]).astype(np.int32))]
+        return pa.table({name: pa.concat_arrays([*both]) for name, *both in zip(("id", "twin", "start", "strings"), found, known)})
 
     return opened.groupBy("bucket").applyInArrow(run, f"id {kind}, twin long, start long, strings int")
 

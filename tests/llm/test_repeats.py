@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from jobstrata.llm import repeated_spans
 from jobstrata.llm.repeated_spans import LENGTH, remove_repeats, runs
 from jobstrata.llm.suffix_sort import Suffixes, classes
 
@@ -45,6 +46,25 @@ def test_spans_agree_with_brute_force(spark, hot_runs):
     assert found(remove_repeats(postings(spark, *made), hot_runs)) == brute(made)
 
 
+def test_a_hot_passage_is_sent_once_a_batch(spark, monkeypatch):
+    """The passage's neighbours differ in every posting, so no run is equal as a whole."""
+    passage = prose(20, 30)[:150]
+    made = [(k, prose(100 + k, 12) + passage + prose(900 + k, 12)) for k in range(300)]
+    sent, sort = [], repeated_spans.sort_open_runs
+    monkeypatch.setattr(repeated_spans, "sort_open_runs", lambda opened, kind: sent.append(opened) or sort(opened, kind))
+    jobs = postings(spark, *made, made[7])
+    assert found(remove_repeats(jobs, 1)) == sorted([*brute(made), brute(made)[7]])
+    copies = {}
+    for r in sent[0].collect():
+        at = 0
+        for n in r.strings if r.data is not None else []:
+            for j in range(n):
+                string = bytes(r.data[at + j:at + j + LENGTH])
+                copies[string] = copies.get(string, 0) + 1
+            at += n + LENGTH - 1
+    assert max(n for s, n in copies.items() if s in passage.encode()) <= 16
+
+
 def test_given_documents(spark):
     made = [(k, t) for k, t, *_ in documents("sf0.001")]
     assert found(remove_repeats(postings(spark, *made))) == brute(made)
