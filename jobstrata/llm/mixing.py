@@ -1,8 +1,8 @@
 """Mixing the sources of the index to target weights, in fixed-length blocks of words.
 
 The texts of a source, in a pseudorandom order, form one stream that is cut into blocks of ``block_words`` words. Output
-slots are dealt to sources by one pseudorandom permutation of all slots: every output shard of ``shard_slots`` slots gets
-a multinomial draw of source counts, conditioned on the totals that the targets ask for. The j-th slot of a source takes
+slots are dealt to sources by one affine map of all slots: totals are those that the targets ask for, and each output shard
+of ``shard_slots`` slots gets a nearly even share of every source, not a multinomial draw. The j-th slot of a source takes
 the block at position j of that source's own index permutation (a new one for each pass), so no block is taken more often
 than another by more than one. Slots and blocks meet in a join on (source, block).
 Permutations are affine maps modulo the number of indices, with a multiplier that is prime to it.
