@@ -126,6 +126,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sizes(postings(spark, sf_dir)).withColumnRenamed("id", "doc_id").withColumn("target", F.round("target", 6))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobstrata.llm.fingerprints import simhash_groups
+
+    return simhash_groups(postings(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_repeated_spans, op3_decontamination, op4_url_filter, op5_personal_data, op6_token_files, op7_near_duplicates, op8_quality_classifier, op9_language_id, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_repeated_spans, op3_decontamination, op4_url_filter, op5_personal_data, op6_token_files, op7_near_duplicates,
+        op8_quality_classifier, op9_language_id, op10_mixing, op11_simhash,
+    )
 }
