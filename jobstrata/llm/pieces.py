@@ -8,6 +8,8 @@ pieces not seen before reach the tokenizer, joined to one text. Tokens spell byt
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from jobstrata.llm.polyhash import PolyHash, mix
@@ -17,6 +19,7 @@ _SLOTS = 1 << 21  # well above the pieces; a key's upper 21 bits choose its slot
 _ROOM = MAX_KNOWN * 3 // 2
 _STARTS_WORD = np.zeros(256, bool)
 _STARTS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_INNER = re.compile(rb" (?:[0-9A-Za-z]|\xC3[^\x97\xB7])")
 _HASH, _CHECK = PolyHash(11), PolyHash(12)
 
 
@@ -67,8 +70,8 @@ class Pieces:
 
     def _add(self, texts: list[bytes], keys: np.ndarray, checks: np.ndarray) -> None:
         ids, lengths = [], np.zeros(len(texts), np.int64)
-        inner = [k for k, t in enumerate(texts) if t[:1] == b" "]
-        outer = [k for k, t in enumerate(texts) if t[:1] != b" "]  # begins a text: nothing may stand before it
+        inner = [k for k, t in enumerate(texts) if _INNER.match(t)]
+        outer = [k for k, t in enumerate(texts) if not _INNER.match(t)]  # begins a text: nothing may stand before it
         for k, own in zip(outer, self._ids([texts[k].decode() for k in outer])):
             ids.append(own)
             lengths[k] = len(own)
