@@ -184,6 +184,38 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(top) AS component_id, m
 FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
 """
 
+OP12 = rf"""
+WITH marks AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, regexp_extract_all(text, '{_WS}+') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM texts),
+docs AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (CASE WHEN len(w) < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * len(text) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN least < doc_id THEN 16 ELSE 0 END) AS failed
+  FROM split LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM docs GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (
+  SELECT a.c || b.c || d.c || e.c || f.c AS filter_order FROM letters a, letters b, letters d, letters e, letters f
+  WHERE len(list_distinct([a.c, b.c, d.c, e.c, f.c])) = 5),
+steps AS (SELECT filter_order, step, filter_order[step] AS filter, substring(filter_order, 1, step - 1) AS before FROM (SELECT *, unnest(range(1, 6)) AS step FROM orders)),
+placed AS (
+  SELECT filter_order, step::INTEGER AS step, filter, 1 << (instr('ABCDE', filter) - 1) AS own, list_sum([CASE WHEN contains(before, x) THEN 1 << (instr('ABCDE', x) - 1) ELSE 0 END FOR x IN ['A', 'B', 'C', 'D', 'E']])::INTEGER AS before
+  FROM steps),
+rows AS (
+  SELECT part, filter_order, step, filter,
+    sum(CASE WHEN failed & (own | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN failed & own <> 0 AND failed & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN failed & own <> 0 AND failed & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN failed = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN failed & own <> 0 AND failed & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN failed & own <> 0 AND failed & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM counts, placed GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM rows
+"""
+
 SQL: dict[str, str] = {
     "op1_quality_rules": OP1, "op2_repeated_spans": OP2, "op3_decontamination": OP3, "op4_url_filter": OP4, "op7_near_duplicates": OP7, "op10_mixing": OP10,
+    "op12_filter_audit": OP12,
 }

@@ -132,10 +132,26 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(postings(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobstrata.llm.filter_audit import audit_filters
+
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    return audit_filters(postings(spark, sf_dir), marks).withColumnRenamed("source", "part")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobstrata.llm.token_alignment import align_tokenizers
+
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return align_tokenizers(postings(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_repeated_spans, op3_decontamination, op4_url_filter, op5_personal_data, op6_token_files, op7_near_duplicates,
-        op8_quality_classifier, op9_language_id, op10_mixing, op11_simhash,
+        op8_quality_classifier, op9_language_id, op10_mixing, op11_simhash, op12_filter_audit, op13_token_alignment,
     )
 }
