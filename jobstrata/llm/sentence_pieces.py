@@ -11,8 +11,8 @@ import re
 import numpy as np
 
 BLANK = "▁"
-MAX_KNOWN = 500_000  # words kept; the store starts anew beyond
-MAX_POOL = 1 << 22  # their ids
+MAX_KNOWN = 250_000  # words kept; the store starts anew beyond
+MAX_POOL = 1 << 21  # their ids
 _WORD = re.compile(" +[^ ]*")
 
 

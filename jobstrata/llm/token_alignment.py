@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,9 @@ from jobstrata.llm.pieces import Pieces
 from jobstrata.llm.sentence_pieces import SentencePieces
 
 SECTION = 512  # bytes
-_BATCH = 1 << 20  # characters aligned at a time
-_LISTS = ("tokens_a", "tokens_b", "group_a", "group_b")
+_BATCH = 1 << 18  # bytes aligned at a time
+_ROWS = 128  # packed texts read at a time
+_PACKED = ("tokens_a", "tokens_b", "cuts_a", "cuts_b")
 
 
 def default_vocabularies() -> tuple[str, str]:
@@ -162,7 +164,7 @@ def align(pair: Pair, texts: list[str | None], section: int = SECTION) -> Aligne
     bounds = np.append(np.repeat(stops - sizes, pieces) + inner * section, stops[-1] if len(stops) else 0)
     links_a, links_b = lockstep(np.cumsum(pair.bytes_a.length[ids_a]), np.cumsum(pair.bytes_b.length[ids_b]), bounds)
     groups = np.diff(np.searchsorted(links_a, np.concatenate([[0], np.cumsum(n_a)])))
-    return Aligned(ids_a.astype(np.int32), ids_b.astype(np.int32), np.diff(links_a, prepend=-1).astype(np.int32), np.diff(links_b, prepend=-1).astype(np.int32), np.stack([n_a, n_b, groups, groups], axis=1))
+    return Aligned(ids_a, ids_b, np.diff(links_a, prepend=-1), np.diff(links_b, prepend=-1), np.stack([n_a, n_b, groups, groups], axis=1))
 
 
 def written_groups(pair: Pair, found: Aligned) -> list[str]:
@@ -184,60 +186,108 @@ def written_groups(pair: Pair, found: Aligned) -> list[str]:
     return [flat[x:max(x, y - 1)].decode() for x, y in zip(begins.tolist(), ends.tolist())]
 
 
-def _runs(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
-    """Consecutive texts of ``most`` characters or a little less; a longer one alone."""
+def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive texts of ``most`` bytes or a little less; a longer one alone."""
     start = size = 0
-    for k, text in enumerate(texts):
-        own = len(text or "")
+    for k, own in enumerate(sizes):
         if k > start and size + own > most:
             yield start, k
             start, size = k, 0
         size += own
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
-def _lists(found: Aligned) -> list[pa.ListArray]:
-    offsets = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(found.counts, axis=0)]).astype(np.int32)
-    return [pa.ListArray.from_arrays(pa.array(offsets[:, k]), pa.array(found[k])) for k in range(4)]
+def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """One binary per text out of the values of all."""
+    raw = np.ascontiguousarray(values)
+    offsets = np.concatenate([[0], np.cumsum(counts)]) * raw.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
 
 
-def _read(batch: pa.RecordBatch) -> Aligned:
-    lists = [batch.column(c) for c in _LISTS]
-    counts = np.stack([np.asarray(x.value_lengths().fill_null(0), np.int64) for x in lists], axis=1)
-    return Aligned(*[x.flatten().to_numpy(zero_copy_only=False) for x in lists], counts)
+def _bits(sizes: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Per text a bit for each token, 1 for the last one of a group."""
+    last = np.zeros(int(counts.sum()), np.uint8)
+    last[np.cumsum(sizes) - 1] = 1
+    octets = -(-counts // 8)
+    # Every text begins on a byte of its own.
+    place = np.arange(len(last)) + np.repeat(np.cumsum(8 * octets) - 8 * octets - np.cumsum(counts) + counts, counts)
+    spread = np.zeros(8 * int(octets.sum()), np.uint8)
+    spread[place] = last
+    return _binary(np.packbits(spread, bitorder="little"), octets)
 
 
-def aligned_tokens(jobs: DataFrame, vocabularies: tuple[str, str] | None = None) -> DataFrame:
-    """id, tokens_a, tokens_b (ids of all tokens), group_a, group_b (tokens of each group) of every posting."""
+def _dtype(pair: Pair) -> str:
+    return "<u2" if max(len(pair.spelled_a), len(pair.spelled_b)) <= 1 << 16 else "<u4"
+
+
+def _flat(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.asarray(pc.binary_length(column), np.int64)
+    first = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset]) if len(column) else 0
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[first:first + int(sizes.sum())] if data is not None else np.empty(0, np.uint8)
+    width = np.dtype(dtype).itemsize
+    return np.frombuffer(raw.tobytes(), dtype), sizes // width
+
+
+def _sizes(column: pa.Array, counts: np.ndarray) -> np.ndarray:
+    """Group sizes from the bits of :func:`_bits`."""
+    octets, held = _flat(column, "u1")
+    bits = np.unpackbits(octets, bitorder="little")
+    place = np.arange(int(counts.sum())) + np.repeat(np.cumsum(8 * held) - 8 * held - np.cumsum(counts) + counts, counts)
+    return np.diff(np.flatnonzero(bits[place]), prepend=-1)
+
+
+def _read(pair: Pair, batch: pa.RecordBatch) -> Aligned:
+    (ids_a, n_a), (ids_b, n_b) = (_flat(batch.column(c), _dtype(pair)) for c in _PACKED[:2])
+    group_a, group_b = _sizes(batch.column("cuts_a"), n_a), _sizes(batch.column("cuts_b"), n_b)
+    # The last token of a text always ends a group, so a text's groups end with its tokens.
+    groups = np.diff(np.searchsorted(np.cumsum(group_a), np.concatenate([[0], np.cumsum(n_a)]), "right"))
+    return Aligned(ids_a, ids_b, group_a, group_b, np.stack([n_a, n_b, groups, groups], axis=1))
+
+
+def _slices(pair: Pair, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
+    """Rows of packed tokens, some at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            part = batch.slice(at, _ROWS)
+            yield part, _read(pair, part)
+
+
+def packed_tokens(jobs: DataFrame, vocabularies: tuple[str, str] | None = None) -> DataFrame:
+    """id, tokens_a, tokens_b, cuts_a, cuts_b of every posting: all token ids as little-endian numbers of two bytes (four for large
+    vocabularies), and a bit for each token, 1 for the last one of a group."""
     paths = vocabularies or default_vocabularies()
     id_type = jobs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(*paths)
         for batch in batches:
-            texts = batch.column("description_raw").to_pylist()
-            for start, end in _runs(texts, _BATCH):
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, end - start), *_lists(align(pair, texts[start:end]))], ["id", *_LISTS])
-
-    schema = f"id {id_type}, " + ", ".join(f"{c} array<int>" for c in _LISTS)
+            texts = batch.column("description_raw")
+            sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
+            for start, end in _runs(sizes.tolist(), _BATCH):
+                found = align(pair, texts.slice(start, end - start).to_pylist())
+                n_a, n_b = found.counts[:, 0], found.counts[:, 1]
+                columns = [_binary(found.tokens_a.astype(_dtype(pair)), n_a), _binary(found.tokens_b.astype(_dtype(pair)), n_b), _bits(found.group_a, n_a), _bits(found.group_b, n_b)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, end - start), *columns], ["id", *_PACKED])
+
+    schema = f"id {id_type}, " + ", ".join(f"{c} binary" for c in _PACKED)
     return bound_batches(jobs.select("id", "description_raw")).mapInArrow(run, schema)
 
 
-def link_counts(aligned: DataFrame, vocabularies: tuple[str, str] | None = None) -> DataFrame:
+def link_counts(packed: DataFrame, vocabularies: tuple[str, str] | None = None) -> DataFrame:
     """pair (a number in ``Pair.pairs``), n: how many links of all postings hold the pair. At most one row per possible pair."""
     paths = vocabularies or default_vocabularies()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(*paths)
         totals = np.zeros(len(pair.pairs), np.int64)
-        for batch in batches:
-            found = _read(batch)
-            np.add.at(totals, _linked(pair, found), 1)
+        for _, found in _slices(pair, batches):
+            totals += np.bincount(_linked(pair, found), minlength=len(totals))
         some = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[some])], ["pair", "n"])
 
-    return aligned.select(*_LISTS).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return packed.select(*_PACKED).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def _linked(pair: Pair, found: Aligned) -> np.ndarray:
@@ -255,22 +305,21 @@ def align_tokenizers(jobs: DataFrame, vocabularies: tuple[str, str] | None = Non
     """
     paths = vocabularies or default_vocabularies()
     id_type = jobs.schema["id"].dataType.simpleString()
-    aligned = written(aligned_tokens(jobs, paths), "aligned")
+    packed = written(packed_tokens(jobs, paths), "aligned", compression="zstd")
     pairs = _pair(*paths).pairs
     counts, most = np.zeros(len(pairs), np.int64), np.zeros(int((pairs & 0xFFFFFFFF).max()) + 1, np.int64)
-    for row in link_counts(aligned, paths).collect():  # bounded by the vocabularies
+    for row in link_counts(packed, paths).collect():  # bounded by the vocabularies
         counts[row["pair"]] = row["n"]
     np.maximum.at(most, pairs & 0xFFFFFFFF, counts)
     shared = jobs.sparkSession.sparkContext.broadcast((counts, counts == most[pairs & 0xFFFFFFFF]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, (n, best) = _pair(*paths), shared.value
-        for batch in batches:
-            found = _read(batch)
+        for part, found in _slices(pair, batches):
             linked, groups = _linked(pair, found), found.counts[:, 2]
             columns = [found.counts[:, 0], found.counts[:, 1], groups, groups, _sums(best[linked].astype(np.int64), groups), _sums(n[linked], groups)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(np.ascontiguousarray(c)) for c in columns], pa.array(written_groups(pair, found), pa.string())], names)
+            yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(np.ascontiguousarray(c)) for c in columns], pa.array(written_groups(pair, found), pa.string())], names)
 
     names = ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
     schema = f"id {id_type}, " + ", ".join(f"{c} long" for c in names[1:7]) + ", groups string"
-    return bound_batches(aligned).mapInArrow(run, schema)
+    return bound_batches(packed).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ import pytest
 from jobstrata.llm import sentence_pieces, token_alignment as ta
 from jobstrata.llm.pieces import Pieces
 from jobstrata.llm.sentence_pieces import SentencePieces
-from jobstrata.llm.token_alignment import align_tokenizers, aligned_tokens, byte_of_character, default_vocabularies, lockstep
+from jobstrata.llm.token_alignment import align_tokenizers, byte_of_character, default_vocabularies, lockstep, packed_tokens
 
 from tests.llm.helpers import documents, postings, rows
 
@@ -109,12 +109,13 @@ def test_alignment_equals_a_plain_one(spark, models):
     assert rows(align_tokenizers(postings(spark, *made)), *COLUMNS) == plain_alignment(models, made)
 
 
-def test_groups_hold_all_tokens(spark, models):
-    made = list(enumerate(ODD))
-    for row in aligned_tokens(postings(spark, *made)).collect():
-        first, second = plain_tokens(models, ODD[row["id"]])
-        assert row["tokens_a"] == [i for i, _ in first] and row["tokens_b"] == [i for i, _ in second]
-        assert sum(row["group_a"]) == len(first) and sum(row["group_b"]) == len(second) and len(row["group_a"]) == len(row["group_b"])
+def test_packed_tokens_hold_everything(spark, models):
+    found = {r["id"]: r for r in packed_tokens(postings(spark, *enumerate(ODD))).collect()}
+    for k, text in enumerate(ODD):
+        for name, tokens in zip("ab", plain_tokens(models, text)):
+            assert np.frombuffer(found[k][f"tokens_{name}"], "<u2").tolist() == [i for i, _ in tokens]
+            last = np.unpackbits(np.frombuffer(found[k][f"cuts_{name}"], np.uint8), bitorder="little")
+            assert len(last) == -(-len(tokens) // 8) * 8 and (not tokens or last[len(tokens) - 1] == 1)
 
 
 def test_ties_and_empty_tables(spark, models):
