@@ -20,11 +20,14 @@ from jobstrata.session import as_timestamp
 
 @dataclass(frozen=True)
 class IngestResult:
-    """``changed`` are the rows of ``jobs`` that belong to crawled companies, with their ``change``."""
+    """``changed`` are the rows of ``jobs`` that belong to crawled companies, with their ``change``, ``step`` the same with the
+    posting ``before``; ``untouched`` are those of the other companies."""
 
     jobs: DataFrame
     companies: DataFrame
     changed: DataFrame
+    step: DataFrame
+    untouched: DataFrame
 
 
 # --- freshness tiers ----------------------------------------------------------
@@ -357,8 +360,9 @@ def ingest(
     change = (
         F.when(is_new, "new").when(fresh, "updated").when(seen, "unchanged").when(vanished, "delisted").otherwise("untouched")
     )
+    before = F.when(~is_new, F.struct(*[kept[f.name].cast(f.dataType).alias(f.name) for f in schemas.JOBS.fields if f.name in kept]))
     state = read.select(
-        *[column.alias(name) for name, column in columns.items()], "_now", change.alias("change")
+        *[column.alias(name) for name, column in columns.items()], "_now", change.alias("change"), before.alias("before")
     ).withColumn(
         "ghost_score",
         F.when(
@@ -368,8 +372,19 @@ def ingest(
             ),
         ).otherwise(F.col("ghost_score")),
     )
-    state = state.select(*[F.col(f.name).cast(f.dataType) for f in schemas.JOBS.fields], "change")
-    return IngestResult(state.drop("change").unionByName(untouched), stamp_crawled(companies, crawls, given), state)
+    step = state.select(*[F.col(f.name).cast(f.dataType) for f in schemas.JOBS.fields], "change", "before", F.col("_now").alias("at"))
+    changed = step.drop("before", "at")
+    return IngestResult(changed.drop("change").unionByName(untouched), stamp_crawled(companies, crawls, given), changed, step, untouched)
+
+
+def change_rows(step: DataFrame) -> DataFrame:
+    """The change table's rows (``schemas.CHANGES``) of one step. A delisted posting that is back is ``revived``, whether its
+    content changed or not; postings merely seen again, or already delisted, leave no row."""
+    back = F.col("before.delisted_at").isNotNull() & F.col("delisted_at").isNull()
+    kind = F.when(back, "revived").otherwise(F.col("change"))
+    after = F.struct(*[F.col(f.name) for f in schemas.JOBS.fields])
+    rows = step.select("id", "company_id", kind.alias("change"), "at", "before", after.alias("after"))
+    return rows.filter(F.col("change").isin("new", "updated", "revived", "delisted")).select([F.col(f.name).cast(f.dataType) for f in schemas.CHANGES.fields])
 
 
 def stamp_crawled(companies: DataFrame, crawls: DataFrame, now=None) -> DataFrame:

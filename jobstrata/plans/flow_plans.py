@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from jobstrata import schemas
@@ -13,14 +11,15 @@ from jobstrata.operators.ingest import accepted_feed
 from jobstrata.operators.plugins import extract_with
 from jobstrata.plans import fixtures as X
 from jobstrata.plans import oracle_base as O
-from jobstrata.plans.change_plans import _AFTER, _ROW, _row
+from jobstrata.plans.change_plans import _AFTER, _CHANGES, _ROW, _row
 from jobstrata.plans.registry import joined, query, registered_sql, sorted_tags, sql_sorted, sql_stamp, stamp
 from jobstrata.plans.scalar_plans import facts_sql
 from jobstrata.plans.watch_plans import _BOTH, _MSCORE, _SAME, _TOP
-from jobstrata.session import ensure_checkpoint_dir
+from jobstrata.session import shared_root
 from jobstrata.sources import receipts, repo_files, snapshot
 from jobstrata.sources.bootstrap import bootstrap
 from jobstrata.sources.state import StateStore
+from jobstrata.streaming.change_stream import start_changes
 from jobstrata.streaming.ingest_stream import start_ingest
 from jobstrata.streaming.lifecycle_stream import SPANS, start_lifecycle
 from jobstrata.streaming.watch_stream import start_matching
@@ -28,11 +27,6 @@ from jobstrata.streaming.watch_stream import start_matching
 _ONCE = {"availableNow": True}
 
 
-def _fresh_root(spark) -> str:
-    """A new folder on the storage all executors share."""
-    return f"{ensure_checkpoint_dir(spark)}/flow-{uuid.uuid4().hex}"
-
-
 # --- crawls through storage -------------------------------------------------------------
 
 # The payloads hide some postings of one vendor; everything else is the plain feed.
@@ -55,7 +49,7 @@ _PAY = ["salary_min", "salary_max", "salary_currency"]
 def stream_ingest(spark, sf_dir):
     """Three crawls per company through the file stream, in four batches: the one that counts, split over two of them with
     some pages twice; a later one that fails; and a later one of which only some pages land."""
-    root = _fresh_root(spark)
+    root = shared_root(spark)
     store = StateStore(spark, f"{root}/state")
     store.write({"jobs": X.state(spark, sf_dir), "companies": X.companies(spark, sf_dir)})
     X.landing(spark, sf_dir).write.parquet(f"{root}/made")
@@ -79,6 +73,37 @@ def stream_ingest(spark, sf_dir):
     return _row(store.read("jobs", schemas.JOBS)).drop(*_PAY)
 
 
+@query(
+    "stream_changes",
+    f"""{_LISTED}, {_CHANGES}, {_AFTER}, kinds AS (SELECT id, CASE WHEN revived THEN 'revived' ELSE change END AS change FROM changes)
+SELECT id, a.company_id, change, s.title AS title_before, a.title AS title_after, {sql_stamp('s.delisted_at', 'delisted_before')},
+  {sql_stamp('a.delisted_at', 'delisted_after')}, {sql_sorted('a.skills', 'skills_after')}, md5(a.description_raw) AS body_after, {sql_stamp(O.NOW, 'at')}
+FROM kinds JOIN after a USING (id) LEFT JOIN state s USING (id) WHERE change IN ('new', 'updated', 'delisted', 'revived')""",
+)
+def stream_changes(spark, sf_dir):
+    """A crawl applied in two steps, half of the companies each, and the changes followed as a stream after each of them."""
+    root = shared_root(spark)
+    store = StateStore(spark, f"{root}/state")
+    never = F.lit(None).cast("timestamp")
+    store.write({"jobs": X.state(spark, sf_dir), "companies": X.companies(spark, sf_dir).withColumn("last_crawled_at", never)})
+    X.landing(spark, sf_dir).write.parquet(f"{root}/made")
+    pages = spark.read.schema(schemas.LANDING).parquet(f"{root}/made")
+
+    def handle(changes, tag, version):
+        changes.write.mode("overwrite").parquet(f"{root}/followed/batch={tag}")
+
+    for half in (0, 1):
+        pages.filter(F.pmod(F.xxhash64("company_id"), F.lit(2)) == half).write.parquet(f"{root}/pages/part={half}")
+        start_ingest(store, f"{root}/pages/*", f"{root}/check-in", _ONCE).awaitTermination()
+        start_changes(store, handle, f"{root}/check-out", _ONCE).awaitTermination()
+    followed = spark.read.schema(schemas.CHANGES).parquet(f"{root}/followed")
+    return followed.select(
+        "id", "company_id", "change", F.col("before.title").alias("title_before"), F.col("after.title").alias("title_after"),
+        F.date_format("before.delisted_at", "yyyy-MM-dd HH:mm:ss").alias("delisted_before"), F.date_format("after.delisted_at", "yyyy-MM-dd HH:mm:ss").alias("delisted_after"),
+        sorted_tags(F.col("after.skills"), "skills_after"), F.md5("after.description_raw").alias("body_after"), stamp("at"),
+    )
+
+
 _BOOT = f"""{_LISTED}, facts AS ({facts_sql('feed')}), boot AS (
   SELECT f.*, x.f_skills AS b_skills, x.f_remote AS b_remote FROM feed f JOIN facts x USING (id))"""
 
@@ -92,7 +117,7 @@ _BOOT = f"""{_LISTED}, facts AS ({facts_sql('feed')}), boot AS (
 )
 def bootstrap_refresh(spark, sf_dir):
     """An index from nothing: candidates seeded from the crawl, then the crawl applied."""
-    root = _fresh_root(spark)
+    root = shared_root(spark)
     store = StateStore(spark, f"{root}/state")
     X.landing(spark, sf_dir).write.parquet(f"{root}/pages")
     pages = spark.read.schema(schemas.LANDING).parquet(f"{root}/pages")
@@ -108,7 +133,7 @@ def bootstrap_refresh(spark, sf_dir):
 )
 def state_roundtrip(spark, sf_dir):
     """Written, overwritten by a later commit, and read back as of the first one."""
-    store = StateStore(spark, _fresh_root(spark))
+    store = StateStore(spark, shared_root(spark))
     first = store.write({"jobs": X.jobs(spark, sf_dir, with_text=True)})
     store.write({"jobs": X.jobs(spark, sf_dir).filter("delisted_at IS NULL")})
     return store.read("jobs", schemas.JOBS, version=first).select("id", "content_hash", joined(F.col("skills"), "skills"), stamp("delisted_at"))
@@ -120,7 +145,7 @@ def state_roundtrip(spark, sf_dir):
   0 AS age_days, true AS has_bytes FROM jobs""",
 )
 def snapshot_publish(spark, sf_dir):
-    root = _fresh_root(spark)
+    root = shared_root(spark)
     store = StateStore(spark, f"{root}/state")
     store.write({"jobs": X.jobs(spark, sf_dir), "companies": X.companies(spark, sf_dir), "watches": X.watches(spark, sf_dir)})
     stats = snapshot.publish_snapshot(store, f"{root}/snapshot", X.now())
@@ -134,7 +159,7 @@ def snapshot_publish(spark, sf_dir):
 UNION ALL SELECT 'company', id, ats_tenant, name, careers_url, ats_vendor, NULL, NULL, NULL, NULL, {sql_stamp('last_crawled_at')}, NULL FROM companies""",
 )
 def snapshot_install(spark, sf_dir):
-    root = _fresh_root(spark)
+    root = shared_root(spark)
     source, target = StateStore(spark, f"{root}/source"), StateStore(spark, f"{root}/target")
     source.write({"jobs": X.jobs(spark, sf_dir), "companies": X.companies(spark, sf_dir)})
     snapshot.publish_snapshot(source, f"{root}/snapshot", X.now())
@@ -166,7 +191,7 @@ FROM jobs j JOIN companies c ON c.id = company_id""",
 )
 def receipts_log(spark, sf_dir):
     """Two appends, one load."""
-    path = _fresh_root(spark)
+    path = shared_root(spark)
     rows = _receipts(spark, sf_dir)
     for part in (F.col("title").rlike("^[a-z]"), ~F.col("title").rlike("^[a-z]")):
         receipts.append_receipts(rows.filter(part), path)
@@ -198,7 +223,7 @@ def latest_receipts(spark, sf_dir):
     f"{_BOTH}, {_TOP} SELECT w.watch_id, m.id, m.rank, round({_MSCORE}, 6) AS score FROM watches w JOIN top m ON {_SAME} WHERE active",
 )
 def stream_watch_matches(spark, sf_dir):
-    root = _fresh_root(spark)
+    root = shared_root(spark)
     store = StateStore(spark, f"{root}/state")
     store.write({"watches": X.watches(spark, sf_dir)})
     X.jobs(spark, sf_dir).write.parquet(f"{root}/postings")
@@ -212,7 +237,7 @@ def stream_watch_matches(spark, sf_dir):
 @query("stream_lifecycle", registered_sql("lifecycle_spans"))
 def stream_lifecycle(spark, sf_dir):
     """The crawl log in three batches: the middle of the month, then its beginning, and the rest with half of one more day."""
-    root = _fresh_root(spark)
+    root = shared_root(spark)
     store = StateStore(spark, f"{root}/state")
     log = X.crawl_log(spark, sf_dir)
     half = F.pmod(F.xxhash64("posting_id"), F.lit(2))
@@ -264,6 +289,27 @@ def extract_outcomes(spark, sf_dir):
     return rows.select("job_id", "ok", joined(F.col("skills"), "skills"), "prompt_tokens", "error")
 
 
+def _make_family_model():
+    def label(posting: dict) -> dict:
+        if posting["title"].endswith("."):
+            raise ValueError("unreadable")
+        said = (" DATA ", "sales", "wizard")[len(posting["title"]) % 3]
+        return {"role_family": said, "prompt_tokens": len(posting["title"]), "completion_tokens": 3}
+
+    return label
+
+
+@query(
+    "family_outcomes",
+    f"""{O.JOBS} SELECT id AS job_id, title NOT LIKE '%.' AS ok, CASE WHEN title LIKE '%.' THEN NULL ELSE (['data','sales','other'])[length(title) % 3 + 1] END AS role_family,
+  CASE WHEN title LIKE '%.' THEN 0 ELSE length(title) END AS prompt_tokens, CASE WHEN title LIKE '%.' THEN 0 ELSE 3 END AS completion_tokens,
+  CASE WHEN title LIKE '%.' THEN 'ValueError: unreadable' END AS error FROM jobs""",
+)
+def family_outcomes(spark, sf_dir):
+    rows = rebuild.collect_family_outcomes(X.jobs(spark, sf_dir), _make_family_model)
+    return rows.select("job_id", "ok", "role_family", "prompt_tokens", "completion_tokens", "error")
+
+
 # --- repositories -------------------------------------------------------------------------
 
 _NAMES = "(['.py','.rs','.go','.ts','.TSX'])"

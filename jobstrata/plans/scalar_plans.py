@@ -234,6 +234,28 @@ def extract_skills(spark, sf_dir):
     return rows.select("id", joined(skills.skills_in(F.col("lowered")), "skills"))
 
 
+# A caller's own vocabulary: literals, classes, alternatives, repetitions.
+_CUSTOM = {
+    "staff": ["team|crew"], "pay": [r"\$[0-9]+"], "office": ["in-office", "on-?site"], "stack": ["RUST", "k8s"], "double": ["([a-z])oo"],
+    "ending": ["ing[ .,]"], "distant": ["fully remote", "100% remote"], "never": ["zzzzzz+"],
+}
+
+
+def _custom_sql(body: str) -> str:
+    def found(patterns: list[str]) -> str:
+        return " OR ".join(f"regexp_matches({body}, '(?i){p}')" for p in patterns)
+
+    tags = ", ".join(f"CASE WHEN {found(patterns)} THEN '{tag}' END" for tag, patterns in _CUSTOM.items())
+    return f"list_filter([{tags}], lambda t: t IS NOT NULL)[:5]"
+
+
+@query("extract_skills_custom", f"{O.TEXT_JOBS} SELECT id, {sql_tags(_custom_sql(_BODY), 'skills')} FROM jobs")
+def extract_skills_custom(spark, sf_dir):
+    body = F.concat_ws("\n", "title", "description_raw")
+    rows = X.jobs(spark, sf_dir, with_text=True).select("id", skills.lowered_text(body).alias("lowered"))
+    return rows.select("id", joined(skills.skills_in(F.col("lowered"), _CUSTOM, 5), "skills"))
+
+
 @query(
     "skill_list_parse",
     """WITH f AS (SELECT c_custkey AS c, CASE c_custkey % 4 WHEN 0 THEN ' Auto ' WHEN 1 THEN 'Rust, ' || c_mktsegment || ' ,,K8S'

@@ -55,14 +55,21 @@ def cost_ceiling(spark, sf_dir):
     return plan.select("id", "rank", "batch", "done")
 
 
-_MERGED_ROW = f"id, {sql_sorted('o_skills', 'skills')}, m_remote AS remote_policy, m_min AS salary_min, m_max AS salary_max, m_cur AS salary_currency"
-
-
 def _values(df):
     return df.select("id", sorted_tags(F.col("skills"), "skills"), "remote_policy", "salary_min", "salary_max", "salary_currency")
 
 
-@query("merge_extraction", f"{_REBUILD} SELECT {_MERGED_ROW} FROM merged WHERE ok")
+# Outcomes follow from the posting's number, so the twin needs no join of the index with itself.
+_OWN_OUTCOME = f"""{O.JOBS}, outcome AS (SELECT *, list_sort(list_distinct([{_W}[(k + 1) % 10 + 1], {_W}[(k + 3) % 10 + 1]])) AS said,
+  salary_min IS NOT NULL OR salary_max IS NOT NULL AS paid FROM jobs WHERE k % 17 <> 0)"""
+
+
+@query(
+    "merge_extraction",
+    f"""{_OWN_OUTCOME} SELECT id, array_to_string(said, ',') AS skills, CASE WHEN coalesce(remote_policy, '') IN ('', 'unknown') THEN 'hybrid' ELSE remote_policy END AS remote_policy,
+  CASE WHEN paid THEN salary_min WHEN k % 2 = 0 THEN 1 END AS salary_min, CASE WHEN paid THEN salary_max WHEN k % 2 = 0 THEN 2 END AS salary_max,
+  CASE WHEN paid THEN salary_currency WHEN k % 2 = 0 THEN 'EUR' END AS salary_currency FROM outcome""",
+)
 def merge_extraction(spark, sf_dir):
     return _values(rebuild.merged_values(X.jobs(spark, sf_dir), X.outcomes(spark, sf_dir)))
 

@@ -8,8 +8,11 @@ from jobstrata import schemas
 from jobstrata.operators import authorize, guards, predicates, search, status, watches
 from jobstrata.plans import fixtures as X
 from jobstrata.plans import oracle_base as O
-from jobstrata.plans.registry import joined, query, rounded, stamp
+from jobstrata.plans.registry import joined, query, registered_sql, rounded, sql_stamp, stamp
 from jobstrata.plans.search_plans import _flat, record_sql
+from jobstrata.session import shared_root
+from jobstrata.sources.state import StateStore
+from jobstrata.streaming.watch_totals import count_changes, register_kept, totals
 
 _W = "(['python','rust','go','k8s','sql','aws','llm','rag','cuda','java'])"
 _WATCHES = f"""watches AS (
@@ -43,6 +46,72 @@ def watch_matches(spark, sf_dir):
     return found.select("watch_id", "matches", rounded(F.col("best_match"), "best_match"))
 
 
+# The same watches, each with a salary floor and a cursor of its own.
+_OWN = _WATCHES.replace("watches AS (", "plain_watches AS (", 1) + """, watches AS (SELECT * REPLACE (20000 + (c * 7919) % 300000 AS floor_pay,
+    TIMESTAMP '1992-01-01' + to_seconds((c * 104729) % 200000000) AS since) FROM plain_watches)"""
+
+
+@query(
+    "watch_counts",
+    f"""{O.JOBS}, {_OWN}, {_MATCHES}, n AS (SELECT want, need, remote_only, family, floor_pay, since, count(*) AS n, max(mq) AS best FROM matches GROUP BY ALL)
+SELECT watch_id, coalesce(n, 0) AS matches, round(best, 6) AS best_match FROM watches w LEFT JOIN n m ON {_SAME} WHERE active""",
+)
+def watch_counts(spark, sf_dir):
+    number = F.substring_index("watch_id", "_", -1).cast("bigint")
+    cursor = F.timestamp_seconds(F.lit(694_224_000) + number * 104_729 % 200_000_000)
+    own = X.watches(spark, sf_dir).withColumns(
+        {"filters": F.col("filters").withField("min_salary", (20_000 + number * 7919 % 300_000).cast("int")), "last_notified_at": cursor}
+    )
+    found = watches.match_counts(own, X.jobs(spark, sf_dir), X.now())
+    return found.select("watch_id", "matches", rounded(F.col("best_match"), "best_match"))
+
+
+@query("watch_index_matches", registered_sql("watch_matches"))
+def watch_index_matches(spark, sf_dir):
+    """Counts kept by an inverted table of the watches. Postings appear, some of them unfinished, are completed and partly delisted,
+    in three batches of changes; half of the watches are registered before, half between the second and the third."""
+    store = StateStore(spark, shared_root(spark))
+    asked, jobs = X.watches(spark, sf_dir), X.jobs(spark, sf_dir)
+    number = F.substring_index("watch_id", "_", -1).cast("bigint")
+    k = F.substring_index("id", ":", -1).cast("bigint")
+    live = jobs.withColumn("delisted_at", F.lit(None).cast("timestamp"))
+    unfinished = live.withColumns({"skills": F.array().cast("array<string>"), "salary_min": F.lit(None).cast("int"), "salary_max": F.lit(None).cast("int")})
+
+    def side(rows, name):
+        return rows.select("id", "company_id", F.struct(*[F.col(f.name).cast(f.dataType) for f in schemas.JOBS.fields]).alias(name))
+
+    def changes(kind, before, after):
+        both = side(after, "after") if before is None else side(before, "before").join(side(after, "after").drop("company_id"), "id")
+        row = both.withColumns({"change": F.lit(kind), "at": X.now(), **({"before": F.lit(None)} if before is None else {})})
+        return row.select([F.col(f.name).cast(f.dataType) for f in schemas.CHANGES.fields])
+
+    early, late = k % 3 != 0, k % 5 == 0
+    steps = [
+        changes("new", None, live.filter(early & ~late).unionByName(unfinished.filter(early & late))),
+        changes("updated", unfinished.filter(early & late), live.filter(early & late)).unionByName(changes("new", None, live.filter(~early))),
+        changes("delisted", live, jobs.filter("delisted_at IS NOT NULL")),
+    ]
+    register_kept(store, asked.filter(number % 2 == 0), jobs.filter("false"))
+    count_changes(store, steps[0], "step-0")
+    count_changes(store, steps[1], "step-1")
+    register_kept(store, asked.filter(number % 2 == 1), live)
+    count_changes(store, steps[2], "step-2")
+    return totals(store).select("watch_id", "matches", rounded(F.col("best_match"), "best_match"))
+
+
+@query(
+    "check_watches_caller",
+    f"""{_BOTH}, {_TOP}, hits AS (SELECT w.watch_id, m.id, m.rank, {_MSCORE} AS score FROM watches w JOIN top m ON {_SAME} WHERE active AND fingerprint = '#f3')
+SELECT w.watch_id, {sql_stamp('w.since', 'since')}, (SELECT count(*) FROM hits x WHERE x.watch_id = w.watch_id) AS new_matches, h.rank, h.id, round(h.score, 6) AS score
+FROM watches w LEFT JOIN hits h ON h.watch_id = w.watch_id WHERE active AND fingerprint = '#f3'""",
+)
+def check_watches_caller(spark, sf_dir):
+    """One caller's check, a row per match shown, and one for each watch without any."""
+    report, _ = watches.check_caller(X.watches(spark, sf_dir), X.jobs(spark, sf_dir), X.now(), "#f3")
+    rows = report.select("watch_id", stamp("since"), F.col("new_matches").cast("bigint").alias("new_matches"), F.explode_outer("matches").alias("m"))
+    return rows.select("watch_id", "since", "new_matches", F.col("m.rank").cast("bigint").alias("rank"), "m.id", rounded(F.col("m.score"), "score"))
+
+
 @query(
     "watch_top20",
     f"""{_BOTH}, {_TOP} SELECT w.watch_id, m.id, m.rank, round({_MSCORE}, 6) AS score FROM watches w JOIN top m ON {_SAME} WHERE active""",

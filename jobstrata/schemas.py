@@ -41,6 +41,11 @@ FEED = _struct(
     ("salary_max", _I), ("salary_currency", _S), ("posted_at", _TS), ("updated_at", _TS),
 )
 
+# What a crawl did to one posting: new, updated, revived or delisted, and the posting before and after.
+CHANGES = _struct(
+    ("id", _S), ("company_id", _S), ("change", _S), ("at", _TS), ("before", JOBS), ("after", JOBS),
+)
+
 CRAWLS = _struct(("company_id", _S), ("ok", _B), ("status", _I), ("error", _S))
 
 # A crawl of one tenant may land as several bounded pages; page_no keeps their order. page_count says
@@ -60,6 +65,14 @@ WATCHES = _struct(
     ("last_notified_at", _TS), ("active", _B),
 )
 
+# Standing queries by what a posting must have to meet them; see operators.watches.index_watches.
+WATCH_ENTRIES = _struct(
+    ("entry", _S), ("condition_id", _S), ("skills", SKILLS), ("required", SKILLS), ("remote_only", _B), ("family", _S),
+)
+WATCH_FILTERS = _struct(("filter_id", _S), ("condition_id", _S), ("floor", _I))
+SUBSCRIPTIONS = _struct(("watch_id", _S), ("filter_id", _S))
+WATCH_TOTALS = _struct(("watch_id", _S), ("level", _I), ("n", _L))
+
 APPLICATIONS = _struct(
     ("receipt_id", _S), ("job_id", _S), ("fingerprint", _S), ("authorized", _B),
     ("delivered_via", _S), ("created_at", _TS),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def shared_root(spark: SparkSession, name: str = "flow") -> str:
+    """A new folder on the storage all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def as_timestamp(value: Column | dt.datetime | str) -> Column:
     """A timestamp Column from a Column, an ISO string or a datetime (naive means UTC)."""
     if isinstance(value, Column):

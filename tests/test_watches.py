@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobstrata import schemas
-from jobstrata.operators import authorize, guards, watches
-from jobstrata.operators.watches import advance_cursor, check_watches, match_counts, match_rows, top_matches
+from jobstrata.operators import authorize, dominance, guards, watches
+from jobstrata.operators.watches import advance_cursor, check_caller, check_watches, match_counts, match_rows, top_matches
+from jobstrata.sources.state import StateStore
+from jobstrata.streaming.watch_totals import count_changes, register_kept, totals
 from tests.helpers import NOW, days_ago, explain, jobs, table
 
 TAGS = ["python", "rust", "go", "sql", "aws"]
@@ -70,9 +72,10 @@ def brute_force(rows, asked):
     return found
 
 
-@pytest.mark.parametrize("cuts", [255, 1])
-def test_matching_equals_brute_force(spark, monkeypatch, cuts):
-    monkeypatch.setattr(watches, "CUTS", cuts)  # with one cut point most thresholds lie within a band
+@pytest.mark.parametrize("part, slice_", [(20_000, 200_000), (5, 4)])
+def test_matching_equals_brute_force(spark, monkeypatch, part, slice_):
+    monkeypatch.setattr(dominance, "PART", part)  # with small ones profiles and filters are dealt out
+    monkeypatch.setattr(dominance, "SLICE", slice_)
     rows, asked = random_input(spark)
     expected = brute_force(rows, asked)
     w, j = table(spark, schemas.WATCHES, asked), jobs(spark, *rows)
@@ -88,6 +91,66 @@ def test_matching_equals_brute_force(spark, monkeypatch, cuts):
         assert best.get(name, []) == order[:5]
 
 
+def test_changes_bring_counts_up_to_date(spark, tmp_path):
+    """An inverted table kept over registrations, and counts kept over changes: new, reworded, gone and back postings."""
+    rows, asked = random_input(spark)
+    earlier = [{**r, "skills": [], "salary_min": None, "salary_max": None} if i % 4 == 0 else r for i, r in enumerate(rows)]
+    store = StateStore(spark, str(tmp_path))
+
+    def change(kind, before, after):
+        old, new = (None if r is None else jobs(spark, r).first() for r in (before, after))
+        return ((after or before)["id"], "acme", kind, NOW, old and tuple(old), new and tuple(new))
+
+    def changes(*made):
+        return spark.createDataFrame(list(made), schemas.CHANGES)
+
+    def expected(now_there, watches_there):
+        found = brute_force(now_there, watches_there)
+        return {w["watch_id"]: sum(k[0] == w["watch_id"] for k in found) for w in watches_there if w["active"]}
+
+    def counted():
+        return {r.watch_id: r.matches for r in totals(store).collect()}
+
+    first, second = asked[:30], asked[30:]
+    register_kept(store, table(spark, schemas.WATCHES, first), jobs(spark).limit(0))
+    everything = spark.createDataFrame([(r.id, "acme", "new", NOW, None, tuple(r)) for r in jobs(spark, *earlier).collect()], schemas.CHANGES)
+    count_changes(store, everything, "c-0")
+    count_changes(store, everything, "c-0")  # a replay
+    assert counted() == expected(earlier, first)
+    register_kept(store, table(spark, schemas.WATCHES, asked), jobs(spark, *earlier))
+    assert counted() == expected(earlier, asked)
+    entries = store.appended("watch_entries", schemas.WATCH_ENTRIES)
+    assert entries.count() == entries.dropDuplicates(["entry", "condition_id"]).count()
+    later, steps = [], []
+    for i, (old, new) in enumerate(zip(earlier, rows)):
+        now_there = {**new, "delisted_at": days_ago(0)} if i % 10 == 1 and not new["delisted_at"] else new
+        later.append(now_there)
+        if now_there != old:
+            steps.append(change("delisted" if now_there["delisted_at"] else "updated", old, now_there))
+    count_changes(store, changes(*steps), "c-1")
+    assert counted() == expected(later, asked)
+    best = {r.watch_id: r.best_match for r in totals(store).collect()}
+    again = {r.watch_id: r.best_match for r in match_counts(table(spark, schemas.WATCHES, asked), jobs(spark, *later)).collect()}
+    assert best == again
+
+
+def test_one_callers_check(spark):
+    asked = [watch("hit", skills=["rust"]), watch("none", since=NOW, skills=["rust"]), {**watch("other", skills=["rust"]), "fingerprint": "#g"}, watch("off", active=False)]
+    w, j = table(spark, schemas.WATCHES, asked), jobs(spark, {"id": "acme:1", "skills": ["rust"]}, {"id": "acme:2", "skills": ["rust"], "verified_at": days_ago(9)})
+    report, moved = check_caller(w, j, NOW, "#f")
+    got = {r.watch_id: (r.since, r.new_matches, [(m.rank, m.id) for m in r.matches]) for r in report.collect()}
+    assert got == {"hit": (None, 2, [(1, "acme:1"), (2, "acme:2")]), "none": (NOW.replace(tzinfo=None), 0, [])}
+    cursors = {r.watch_id: r.last_notified_at for r in moved.collect()}
+    assert cursors["hit"] == NOW.replace(tzinfo=None) and cursors["other"] is None and cursors["off"] is None
+
+
+def test_a_required_skill_is_entered_under_the_rarest(spark):
+    w = table(spark, schemas.WATCHES, [watch("w", required_skills=["go", "rust"]), watch("v", skills=["go", "sql"], required_skills=["rust"]), watch("u", remote=True, role_family="Data")])
+    often = watches.skill_frequencies(jobs(spark, {"id": "a:1", "skills": ["go", "rust"]}, {"id": "a:2", "skills": ["rust"]}))
+    entries = {(r.entry, tuple(r.skills), tuple(r.required)) for r in watches.index_watches(w, often).entries.collect()}
+    assert entries == {("tag go", (), ("go", "rust")), ("tag go", ("go", "sql"), ("rust",)), ("tag sql", ("go", "sql"), ("rust",)), ("open remote =data", (), ())}
+
+
 def test_no_nested_loop_over_watches_and_postings(spark):
     rows, asked = random_input(spark)
     w, j = table(spark, schemas.WATCHES, asked), jobs(spark, *rows)
