@@ -9,18 +9,32 @@ def _measure(scale: int, top: str, bottom: str) -> str:
     return f"CASE WHEN {bottom} = 0 THEN 0 ELSE ({scale} * {top}) // {bottom} END"
 
 
-def _limit(name: str, slack: int, low: bool = False) -> str:
-    q1, q3 = (f"CASE WHEN o.n >= 100 THEN o.{name}_{q} WHEN l.n >= 100 THEN l.{name}_{q} ELSE g.{name}_{q} END" for q in (1, 3))
-    return f"({q1}) - 3 * (({q3}) - ({q1})) - {slack}" if low else f"({q3}) + 3 * (({q3}) - ({q1})) + {slack}"
+def _bucket(name: str) -> str:
+    return f"(({name} >> greatest(len(bin({name})) - 7, 0)::BIGINT) << greatest(len(bin({name})) - 7, 0)::BIGINT)"
 
 
-_M = ("symbol_rate", "word_length", "repeat_rate", "dup_line_rate")
+def _at(name: str, q: int) -> str:
+    return f"(CASE WHEN o.n >= 100 THEN o.{name}_{q} WHEN l.n >= 100 THEN l.{name}_{q} ELSE g.{name}_{q} END)"
 
 
-def _quartiles(keys: str) -> str:
+def _fence(name: str, width: int) -> str:
+    return f"{width} * ({_at(name, 75)} - {_at(name, 25)})"
+
+
+_ONCE = f"1000 // {_at('n_words', 50)}"
+
+
+def _above(name: str) -> str:
+    return f"{_at(name, 99)} + ({_at(name, 99)} - {_at(name, 95)}) // 2 + {_ONCE}"
+
+
+_M = ("symbol_rate", "word_length", "repeat_rate", "dup_line_rate", "n_words")
+
+
+def _percentiles(keys: str) -> str:
     """Per group of ``keys`` (a SELECT list prefix ending with a comma, or empty)."""
     by = f"PARTITION BY {keys}measure"
-    found = ", ".join(f"min(CASE WHEN measure = '{m}' AND 4 * through >= {q} * whole THEN bucket END) AS {m}_{q}" for m in _M for q in (1, 3))
+    found = ", ".join(f"min(CASE WHEN measure = '{m}' AND 100 * through >= {q} * whole THEN bucket END) AS {m}_{q}" for m in _M for q in (25, 50, 75, 95, 99))
     group = f"GROUP BY {keys.rstrip(', ')}" if keys else ""
     return f"""SELECT {keys} max(whole) AS n, {found} FROM (
         SELECT *, sum(c) OVER ({by} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS through, sum(c) OVER ({by}) AS whole
@@ -52,14 +66,15 @@ sketch AS (
     SELECT lang, source, measure, v, greatest(len(bin(v)) - 7, 0)::BIGINT AS s FROM (
       SELECT lang, source, unnest({list(_M)!r}) AS measure, unnest([{', '.join(_M)}])::BIGINT AS v FROM rates WHERE NOT base_failed))
   GROUP BY ALL),
-own AS ({_quartiles('lang, source, ')}), bylang AS ({_quartiles('lang, ')}), overall AS ({_quartiles('')}),
+own AS ({_percentiles('lang, source, ')}), bylang AS ({_percentiles('lang, ')}), overall AS ({_percentiles('')}),
 limits AS (
-  SELECT o.lang, o.source, {_limit('symbol_rate', 100)} AS max_symbol_rate, {_limit('word_length', 150)} AS max_word_length,
-    {_limit('word_length', 150, True)} AS min_word_length, {_limit('repeat_rate', 450)} AS max_repeat_rate, {_limit('dup_line_rate', 500)} AS max_dup_line_rate
+  SELECT o.lang, o.source, {_at('symbol_rate', 75)} + {_fence('symbol_rate', 3)} + {_ONCE} AS max_symbol_rate,
+    {_at('word_length', 75)} + {_fence('word_length', 6)} AS max_word_length, {_at('word_length', 25)} - {_fence('word_length', 6)} AS min_word_length,
+    {_above('repeat_rate')} AS max_repeat_rate, {_above('dup_line_rate')} AS max_dup_line_rate
   FROM own o LEFT JOIN bylang l ON l.lang IS NOT DISTINCT FROM o.lang CROSS JOIN overall g)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  coalesce(NOT base_failed AND word_length >= min_word_length AND word_length <= max_word_length AND symbol_rate <= max_symbol_rate
-    AND repeat_rate <= max_repeat_rate AND dup_line_rate <= max_dup_line_rate, false) AS kept
+  coalesce(NOT base_failed AND {_bucket('word_length')} BETWEEN min_word_length AND max_word_length AND {_bucket('symbol_rate')} <= max_symbol_rate
+    AND {_bucket('repeat_rate')} <= max_repeat_rate AND {_bucket('dup_line_rate')} <= max_dup_line_rate, false) AS kept
 FROM rates r LEFT JOIN limits m ON r.lang IS NOT DISTINCT FROM m.lang AND r.source IS NOT DISTINCT FROM m.source
 """
 

@@ -2,14 +2,20 @@
 
 The rules find e-mail addresses, IPv4 addresses, card numbers and telephone numbers. Generators of high recall propose
 further, overlapping spans: obfuscated addresses, other separators, numbers without a plus sign, and the parts of longer
-runs of digits. Trees trained on format and context judge them; what the rules accept is their model of a true span, what
-the rules reject and fragments of accepted spans are the counter-examples. Each kind has a threshold, the lowest that
-keeps ``PRECISION`` on postings kept aside; a kind without enough examples adds nothing. Rule spans always stay.
+runs of digits. Trees trained on format and context judge them.
+
+There are no labels, so true spans of the other formats are made: each span that the rules accept is rewritten in its place in the
+text (at and dot spelled out, other separators, no plus sign, no country code), and so keeps its surroundings. Fragments
+of true spans, spans that reach beyond them, and what the rules reject are counter-examples. A candidate that no rule touches is
+one only if its format (``shape``) is none of the true spans'; otherwise it may well be true, and is left out. Each kind has a
+threshold, the lowest that keeps ``PRECISION`` on postings kept aside; a kind without enough examples adds nothing. Rule
+spans always stay.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +28,10 @@ from jobstrata.llm import boost
 from jobstrata.llm.common import bound_batches
 
 KINDS = ("email", "ip", "card", "phone")
-#: Trees are fitted on the candidates of at most so many postings with a digit or an at sign, those of least hash.
+#: Trees are fitted on a bounded sample: at most so many postings with a digit or an at sign, those of least hash, at most so many
+#: candidates of one posting, spread over its whole text, and of these the first so many in hash order.
 MAX_POSTINGS = 4000
+MAX_OF_POSTING = 200
 MAX_CANDIDATES = 60_000
 PRECISION = 0.98
 MIN_EXAMPLES = 20
@@ -83,8 +91,8 @@ _NUMBERS = re.compile(r"[+(]{0,2}[0-9](?:[\x20().,\[\] –/_-]{0,3}+[0-9])*+")
 
 
 def candidates(text: str) -> list[Span]:
-    """Proposed spans, overlapping ones included. Runs of digit groups propose each stretch of up to 8 groups that has
-    the number of digits of its kind; there are at most 8 stretches per group, so a long run costs in proportion."""
+    """Proposed spans, overlapping ones included. Runs of digit groups propose each stretch of groups that has the number
+    of digits of its kind; no kind has more than 19 digits, so there are at most 19 stretches per group and a long run costs in proportion."""
     found = {(m.start(), 0, m.end()) for m in _WIDE_EMAIL.finditer(text)}
     if not _DIGIT.search(text):
         return sorted(found)
@@ -94,7 +102,7 @@ def candidates(text: str) -> list[Span]:
             count, start = 0, begin
             while start > run.start() and text[start - 1] in "+(" and begin - start < 2:
                 start -= 1
-            for j in range(i, min(i + 8, len(groups))):
+            for j in range(i, min(i + 19, len(groups))):
                 count += groups[j][1] - groups[j][0]
                 if count > 19:
                     break
@@ -109,7 +117,8 @@ def candidates(text: str) -> list[Span]:
 
 
 _HINTS = tuple(re.compile(p, re.I) for p in (r"mail|contact|@", r"\bip\b|host|server|addr", r"card|visa|iban|account|pay", r"tel|phone|call|fax|mobile|cell"))
-FEATURES = 24
+_BEHIND, _AHEAD = re.compile(r"[0-9][\x20().,\[\] –/_+-]{0,4}$"), re.compile(r"[\x20().,\[\] –/_-]{0,3}[0-9]")
+FEATURES = 26
 
 
 def describe(text: str, span: Span) -> list[float]:
@@ -125,20 +134,79 @@ def describe(text: str, span: Span) -> list[float]:
         float(luhn(digits)) if digits else 0.0, float(own[:1] == "+"), float("(" in own), float(own.count(".")), float(own.count("-")), float(own.count(" ")),
         float(len(set(gaps))), float(sum(c.isalpha() for c in own)), float("@" in own), float(before[-1:].isalnum()), float(after[:1].isalnum()),
         float(before[-1:] in (".", "-", "+", "(")) if before else 0.0, float(after[:1] in (".", "-", "@") and after[1:2].isalnum()), float(bool(_HINTS[kind].search(before))),
+        float(bool(_BEHIND.search(before))), float(bool(_AHEAD.match(after))),
     ]
 
 
-def examples(text: str) -> list[tuple[list[float], int]]:
-    """Candidates with what the rules say of them; those that only contain an accepted span are left out."""
-    good, _ = rule_spans(text)
-    accepted, out = set(good), []
+_ATS, _DOTS = (" [at] ", " (at) ", " at ", "[at]", "(at)", "{at}"), (" [dot] ", " (dot) ", " dot ", ".", "[dot]")
+
+
+def rewrite(kind: int, own: str, n: int) -> str:
+    """An accepted span in the n-th of its other formats."""
+    if kind == 0:
+        local, domain = own.rsplit("@", 1)
+        return local + _ATS[n % len(_ATS)] + domain.replace(".", _DOTS[n // len(_ATS) % len(_DOTS)])
+    digits = digits_of(own)
+    if kind == 1:
+        return own.replace(".", ("[.]", "(.)", " . ", ". ")[n % 4])
+    if kind == 2:
+        gap = (".", "/", "_", " - ", ", ")[n % 5]
+        return gap.join(digits[k:k + 4] for k in range(0, len(digits), 4))
+    area, office, line = digits[-10:-7], digits[-7:-4], digits[-4:]
+    national = (f"({area}) {office}-{line}", f"{area}-{office}-{line}", f"{area}.{office}.{line}", f"{area} {office} {line}", f"{area}/{office}-{line}")
+    forms = (*national, own[1:], *[f"{digits[:-10] or '1'}{gap}{national[1]}" for gap in "- ."])
+    return forms[n % len(forms)]
+
+
+def rewritten(text: str, good: list[Span]) -> tuple[str, list[Span]]:
+    """The text with its accepted spans in other formats, and where they are now. Of overlapping ones the first is rewritten."""
+    parts, spans, at, size = [], [], 0, 0
+    for start, kind, end in good:
+        if start < at:
+            continue
+        own = text[start:end]
+        new = rewrite(kind, own, zlib.crc32(f"{start}:{own}".encode()))
+        parts += [text[at:start], new]
+        size += start - at
+        spans.append((size, kind, size + len(new)))
+        size, at = size + len(new), end
+    return "".join([*parts, text[at:]]), spans
+
+
+TRUE, FALSE, UNKNOWN = 1, 0, 2
+_NAME = re.compile(r"[A-Za-z0-9_%+-]+")
+_AGAIN = re.compile(rf"({_DOT}a)\1+")
+
+
+def shape(kind: int, own: str) -> str:
+    """The format of a span: its separators, and how many digits lie between them; the words of an address count as one each."""
+    if kind == 0:
+        return "0" + _AGAIN.sub(r"\1", _NAME.sub(lambda m: m[0].lower() if m[0].lower() in ("at", "dot") else "a", own))
+    if kind == 1:
+        return "1" + _GROUP.sub("9", own)
+    return f"{kind}{luhn(digits_of(own)) if kind == 2 else ''}" + _DIGIT.sub("9", own)
+
+
+def _labelled(text: str, true: list[Span], bad: list[Span]) -> Iterator[tuple[list[float], int, str]]:
+    held, rejected = set(true), set(bad)
     for span in candidates(text):
-        over = [g for g in good if g[0] < span[2] and span[0] < g[2]]
-        if span in accepted:
-            out.append((describe(text, span), 1))
-        elif not over or any(g[0] <= span[0] and span[2] <= g[2] for g in over):
-            out.append((describe(text, span), 0))
-    return out
+        if span in held:
+            label = TRUE
+        elif span in rejected or any(t[0] < span[2] and span[0] < t[2] for t in true):
+            label = FALSE
+        else:
+            label = UNKNOWN
+        yield describe(text, span), label, shape(span[1], text[span[0]:span[2]])
+
+
+def examples(text: str) -> list[tuple[list[float], int, str]]:
+    """Candidates of the text as it is and with its accepted spans rewritten, as TRUE, FALSE or UNKNOWN, with their shapes."""
+    good, bad = rule_spans(text)
+    found = list(_labelled(text, good, bad))
+    if good:
+        # What is the same in both texts counts once: of the rewritten one only what is known.
+        found += [e for e in _labelled(*rewritten(text, good), []) if e[1] != UNKNOWN]
+    return found
 
 
 @dataclass(frozen=True)
@@ -191,20 +259,30 @@ def fit_spans(jobs: DataFrame, max_postings: int = MAX_POSTINGS) -> SpanModel:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, f, y) for p, t in zip(batch.column("place").to_pylist(), batch.column("description_raw").to_pylist()) for f, y in examples(t)[:MAX_CANDIDATES]]
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in ((0, pa.int64()), (1, pa.list_(pa.float64())), (2, pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["place", "x", "y"])
+            rows = []
+            for p, t in zip(batch.column("place").to_pylist(), batch.column("description_raw").to_pylist()):
+                own = examples(t)
+                step = -(-len(own) // MAX_OF_POSTING)
+                rows += [(p, *e) for e in own[::step or 1]]
+            kinds = (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["place", "x", "y", "shape"])
+
+    found = drawn.mapInArrow(run, "place long, x array<double>, y int, shape string").orderBy("place", "x", "y", "shape").limit(MAX_CANDIDATES).toPandas()
+    return fitted(found["place"].to_numpy(), np.array(found["x"].tolist()).reshape(-1, FEATURES), found["y"].to_numpy(), found["shape"].to_numpy())
+
 
-    found = drawn.mapInArrow(run, "place long, x array<double>, y int").orderBy("place", "x", "y").limit(MAX_CANDIDATES).toPandas()
+def fitted(place: np.ndarray, x: np.ndarray, y: np.ndarray, shapes: np.ndarray) -> SpanModel:
+    """A model of examples; those of a quarter of the postings, told by ``place``, are kept aside for the thresholds."""
     none = SpanModel(0.0, (), (np.inf,) * len(KINDS))
-    if found["y"].sum() < MIN_EXAMPLES or (found["y"] == 0).sum() < MIN_EXAMPLES:
+    if (y == TRUE).sum() < MIN_EXAMPLES or (y != TRUE).sum() < MIN_EXAMPLES:
         return none
-    x, y = np.array(found["x"].tolist()), found["y"].to_numpy(float)
-    aside = (found["place"].to_numpy() % 4) == 0
+    aside = (place % 4) == 0
     if not aside.any() or aside.all():
         return none
-    start, trees = boost.fit(x[~aside], y[~aside], trees=30, depth=4, least=5)
-    return SpanModel(start, tuple(trees), calibrate(boost.log_odds(start, trees, x[aside]), y[aside], x[aside, :4].argmax(axis=1)))
+    known = (y != UNKNOWN) | ~np.isin(shapes, np.unique(shapes[y == TRUE]))
+    x, t, aside = x[known], (y[known] == TRUE).astype(float), aside[known]
+    start, trees = boost.fit(x[~aside], t[~aside], trees=40, depth=4, least=5)
+    return SpanModel(start, tuple(trees), calibrate(boost.log_odds(start, trees, x[aside]), t[aside], x[aside, :4].argmax(axis=1)))
 
 
 def find_personal_data(jobs: DataFrame, max_postings: int = MAX_POSTINGS) -> DataFrame:

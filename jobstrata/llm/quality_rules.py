@@ -4,6 +4,11 @@ Every measure of a description is an integer. Its sketch is a log-linear histogr
 ones keep their 7 leading bits, so a quantile is off by less than 1/64 of itself, and sketches merge by adding counts.
 Sketches of (language, source) groups merge into those of a language and of the whole index, which stand in for groups
 with fewer than ``min_rows`` postings. Nothing depends on the order of rows, so reruns agree to the last bit.
+
+Symbol rate and word length have fences around the middle half of their group, since what is wrong there can be more than a few
+percent of it. Repeated words and lines are common in good texts of some sources and absent in others, so their limits
+lie above the upper percentiles, by half the distance from the 95th to the 99th. Rates may exceed their limit by a single
+occurrence in a posting of the group's median length, and by no fixed amount.
 """
 
 from __future__ import annotations
@@ -17,20 +22,19 @@ from jobstrata.llm.common import attach, let, words_of, written
 
 SYMBOLS = "[#*$%&|<>]"
 MEASURES = ("symbol_rate", "word_length", "repeat_rate", "dup_line_rate")
+SKETCHED = (*MEASURES, "n_words")
+PERCENTILES = (25, 50, 75, 95, 99)
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Upper limit of a measure: q75 + ``spread`` * (q75 - q25) + its slack; the word length has a lower one as well."""
+    """What the limits are made of; rates are per 1000 words or lines, the word length in hundredths of a character."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     min_rows: int = 100
-    spread: int = 3
-    symbol_rate: int = 100  # symbols per 1000 words
-    word_length: int = 150  # hundredths of a character
-    repeat_rate: int = 450  # repeated words per 1000
-    dup_line_rate: int = 500  # repeated lines per 1000
+    symbol_fence: int = 3  # quartile distances from the quartiles
+    length_fence: int = 6
 
 
 def repeated_words(words: Column) -> Column:
@@ -95,7 +99,7 @@ def bucket_of(value: Column) -> Column:
 def sketches(rates: DataFrame) -> DataFrame:
     """Counts per language, source, measure and bucket, over all rows."""
     return (
-        rates.select("language", "source", F.explode(F.create_map(*[x for m in MEASURES for x in (F.lit(m), bucket_of(F.col(m)))])).alias("measure", "bucket"))
+        rates.select("language", "source", F.explode(F.create_map(*[x for m in SKETCHED for x in (F.lit(m), bucket_of(F.col(m)))])).alias("measure", "bucket"))
         .groupBy("language", "source", "measure", "bucket").agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -104,40 +108,48 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """Rows of a group and, for each measure, its first and third quartile."""
+def percentiles(sketch: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """Rows of a group and, for each measure, its percentiles."""
     group = Window.partitionBy(*keys, "measure")
     running = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = sketch.withColumns({"_through": F.sum("n").over(running), "_all": F.sum("n").over(group)})
     found = [
-        F.min(F.when((F.col("measure") == m) & (4 * F.col("_through") >= q * F.col("_all")), F.col("bucket"))).alias(f"{prefix}{m}_q{q}")
-        for m in MEASURES for q in (1, 3)
+        F.min(F.when((F.col("measure") == m) & (100 * F.col("_through") >= q * F.col("_all")), F.col("bucket"))).alias(f"{prefix}{m}_{q}")
+        for m in SKETCHED for q in PERCENTILES
     ]
     return ranked.groupBy(*keys).agg(F.max("_all").alias(f"{prefix}rows"), *found)
 
 
-def limits_of(sketch: DataFrame, limits: Limits) -> DataFrame:
+def limits_of(sketch: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Per language and source: ``max_`` of each measure and ``min_word_length``."""
-    own = quartiles(sketch, ["language", "source"], "own_")
-    by_language = quartiles(merged(sketch, ["language"]), ["language"], "language_").withColumnRenamed("language", "_language")
-    overall = quartiles(merged(sketch, []), [], "all_")
+    own = percentiles(sketch, ["language", "source"], "own_")
+    by_language = percentiles(merged(sketch, ["language"]), ["language"], "language_").withColumnRenamed("language", "_language")
+    overall = percentiles(merged(sketch, []), [], "all_")
     rows = own.join(by_language, F.col("language").eqNullSafe(F.col("_language")), "left")
     rows = rows.withColumn("_all", overall.select(F.struct(*overall.columns)).scalar())
 
-    def level(name: str) -> Column:
+    def at(measure: str, q: int) -> Column:
+        name = f"{measure}_{q}"
         return (
             F.when(F.col("own_rows") >= limits.min_rows, F.col(f"own_{name}"))
             .when(F.col("language_rows") >= limits.min_rows, F.col(f"language_{name}"))
             .otherwise(F.col(f"_all.all_{name}"))
         )
 
-    out = {}
-    for m in MEASURES:
-        low, high, slack = level(f"{m}_q1"), level(f"{m}_q3"), getattr(limits, m)
-        out[f"max_{m}"] = high + limits.spread * (high - low) + slack
-        if m == "word_length":
-            out["min_word_length"] = low - limits.spread * (high - low) - slack
-    return rows.select("language", "source", *[c.alias(name) for name, c in out.items()])
+    def fence(measure: str, width: int) -> Column:
+        return width * (at(measure, 75) - at(measure, 25))
+
+    def above(measure: str) -> Column:
+        return at(measure, 99) + F.call_function("div", at(measure, 99) - at(measure, 95), F.lit(2)) + once
+
+    once = F.call_function("div", F.lit(1000), at("n_words", 50))
+    return rows.select(
+        "language", "source",
+        (at("symbol_rate", 75) + fence("symbol_rate", limits.symbol_fence) + once).alias("max_symbol_rate"),
+        (at("word_length", 75) + fence("word_length", limits.length_fence)).alias("max_word_length"),
+        (at("word_length", 25) - fence("word_length", limits.length_fence)).alias("min_word_length"),
+        above("repeat_rate").alias("max_repeat_rate"), above("dup_line_rate").alias("max_dup_line_rate"),
+    )
 
 
 def judge_quality(jobs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -151,9 +163,10 @@ def judge_quality(jobs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     rates = written(measures(jobs).withColumns(_rates(limits)), "quality-measures")
     limit = limits_of(sketches(rates.filter(~F.col("base_failed"))), limits)
     judged = attach(rates, limit, ["language", "source"], F.col("id"))
-    fits = F.col("word_length") >= F.col("min_word_length")
+    # Limits are made of buckets' lower ends, so values are compared by their bucket.
+    fits = bucket_of(F.col("word_length")) >= F.col("min_word_length")
     for m in MEASURES:
-        fits = fits & (F.col(m) <= F.col(f"max_{m}"))
+        fits = fits & (bucket_of(F.col(m)) <= F.col(f"max_{m}"))
     return judged.select(
         "id", "language", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
         "base_failed", F.coalesce(~F.col("base_failed") & fits, F.lit(False)).alias("kept"),

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from jobstrata.llm import boost
 from jobstrata.llm.language_id import features, fit_temperature, has_letter, identify, train_ftrl
-from jobstrata.llm.personal_data import KINDS, candidates, find_personal_data, luhn, redact, rule_spans
+from jobstrata.llm.personal_data import KINDS, candidates, find_personal_data, luhn, redact, rewrite, rewritten, rule_spans
 from jobstrata.llm.quality_classifier import STATISTICS, fit_rules, keep_good, lasso_logistic, score_quality, statistics
 from pyspark.sql import functions as F
 
@@ -154,5 +155,60 @@ def test_the_method_adds_spans_and_keeps_rule_spans(spark):
     assert [len(r.spans) for r in find_personal_data(postings(spark, (1, "joe@mail.example.com"))).collect()] == [1]
 
 
+def test_rewritten_spans_are_candidates():
+    text = "joe.b@mail.example.com, 10.0.12.7; +1 (269) 555-3296 or 4111 1111 1111 1111."
+    good = rule_spans(text)[0]
+    for n in range(60):
+        for start, kind, end in good:
+            own = f"see {rewrite(kind, text[start:end], n)} now"
+            assert (4, kind, len(own) - 4) in candidates(own), own
+    new, spans = rewritten(text, good)
+    assert [k for _, k, _ in spans] == [k for _, k, _ in good] and all(s in candidates(new) for s in spans)
+    assert not set(text[a:b] for a, _, b in good) & set(new[a:b] for a, _, b in spans)
+
+
+def test_other_formats_are_found(spark):
+    """A corpus in plain formats only, with dates, orders and other numbers; planted spans in formats that no rule reads."""
+    draw = random.Random(4)
+
+    def phone():
+        return f"{draw.randint(200, 999)}", f"{draw.randint(200, 999)}", f"{draw.randint(0, 9999):04}"
+
+    def card():
+        head = "4" + "".join(str(draw.randint(0, 9)) for _ in range(14))
+        return next(head + str(c) for c in range(10) if luhn(head + str(c)))
+
+    noise = [
+        lambda: f"Posted on {draw.randint(1990, 2024)}-{draw.randint(1, 12):02}-{draw.randint(1, 28):02} 10:{draw.randint(10, 59)}:00.", lambda: f"Order {draw.randint(10**9, 10**10)} of batch {draw.randint(10, 99)}.",
+        lambda: f"Version {draw.randint(1, 9)}.{draw.randint(0, 20)}.{draw.randint(300, 900)}.{draw.randint(0, 9)} shipped.", lambda: f"Between {draw.randint(1, 9)},{draw.randint(100, 999)},{draw.randint(100, 999)} and {draw.randint(10, 99)},{draw.randint(100, 999)},{draw.randint(100, 999)} users.",
+        lambda: f"Meet at noon . then {draw.randint(2, 9)} teams dot the map.", lambda: f"Part no {draw.randint(1000, 9999)}-{draw.randint(1000, 9999)}-{draw.randint(1000, 9999)}-{draw.randint(1000, 9999)}.",
+    ]
+    plain = [
+        lambda: f"Mail {draw.choice(['joe', 'ann', 'li'])}{draw.randint(1, 99)}@mail{draw.randint(1, 9)}.example.com today.", lambda: "Call +1 ({}) {}-{} now.".format(*phone()), lambda: "Phone +1 {} {} {} please.".format(*phone()),
+        lambda: "Card {} on file.".format(" ".join(c[k:k + 4] for c in [card()] for k in range(0, 16, 4))), lambda: f"Host 10.{draw.randint(0, 255)}.{draw.randint(0, 255)}.{draw.randint(1, 254)} answers.",
+    ]
+    made = [(k, " ".join(draw.choice(noise)() for _ in range(3)) + " " + draw.choice(plain)() + " " + draw.choice(noise)()) for k in range(2000)]
+    planted = [
+        (3, lambda: "{}-{}-{}".format(*phone())), (3, lambda: "({}) {}-{}".format(*phone())), (3, lambda: "{} {} {}".format(*phone())), (3, lambda: "{}.{}.{}".format(*phone())),
+        (2, lambda: ".".join(c[k:k + 4] for c in [card()] for k in range(0, 16, 4))), (2, lambda: "/".join(c[k:k + 4] for c in [card()] for k in range(0, 16, 4))),
+        (0, lambda: f"joe{draw.randint(1, 99)} [at] example [dot] org"), (0, lambda: f"ann{draw.randint(1, 99)} at mail.example.com"), (1, lambda: f"10[.]{draw.randint(0, 255)}[.]{draw.randint(0, 255)}[.]7"),
+    ]
+    lead = ("Mail ", "Host ", "Card ", "Call ")
+    want = {}
+    for k in range(900):
+        kind, form = planted[k % len(planted)]
+        own, before = form(), " ".join(draw.choice(noise)() for _ in range(2)) + " " + lead[kind]
+        want[10_000 + k] = (KINDS[kind], len(before), len(before) + len(own))
+        made.append((10_000 + k, before + own + " please. " + draw.choice(noise)()))
+    hit = added = right = 0
+    for r in find_personal_data(postings(spark, *made)).collect():
+        rules = {(s.kind, s.start, s.end) for s in r.rule_spans}
+        more = {(s.kind, s.start, s.end) for s in r.spans} - rules
+        added, right = added + len(more), right + (want.get(r.id) in more)
+        hit += want.get(r.id) in more | rules
+    assert hit >= 0.9 * len(want), hit / len(want)
+    assert right >= 0.9 * added, (right, added)
+
+
 def test_redaction():
     assert redact("a joe@x.y b", [(2, 0, 9)]) == "a [email] b" and redact("12345", [(0, 1, 3), (2, 2, 5)]) == "[ip]"

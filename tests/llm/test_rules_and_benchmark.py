@@ -3,7 +3,7 @@ from collections import Counter
 
 from jobstrata.llm import oracle
 from jobstrata.llm.decontaminate import contamination, cut_passages, remove_contaminated
-from jobstrata.llm.quality_rules import Limits, bucket_of, judge_quality
+from jobstrata.llm.quality_rules import Limits, _rates, bucket_of, judge_quality, limits_of, measures, sketches
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import postings, rows
@@ -40,6 +40,23 @@ def test_limits_follow_the_group(spark):
     assert not kept[99] and kept[100] and kept[0] and kept[98] is True
 
 
+def test_repeated_lines_are_judged_by_their_source(spark):
+    """Where no text repeats a line the limit is low, where most do it is high; symbols alike."""
+    def text(k, repeats, symbols=0):
+        lines = [" ".join(f"w{k}x{i}y{j}" for j in range(10)) + " #" * (i < symbols) for i in range(10)]
+        return "\n".join(lines + lines[:repeats])
+
+    made = [(k, text(k, 0), "en", "never") for k in range(200)] + [(200 + k, text(k, k % 4, 5), "en", "often") for k in range(200)]
+    made += [(900, text(900, 3), "en", "never"), (901, text(901, 3, 5), "en", "often"), (902, text(902, 0, 5), "en", "never")]
+    jobs = postings(spark, *made)
+    rates = measures(jobs).withColumns(_rates(Limits()))
+    found = {r.source: r for r in limits_of(sketches(rates)).collect()}
+    assert found["never"].max_dup_line_rate < 20 and found["often"].max_dup_line_rate > 200
+    assert found["never"].max_symbol_rate < 15 and found["often"].max_symbol_rate > 40
+    kept = dict(rows(judge_quality(jobs), "id", "kept"))
+    assert not kept[900] and kept[901] and not kept[902] and kept[0] and kept[203]
+
+
 def test_sketch_buckets_are_close_below(spark):
     found = spark.range(0, 40000, 7).select("id", bucket_of(F.col("id")).alias("b")).collect()
     assert all(r.b <= r.id and (r.id - r.b) * 64 <= max(r.id, 1) for r in found)
