@@ -2,7 +2,8 @@
 
 Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. A benchmark window is ``width`` consecutive
 words of an item; an item of fewer words is one window of its own length. Windows form a broadcast hash set, every window
-of every posting probes it by a 64-bit hash, and each hit is verified on the words themselves.
+of every posting probes it by a 64-bit hash, and each hit is verified on the words themselves. Texts are cut into
+overlapping stretches of ``CHUNK`` window starts first, so that a probe carries a few words and not the text it comes from.
 The benchmark has no counterpart among the index tables; it is general: item_id and text.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from jobstrata.llm.common import let
 
 WIDTH = 10
+CHUNK = 128
 #: Beyond so many windows the set is not broadcast: probes and windows are then shuffled by hash.
 MAX_BROADCAST_WINDOWS = 2_000_000
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -25,8 +27,9 @@ def tokens(text: Column) -> Column:
 
 
 def _keys(hashes: Column, width: int) -> Column:
-    """A 64-bit key for every window of ``width`` words, from the words' own hashes."""
-    starts = F.when(F.size(hashes) >= width, F.sequence(F.lit(0), F.size(hashes) - width)).otherwise(F.array().cast("array<int>"))
+    """A 64-bit key for every window of ``width`` words that begins in a stretch, from the words' own hashes."""
+    last = F.least(F.size(hashes) - width, F.lit(CHUNK - 1))
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
 
 
@@ -55,39 +58,52 @@ def find_passages(jobs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max
     windows = benchmark_windows(benchmark, width)
     lengths = {r["length"]: r["n"] for r in windows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     text_key = F.xxhash64("description_raw").alias("_text")
-    split = jobs.select("id", text_key, tokens(F.col("description_raw")).alias("_words"))
-    # The first probe always hits; it keeps postings without any passage, so that no second scan of the texts is needed.
-    always = F.array(F.lit(0).cast("long"))
+    words = jobs.select("id", text_key, tokens(F.col("description_raw")).alias("_all")).select("id", "_text", "_all", F.size("_all").cast("long").alias("n_words"))
+    bases = F.transform(F.sequence(F.lit(0), F.greatest(F.call_function("div", F.size("_all") - 1, F.lit(CHUNK)), F.lit(0)).cast("int")), lambda c: c * CHUNK)
+    stretches = F.transform(bases, lambda base: F.struct(base.alias("base"), F.slice("_all", base + 1, F.lit(CHUNK + width - 1)).alias("words")))
+    split = words.select("id", "_text", "n_words", F.explode(stretches).alias("_part")).select("id", "_text", "n_words", F.col("_part.base").alias("_base"), F.col("_part.words").alias("_words"))
+    shuffled = sum(lengths.values()) > max_broadcast
+    # Where windows are broadcast, a first probe of each posting always hits: it keeps those without any passage, so that
+    # no second scan of the texts is needed. Where they are shuffled all those probes would meet under one key.
+    first = (F.col("_base") == 0) & F.lit(not shuffled)
+    always = F.when(first, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
     def probes(hashes: Column) -> Column:
         return F.concat(always, *[_keys(hashes, n) for n in sorted(lengths)])
 
-    probed = split.select("id", "_text", "_words", F.size("_words").cast("long").alias("n_words"), F.posexplode(let(_hashes(F.col("_words")), probes)).alias("_pos", "_key"))
+    probed = split.select("id", "_text", "n_words", "_base", "_words", F.posexplode(let(_hashes(F.col("_words")), probes)).alias("_pos", "_key"))
     # Where a probe lies: all windows of the smallest length come first, then those of the next.
-    at, passed = F.when(F.col("_pos") == 0, F.lit(-1)), F.lit(1)
-    length = F.when(F.col("_pos") == 0, F.lit(0))
+    passed = F.when(first, F.lit(1)).otherwise(F.lit(0))
+    at, length = F.when(F.col("_pos") < passed, F.lit(-1)), F.when(F.col("_pos") < passed, F.lit(0))
     for n in sorted(lengths):
-        here = F.greatest(F.col("n_words").cast("int") - n + 1, F.lit(0))
+        here = F.greatest(F.least(F.size("_words") - n + 1, F.lit(CHUNK)), F.lit(0))
         at, length = at.when(F.col("_pos") < passed + here, F.col("_pos") - passed), length.when(F.col("_pos") < passed + here, F.lit(n))
         passed = passed + here
-    spark = jobs.sparkSession
-    sentinel = spark.range(1).select(F.lit(0).alias("length"), F.lit("").alias("window_text"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("key"))
-    known = windows.select("length", "window_text", "items", "key").union(sentinel).select(*[F.col(c).alias(f"w_{c}") for c in ("length", "window_text", "items", "key")])
-    if sum(lengths.values()) <= max_broadcast:
-        known = F.broadcast(known)
-    hits = probed.join(known, F.col("_key") == F.col("w_key")).withColumns({"_at": at, "_length": length})
-    same_words = F.array_join(F.slice("_words", F.greatest(F.col("_at"), F.lit(0)) + 1, F.col("_length")), " ") == F.col("w_window_text")
-    hits = hits.filter((F.col("_length") == F.col("w_length")) & same_words)
-    return (
-        hits.groupBy("id", "_text").agg(
-            F.max("n_words").alias("n_words"),
-            F.count(F.when(F.col("_at") < 0, True)).alias("_copies"),
-            F.sort_array(F.collect_set(F.when(F.col("_at") >= 0, F.struct(F.col("_at").alias("at"), F.col("_length").alias("length"))))).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("w_items")))).alias("items"),
-        )
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-        .select("id", "n_words", "hits", "items", F.col("_text").alias("text_key"))
+    sentinel = jobs.sparkSession.range(1).select(F.lit(0).alias("length"), F.lit("").alias("window_text"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("key"))
+    known = windows.select("length", "window_text", "items", "key")
+    known = (known if shuffled else known.union(sentinel)).select(*[F.col(c).alias(f"w_{c}") for c in ("length", "window_text", "items", "key")])
+    own_text = F.array_join(F.slice("_words", F.greatest(F.col("_at"), F.lit(0)) + 1, F.col("_length")), " ")
+    place = (F.when(F.col("_at") >= 0, F.col("_base") + F.col("_at")).otherwise(-1)).cast("int").alias("_at")
+    if shuffled:  # a probe travels with its own words only
+        small = probed.withColumns({"_at": at, "_length": length}).select("id", "_text", "n_words", "_key", place, "_length", own_text.alias("_own"))
+        hits = small.join(known, F.col("_key") == F.col("w_key"))
+    else:
+        hits = probed.join(F.broadcast(known), F.col("_key") == F.col("w_key")).withColumns({"_at": at, "_length": length})
+        hits = hits.select("id", "_text", "n_words", place, "_length", own_text.alias("_own"), "w_length", "w_window_text", "w_items")
+    hits = hits.filter((F.col("_length") == F.col("w_length")) & (F.col("_own") == F.col("w_window_text")))
+    found = hits.groupBy("id", "_text").agg(
+        F.max("n_words").alias("n_words"),
+        F.count(F.when(F.col("_at") < 0, True)).alias("_copies"),
+        F.sort_array(F.collect_set(F.when(F.col("_at") >= 0, F.struct(F.col("_at").alias("at"), F.col("_length").alias("length"))))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("w_items")))).alias("items"),
     )
+    if shuffled:
+        every = words.groupBy("id", "_text").agg(F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("_copies"))
+        of = found.select(F.col("id").alias("_id"), F.col("_text").alias("_of"), "hits", "items")
+        none = {c: F.coalesce(c, F.array().cast(found.schema[c].dataType)) for c in ("hits", "items")}
+        found = every.join(of, every["id"].eqNullSafe(of["_id"]) & every["_text"].eqNullSafe(of["_of"]), "left").withColumns(none)
+    copies = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return copies.select("id", "n_words", "hits", "items", F.col("_text").alias("text_key"))
 
 
 def hit_words(hits: Column) -> Column:

@@ -1,7 +1,9 @@
 import re
+import time
 from collections import Counter
 
-from jobstrata.llm import oracle
+import pytest
+from jobstrata.llm import decontaminate, oracle
 from jobstrata.llm.decontaminate import contamination, cut_passages, remove_contaminated
 from jobstrata.llm.quality_rules import Limits, _rates, bucket_of, judge_quality, limits_of, measures, sketches
 from pyspark.sql import functions as F
@@ -101,6 +103,32 @@ def test_passages_agree_with_brute_force(spark):
     assert got == sorted([(k, *brute(t, BENCHMARK)) for k, t in [*enumerate(DOCS), (3, DOCS[3]), (3, "clean")]], key=repr)
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 128])
+def test_passages_across_stretches(spark, monkeypatch, chunk):
+    monkeypatch.setattr(decontaminate, "CHUNK", chunk)
+    bench = spark.createDataFrame(BENCHMARK, "item_id long, text string")
+    texts = ["pad " * k + "alpha beta gamma delta " + "x " * 7 + "one two three four five six seven eight nine ten eleven" for k in (0, 1, 2, 5, 120, 127, 255)]
+    for n in (10**6, 0):
+        found = {r.id: (r.n_words, [tuple(h) for h in r.hits], r["items"]) for r in decontaminate.find_passages(postings(spark, *enumerate(texts)), bench, max_broadcast=n).collect()}
+        for k, t in enumerate(texts):
+            n_words, n_hit, items, _ = brute(t, BENCHMARK)
+            assert found[k][0] == n_words and found[k][2] == items
+            assert len({p for a, length in found[k][1] for p in range(a, a + length)}) == n_hit
+
+
+def test_long_texts_take_no_longer_than_short_ones(spark):
+    """A quarter of a million words in one text, and in 250."""
+    bench = spark.createDataFrame(BENCHMARK, "item_id long, text string")
+    words = [f"w{k % 977}" for k in range(250_000)]
+    took = []
+    for size in (1000, 1000, 250_000):
+        jobs = postings(spark, *[(k, " ".join(words[at:at + size])) for k, at in enumerate(range(0, len(words), size))]).coalesce(1)
+        start = time.perf_counter()
+        assert contamination(jobs, bench).agg(F.sum("n_words")).first()[0] == 250_000
+        took.append(time.perf_counter() - start)
+    assert took[2] < 3 * took[1] + 2, took
+
+
 def test_shuffled_windows_give_the_same(spark):
     from jobstrata.llm.decontaminate import find_passages
 
