@@ -1,11 +1,14 @@
 """Mixing the sources of the index to target weights, in fixed-length blocks of words.
 
-The texts of a source, in a pseudorandom order, form one stream that is cut into blocks of ``block_words`` words. Output
-slots are dealt to sources by one affine map of all slots: totals are those that the targets ask for, and each output shard
-of ``shard_slots`` slots gets a nearly even share of every source, not a multinomial draw. The j-th slot of a source takes
-the block at position j of that source's own index permutation (a new one for each pass), so no block is taken more often
-than another by more than one. Slots and blocks meet in a join on (source, block).
-Permutations are affine maps modulo the number of indices, with a multiplier that is prime to it.
+The texts of a source, in a pseudorandom order, form one stream that is cut into blocks of ``block_words`` words. The
+targets say how many slots each source gets in all; a keyed permutation of all slots deals them to output shards of
+``shard_slots`` slots. So the source counts of a shard are a multinomial draw, conditioned on the totals: no source is drawn
+beyond its passes, and totals meet the targets. The j-th slot of a source takes the block at position j of that source's own
+index permutation (another one for each pass), so no block is taken more often than another by more than one. Slots and blocks meet
+in a join on (source, block).
+
+Permutations are exact for any number of indices and need no memory: ``ROUNDS`` rounds of swap-or-not, in each of which every
+index is paired with its mirror image about a keyed point, and a keyed pseudorandom bit of the pair says whether they swap.
 """
 
 from __future__ import annotations
@@ -18,9 +21,10 @@ from pyspark.sql import functions as F
 from jobstrata.llm.common import attach, words_of
 from jobstrata.operators.scans import global_order
 
-_EXACT = "decimal(38,0)"  # products of two indices need more than 64 bits
-#: Primes for the multipliers; no number of slots below 10^28 is divisible by all three.
-PRIMES = (2654435761, 2246822519, 3266489917)
+#: Keys and bits are worked out modulo this prime, so that products fit 64 bits; fixed multipliers per use.
+PRIME = 2**31 - 1
+MULTIPLIERS = (1103515245, 1566083941, 1664525, 22695477, 69069)
+ROUNDS = 16
 SLOTS_PER_STEP = 4096
 
 
@@ -36,12 +40,30 @@ class Mix:
     seed: int = 7
 
 
+def _div(a: Column, b: Column | int) -> Column:
+    return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
+
+
+def _key(use: int, turn: Column, shift: Column) -> Column:
+    """1 .. PRIME - 1, by round and shift."""
+    return (turn * MULTIPLIERS[use] + (shift % PRIME) * MULTIPLIERS[(use + 1) % 5] + 7919 * (use + 1)) % (PRIME - 1) + 1
+
+
 def permuted(index: Column, size: Column, shift: Column) -> Column:
-    """A bijection of 0 .. size - 1."""
-    n, factor = size.cast(_EXACT), F.lit(PRIMES[2])
-    for prime in reversed(PRIMES[:2]):
-        factor = F.when(size % prime != 0, F.lit(prime)).otherwise(factor)
-    return ((index.cast("decimal(20,0)") * factor.cast("decimal(12,0)") + shift.cast("decimal(20,0)")) % n).cast("long")
+    """A bijection of 0 .. size - 1, another one for each ``shift`` (not negative)."""
+    size, shift = size.cast("long"), shift.cast("long")
+
+    def round_(at: Column, turn: Column) -> Column:
+        # A key below the size, also where that has more than 31 bits.
+        centre = (_key(0, turn, shift) * _key(1, turn, shift)) % size
+        mirror = (centre - at + size) % size
+        pair = F.greatest(at, mirror)
+        low, high = pair % PRIME, _div(pair, PRIME)
+        bits = (((low * _key(2, turn, shift) + high + _key(3, turn, shift)) % PRIME) * ((low * _key(4, turn, shift) + turn) % PRIME)) % PRIME
+        return F.when(_div(bits, 256) % 2 == 1, mirror).otherwise(at)
+
+    rounds = F.sequence(F.lit(1).cast("long"), F.lit(ROUNDS).cast("long"))
+    return F.aggregate(rounds, index.cast("long"), round_)
 
 
 def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -113,7 +135,9 @@ def slots(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
     step = F.lit(SLOTS_PER_STEP)
     steps = placed.filter("draws > 0").withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("draws") - 1, step))))
     at = F.explode(F.sequence(F.col("_step") * step, F.least((F.col("_step") + 1) * step, F.col("draws")) - 1))
-    drawn = steps.repartition(F.col("source"), F.col("_step")).withColumn("_at", at)
+    # A row stands for thousands of slots, so the number of tasks is stated: by size they would be merged into one.
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = steps.repartition(tasks, F.col("source"), F.col("_step")).withColumn("_at", at)
     turn = F.call_function("div", F.col("_at"), F.col("blocks"))
     shift = mix.seed + 104729 * F.col("place") + 15485863 * turn
     slot = permuted(F.col("_first") + F.col("_at"), F.col("_slots"), F.lit(mix.seed))
@@ -123,6 +147,11 @@ def slots(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
     )
 
 
+def shard_counts(taken: DataFrame) -> DataFrame:
+    """shard, source, n: how many slots of each shard go to each source."""
+    return taken.groupBy("shard", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
 def mixture(jobs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mixed index: one row per slot and piece of a posting in its block, with shard, slot, source, pass, block,
     row, id, from_word, to_word."""

@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from jobstrata.llm.mixing import Mix, layout, mixed_sizes, mixed_texts, mixture, permuted
+from jobstrata.llm.mixing import Mix, layout, mixed_sizes, mixed_texts, mixture, permuted, shard_counts, slots
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, postings, rows
@@ -47,10 +47,10 @@ def test_sources_come_near_their_targets(spark, corpus):
 
 def test_mixture_rows_are_what_sizes_count(spark, corpus):
     jobs = postings(spark, *corpus)
-    slots = mixture(jobs)
-    by = dict(rows(slots.groupBy("id").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("n")), "id", "n"))
+    found = mixture(jobs)
+    by = dict(rows(found.groupBy("id").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("n")), "id", "n"))
     assert by == {r.id: r.taken for r in mixed_sizes(jobs).collect() if r.taken}
-    numbers = sorted(r.slot for r in slots.select("slot").distinct().collect())
+    numbers = sorted(r.slot for r in found.select("slot").distinct().collect())
     assert numbers == list(range(len(numbers)))
 
 
@@ -60,6 +60,36 @@ def test_permutation_is_a_bijection(spark):
         assert sorted(r.p for r in found) == list(range(n))
 
 
+def test_a_large_permutation_keeps_within_bounds_and_shifts_differ(spark):
+    n = 10**13
+    some = spark.range(1000).select(*[permuted(F.col("id") * 7919, F.lit(n), F.lit(shift).cast("long")).alias(f"p{shift}") for shift in (1, 2)]).collect()
+    for name in ("p1", "p2"):
+        values = [r[name] for r in some]
+        assert len(set(values)) == 1000 and 0 <= min(values) < n // 50 and n - n // 50 < max(values) < n
+    assert not any(r.p1 == r.p2 for r in some)
+    # No fixed step from one index to the next, as an affine map would have.
+    steps = {(b.p1 - a.p1) % n for a, b in zip(some, some[1:])}
+    assert len(steps) > 900
+
+
+def test_shards_draw_their_sources(spark):
+    """Counts of a source per shard vary as those of a multinomial draw with fixed totals, and totals are exact."""
+    size, shards = 256, 240
+    total = size * shards
+    share = {"a": 0.5, "b": 0.3, "c": 0.2}
+    made = [(s, k, int(total * p), int(total * p) // 2 + 1) for k, (s, p) in enumerate(share.items())]
+    sources = spark.createDataFrame(made, "source string, place int, draws long, blocks long")
+    counts = {}
+    for r in shard_counts(slots(sources, Mix(shard_slots=size))).collect():
+        counts.setdefault(r.source, []).append(r.n)
+    for s, p in share.items():
+        assert sum(counts[s]) == int(total * p)
+        seen = counts[s] + [0] * (shards - len(counts[s]))
+        variance = sum((n - size * p) ** 2 for n in seen) / shards
+        expected = size * p * (1 - p) * (1 - 1 / shards)
+        assert 0.7 * expected < variance < 1.4 * expected, (s, variance, expected)
+
+
 def test_odd_rows(spark):
     jobs = postings(spark, (1, None, None, "a"), (2, "", None, None), (3, "one two", None, "a"), (3, "one two", None, "a"), (4, "x " * 3000, None, None), (None, "lost words", None, "b"))
     got = mixed_sizes(jobs).collect()
