@@ -100,13 +100,13 @@ def _key(use: int, turn: int, shift: str) -> str:
 
 
 def _permuted(rows: str, keep: str, size: str, shift: str) -> str:
-    """``keep`` and column at of ``rows``, with at permuted within 0 .. size - 1: one nested SELECT per round and step."""
+    """``keep`` and column pos of ``rows``, with pos permuted within 0 .. size - 1: one nested SELECT per round and step."""
     for turn in range(1, ROUNDS + 1):
         centre = f"({_key(0, turn, shift)} * {_key(1, turn, shift)}) % {size}"
-        rows = f"SELECT *, ({centre} - at + {size}) % {size} AS mirror FROM ({rows})"
-        rows = f"SELECT *, greatest(at, mirror) AS pair FROM ({rows})"
+        rows = f"SELECT *, ({centre} - pos + {size}) % {size} AS mirror FROM ({rows})"
+        rows = f"SELECT *, greatest(pos, mirror) AS pair FROM ({rows})"
         bits = f"(((pair % {PRIME} * {_key(2, turn, shift)} + pair // {PRIME} + {_key(3, turn, shift)}) % {PRIME}) * ((pair % {PRIME} * {_key(4, turn, shift)} + {turn}) % {PRIME})) % {PRIME}"
-        rows = f"SELECT {keep}, CASE WHEN ({bits}) // 256 % 2 = 1 THEN mirror ELSE at END AS at FROM ({rows})"
+        rows = f"SELECT {keep}, CASE WHEN ({bits}) // 256 % 2 = 1 THEN mirror ELSE pos END AS pos FROM ({rows})"
     return rows
 
 
@@ -131,8 +131,8 @@ drawn AS (
     least(round(target * ceil(s.source_size / 64.0) / s.source_size)::BIGINT, 2 * ceil(s.source_size / 64.0)::BIGINT) AS draws
   FROM sources s JOIN fill f ON f.source IS NOT DISTINCT FROM s.source WHERE step = 30),
 slots AS (SELECT source, place, blocks, unnest(range(draws)) AS nth FROM drawn WHERE source_size > 0),
-turns AS (SELECT source, blocks, nth % blocks AS at, 7 + 104729 * place + 15485863 * (nth // blocks) AS shift FROM slots),
-taken AS (SELECT source, at AS block, count(*) AS times FROM ({_permuted("SELECT * FROM turns", "source, blocks, shift", "blocks", "shift")}) GROUP BY ALL),
+turns AS (SELECT source, blocks, nth % blocks AS pos, 7 + 104729 * place + 15485863 * (nth // blocks) AS shift FROM slots),
+taken AS (SELECT source, pos AS block, count(*) AS times FROM ({_permuted("SELECT * FROM turns", "source, blocks, shift", "blocks", "shift")}) GROUP BY ALL),
 cut AS (SELECT r, source, stop - size AS begin, stop, unnest(range((stop - size) // 64, (stop - 1) // 64 + 1)) AS block FROM placed WHERE size > 0),
 sums AS (
   SELECT r, sum(times * (least(stop, (c.block + 1) * 64) - greatest(begin, c.block * 64))) AS taken
