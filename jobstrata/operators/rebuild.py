@@ -17,7 +17,7 @@ from jobstrata.functions.extraction import clamp_role_family
 from jobstrata.functions.skills import or_empty
 from jobstrata.operators.plugins import as_frame, as_records
 from jobstrata.operators.predicates import pending_extraction, pending_family
-from jobstrata.operators.scans import global_order
+from jobstrata.operators.scans import running_totals
 
 VALUES = ["skills", "remote_policy", "salary_min", "salary_max", "salary_currency"]
 
@@ -128,7 +128,7 @@ def _budgeted(
         F.coalesce("prompt_tokens", F.lit(0)).cast("bigint").alias("tokens_in"),
         F.coalesce("completion_tokens", F.lit(0)).cast("bigint").alias("tokens_out"),
     )
-    ranked = global_order(
+    ranked = running_totals(
         pending.select("id").join(costs, "id"), ["id"], {"through_in": "tokens_in", "through_out": "tokens_out"}
     )
     if limit is not None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from jobstrata.session import ensure_checkpoint_dir
 
 BLOCK = 4096
+RANGES = 1024
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -55,6 +56,46 @@ def fold_before(
     )
 
 
+def key_cuts(df: DataFrame, key: Column, ranges: int) -> Column:
+    """At most ``ranges`` - 1 sorted keys that cut a table into ranges of about equal size, as a scalar subquery.
+
+    They are the keys of least hash: an even sample that every partition takes its part of, that depends on nothing but the
+    keys, and that needs no pass over the table before the plan is made. Few rows of each partition travel.
+    """
+    keyed = df.select(key.alias("_key"))
+    chosen = keyed.orderBy(F.xxhash64("_key"), "_key").limit(max(1, ranges - 1))
+    return chosen.agg(F.array_sort(F.collect_set("_key"))).scalar()
+
+
+def range_of(cuts: str, key: Column, ranges: int) -> Column:
+    """How many of the sorted cuts in column ``cuts`` are not above ``key``, by binary search."""
+
+    def search(found: Column, width: int) -> Column:
+        step = F.when(F.get(F.col(cuts), found + (width - 1)) <= key, found + width).otherwise(found)
+        return step if width == 1 else F.get(F.transform(F.array(step), lambda now: search(now, width // 2)), F.lit(0))
+
+    return search(F.lit(0), 1 << (max(1, ranges - 1).bit_length() - 1))
+
+
+def running_totals(df: DataFrame, order: list[str], sums: dict[str, str], ranges: int = RANGES) -> DataFrame:
+    """As :func:`global_order`, without a job or a checkpoint while the plan is made: the ranges are cut at keys that follow from
+    the table itself (:func:`key_cuts`), so a lost task cuts them the same way again. ``df`` is read once for the cuts (only
+    ``order``), once for the sums of the ranges and once for its rows; what it is made of must give the same rows each time.
+    Rows with equal ``order`` are numbered in any order, within one range.
+    """
+    key = F.struct(*order)
+    placed = df.withColumn("_cuts", key_cuts(df, key, ranges)).withColumn("_range", range_of("_cuts", key, ranges)).drop("_cuts")
+    totals = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"_{out}") for out, c in sums.items()])
+    earlier = Window.orderBy("_range").rowsBetween(*_BEFORE)  # over one row per range
+    names = ["_rows", *[f"_{out}" for out in sums]]
+    offsets = totals.select(F.col("_range").alias("_of"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in names])
+    inside = Window.partitionBy("_range").orderBy(*order)
+    through = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = placed.withColumns({"_in": F.row_number().over(inside), **{f"_in_{out}": F.sum(c).over(through) for out, c in sums.items()}})
+    met = counted.join(F.broadcast(offsets), F.col("_range") == F.col("_of"))  # at most ``ranges`` rows
+    return met.select(*df.columns, (F.col("_rows_before") + F.col("_in")).alias("rank"), *[(F.col(f"_{out}_before") + F.col(f"_in_{out}")).alias(out) for out in sums])
+
+
 def global_order(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
     """Adds ``rank`` (1-based, over the whole table) and running totals up to and including a row.
 
