@@ -1,11 +1,13 @@
 """Near-duplicate postings by an LSH forest: groups of descriptions whose word shingles overlap by 75 % or more.
 
-Every different shingle set has ``TREES * DEPTH`` MinHash values. Tree t orders the sets by its own ``DEPTH`` values; a
-region is a run of sets with a common prefix of ``PREFIX`` values, and regions that hold many sets are entered deeper.
-Within a region the candidates are the edges of a maximum spanning forest over the estimated similarity, that is, every
-set's best neighbours, at most one edge less than sets. They are confirmed on full shingle sets read from the texts.
+Every different shingle set has ``TREES * DEPTH`` MinHash values. Tree t sorts the sets by its own ``DEPTH`` values; a
+region is a run of sets with a common prefix of ``PREFIX`` values, sorted in one task. In that order the sets with the longest
+common prefix are next to each other, so a set's candidates are its ``WINDOW`` neighbours on either side. How long their common
+prefix must be depends on the region: where more than ``CROWD`` sets share a prefix, one more value is asked for, and again, down
+to the full depth. Of the neighbours whose estimate is high enough a maximum spanning forest is kept, at most one edge less than
+sets, and confirmed on full shingle sets read from the texts.
 A second pass takes every pair of a region that the estimate lets through and that the confirmed links don't join yet,
-so that a candidate that failed doesn't hide others; where those pairs are many, the region's full sets meet in its task.
+so that neither a candidate that failed nor one further off in the order is lost; where those pairs are many, the region's full sets meet in its task.
 Sets of regions too large for a task are joined exactly instead, on the rare shingles that alike sets must share. Two sets of similarity s meet in a tree with probability s^3: at
 0.75 all 20 trees miss a pair once in 55,000, at 0.8 once in 1.7 million.
 """
@@ -35,7 +37,7 @@ SALT = 20_000  # entries of one shingle, on each side, that meet in a task
 _CODES = 1 << 20  # counters of shingles
 DENSE = 4  # pairs per set up to which the second pass lists them
 MAX_HOT = 100_000  # at most so many regions can hold more than their share of all rows
-BLOCK = 512
+WINDOW, CROWD = 8, 32
 _VALUES = TREES * DEPTH
 _SEEDS = mix(np.arange(1, _VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -223,42 +225,52 @@ def _possible(n: np.ndarray, k: int | slice, other: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(n[k], other) >= PERCENT * np.maximum(n[k], other)
 
 
-def forest(bits: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
-    """Maximum spanning forest over the estimates of at least LOOSE, grown from the first set; ties go to earlier sets."""
-    s = len(bits)
-    best, link = np.full(s, -1.0), np.zeros(s, np.int64)
-    open_ = np.ones(s, bool)
-    edges, at = [], 0
-    for _ in range(s):
-        open_[at] = False
-        left = np.flatnonzero(open_)
-        if not len(left):
-            break
-        near = np.where(_possible(n, at, n[left]), estimate(bits[at], bits[left]), -1.0)
-        closer = near > best[left]
-        best[left[closer]], link[left[closer]] = near[closer], at
-        at = int(left[best[left].argmax()])
-        if best[at] >= LOOSE:
-            edges.append((int(link[at]), at))
-    return edges
-
-
-def spanning(bits: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
-    """Candidates of a region in path order. Beyond BLOCK sets: forests of overlapping blocks, and every set's nearest of
-    the 8 most central sets (those that agree most with the commonest value in each place)."""
-    if len(bits) <= BLOCK:
-        return forest(bits, n)
-    edges = []
-    for at in range(0, len(bits), BLOCK // 2):
-        edges += [(a + at, b + at) for a, b in forest(bits[at:at + BLOCK], n[at:at + BLOCK])]
-        if at + BLOCK >= len(bits):
-            break
-    common = np.array([np.bincount(c, minlength=16).argmax() for c in bits.T], np.uint8)
-    central = np.argsort(-(bits == common).sum(axis=1), kind="stable")[:8]
-    near = np.stack([np.where(_possible(n, c, n), estimate(bits[c], bits), -1.0) for c in central])
-    near[np.arange(len(central)), central] = -1
-    chosen = near.argmax(axis=0)
-    edges += [(int(central[c]), k) for k, c in enumerate(chosen.tolist()) if near[c, k] >= LOOSE]
+def depths(path: np.ndarray) -> np.ndarray:
+    """For each set of a region, in path order, how many further values a neighbour must share: the fewest such that at most
+    ``CROWD`` sets have them in common, at most all there are."""
+    found = np.zeros(len(path), np.int64)
+    for d in range(DEPTH - PREFIX):
+        run = path >> (16 * (DEPTH - PREFIX - d))
+        begins = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        sizes = np.diff(np.append(begins, len(path)))
+        found[(found == d) & (np.repeat(sizes, sizes) > CROWD)] = d + 1
+    return found
+
+
+def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading values of the rest of two paths agree."""
+    return sum(((a >> (16 * k)) == (b >> (16 * k))).astype(np.int64) for k in range(DEPTH - PREFIX))
+
+
+def neighbours(path: np.ndarray, bits: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
+    """Candidates of a region in path order: a maximum spanning forest, by estimate, of the pairs of neighbours whose common
+    prefix is long enough; ties go to the longer prefix, then to earlier sets."""
+    depth, first, second, near, shared = depths(path), [], [], [], []
+    for step in range(1, min(WINDOW, len(path) - 1) + 1):
+        i = np.arange(len(path) - step)
+        prefix = common(path[i], path[i + step])
+        i = i[(prefix >= np.maximum(depth[i], depth[i + step])) & _possible(n, i, n[i + step])]
+        guess = estimate(bits[i], bits[i + step])
+        i, guess = i[guess >= LOOSE], guess[guess >= LOOSE]
+        first.append(i)
+        second.append(i + step)
+        near.append(guess)
+        shared.append(common(path[i], path[i + step]))
+    a, b, guess, prefix = (np.concatenate(v) for v in (first, second, near, shared))
+    order = np.lexsort((b, a, -prefix, -guess))
+    parent, edges = list(range(len(path))), []
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for x, y in zip(a[order].tolist(), b[order].tolist()):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            edges.append((x, y))
     return edges
 
 
@@ -336,7 +348,7 @@ def candidates(sets: DataFrame, hot: DataFrame | None, limit: int, second: bool)
             if not many.any():
                 return
             packed = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(len(keys), -1)
-            n, known = table.column("n_shingles").to_numpy(), table.column("known").to_numpy()
+            n, known, paths = (table.column(c).to_numpy() for c in ("n_shingles", "known", "path"))
             pairs: list[tuple[int, int]] = []
             members: list[int] = []
             two = begins[many & (ends - begins == 2)]
@@ -351,7 +363,7 @@ def candidates(sets: DataFrame, hot: DataFrame | None, limit: int, second: bool)
                 if second and (known[a:b] == known[a]).all():
                     continue
                 bits = unpacked(packed[a:b])
-                some = unjoined(bits, n[a:b], known[a:b]) if second else spanning(bits, n[a:b])
+                some = unjoined(bits, n[a:b], known[a:b]) if second else neighbours(paths[a:b], bits, n[a:b])
                 if some is None:
                     members += range(a, b)
                 else:

@@ -118,24 +118,60 @@ def test_rare_shingles_bring_every_pair_between_groups(spark, monkeypatch):
     assert len(want) > 50 and got == want
 
 
+def _path(*values):
+    out = 0
+    for v in values:
+        out = out << 16 | v
+    return out
+
+
+def test_neighbours_have_the_longest_common_prefix():
+    rng = np.random.default_rng(3)
+    path = np.sort(np.array([_path(*rng.integers(0, 3, 3)) for _ in range(60)]))
+    for k in range(1, 59):
+        longest = max(int(nd.common(path[k:k + 1], path[j:j + 1])[0]) for j in range(60) if j != k)
+        assert longest == max(int(nd.common(path[k:k + 1], path[j:j + 1])[0]) for j in (k - 1, k + 1))
+    assert nd.common(np.array([_path(1, 2, 3)]), np.array([_path(1, 2, 4)])).tolist() == [2]
+
+
+def test_depth_follows_the_population():
+    crowd = nd.CROWD + 1
+    path = np.sort(np.array([_path(1, 1, 1)] * crowd + [_path(1, 1, 2)] * 3 + [_path(1, 2, k) for k in range(5)] + [_path(7, k, 0) for k in range(4)]))
+    depth = nd.depths(path)
+    assert depth[:crowd + 3].tolist() == [3] * (crowd + 3)  # more than CROWD share two values, and three
+    assert depth[crowd + 3:crowd + 8].tolist() == [2] * 5 and depth[crowd + 8:].tolist() == [1] * 4
+    assert nd.depths(path[-4:]).tolist() == [0] * 4  # a small region asks for nothing beyond its own prefix
+
+
 @pytest.mark.parametrize("size", [3, 40, 700])
 def test_forests_reach_every_copy(size):
+    """Near copies of one text over all trees: their orders differ, and together the forests join all of them."""
     rng = np.random.default_rng(size)
-    base = rng.integers(0, 16, nd.TREES * nd.DEPTH).astype(np.uint8)
-    bits = np.tile(base, (size, 1))
+    base = rng.integers(0, 1 << 16, nd.TREES * nd.DEPTH)
+    signed = np.tile(base, (size, 1))
     for k in range(size):
         at = rng.choice(len(base), 12, replace=False)
-        bits[k, at] = (bits[k, at] + 1) % 16
-    edges = nd.spanning(bits, np.full(size, 100))
-    parent = list(range(size))
-    for a, b in edges:
-        ra, rb = a, b
-        while parent[ra] != ra:
-            ra = parent[ra]
-        while parent[rb] != rb:
-            rb = parent[rb]
-        parent[ra] = rb
-    assert len({next(iter([k])) for k in range(size) if parent[k] == k}) == 1 and len(edges) <= 4 * size
+        signed[k, at] = rng.integers(0, 1 << 16, 12)
+    region, path = nd._places(signed.astype(np.uint16))
+    parent, edges = list(range(size)), 0
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for t in range(nd.TREES):
+        for r in np.unique(region[:, t]):
+            members = np.flatnonzero(region[:, t] == r)
+            if len(members) < 2:
+                continue
+            members = members[np.argsort(path[members, t], kind="stable")]
+            found = nd.neighbours(path[members, t], (signed[members] & 15).astype(np.uint8), np.full(len(members), 100))
+            assert len(found) < len(members)
+            edges += len(found)
+            for a, b in found:
+                parent[root(members[a])] = root(members[b])
+    assert len({root(k) for k in range(size)}) == 1 and edges <= nd.TREES * size
 
 
 def test_second_pass_takes_all_pairs_between_groups():
