@@ -2,11 +2,13 @@
 
 n-grams of 1 to 4 code points of the lower-cased text are hashed into ``BINS`` features. Document frequencies cover all
 postings of the learning fold; the weights are trained on a bounded sample per language with follow-the-regularised-
-leader (per-coordinate steps, L1 and L2), and a temperature fitted on postings kept aside calibrates the score.
+leader (per-coordinate steps, L1 and L2). A temperature calibrates the score: it is fitted on short cut-outs of postings kept
+aside, since on whole texts there are hardly any errors to learn it from, and is searched within ``TEMPERATURES``.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +23,8 @@ from jobstrata.llm.quality_classifier import held_out
 BINS = 1 << 15
 GRAMS = 4
 PER_LANGUAGE = 300  # sampled postings of a language, a fifth of them for calibration
+CUT_OUT = (6, 12, 24, 48)  # code points of the calibration texts, in turn
+TEMPERATURES = (0.1, 20.0)
 UNKNOWN = "und"
 _CHUNK = 1 << 18
 
@@ -129,13 +133,22 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
         p = softmax(logits / np.exp(log_t))
         return float(-np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-12)).mean())
 
-    low, high, part = np.log(0.02), np.log(20.0), (np.sqrt(5) - 1) / 2
+    (low, high), part = np.log(TEMPERATURES), (np.sqrt(5) - 1) / 2
     for _ in range(60):
         a, b = high - part * (high - low), low + part * (high - low)
         low, high = (low, b) if loss(a) <= loss(b) else (a, high)
     return float(np.exp((low + high) / 2))
 
 
+def cut_out(text: str, n: int) -> str:
+    """A short piece of a text from a place that follows from the text, and its length from ``n``; around a letter if there is any."""
+    size = CUT_OUT[n % len(CUT_OUT)]
+    at = zlib.crc32(text.encode("utf-8", "replace")) % max(1, len(text) - size + 1)
+    if not has_letter(text[at:at + size]):
+        at = next((k for k, c in enumerate(text) if c.isalpha()), 0)
+    return text[at:at + size]
+
+
 def fit_language(jobs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Learns from postings outside the held-out fold that have a language and a letter in their text."""
     learn = bound_batches(jobs).filter(F.col("language").isNotNull() & F.col("description_raw").rlike(r"\p{L}") & ~held_out(F.col("id"))).select("id", "language", "description_raw")
@@ -152,15 +165,21 @@ def fit_language(jobs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageM
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [features(t) for t in batch.column("description_raw").to_pylist()]
-            lists = [pa.array([c[k] for c in cells], kind) for k, kind in ((0, pa.list_(pa.int64())), (1, pa.list_(pa.float64())))]
-            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("language"), *lists], ["place", "language", "bins", "tf"])
-
-    found = drawn.select(place.alias("place"), "language", "description_raw").mapInArrow(sample, "place long, language string, bins array<long>, tf array<double>").toPandas()
+            texts, places = batch.column("description_raw").to_pylist(), batch.column("place").to_pylist()
+            cells = [(*features(t), *features(cut_out(t, p))) for t, p in zip(texts, places)]
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.float64())) * 2
+            lists = [pa.array([c[k] for c in cells], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("language"), *lists], ["place", "language", "bins", "tf", "cut_bins", "cut_tf"])
+
+    schema = "place long, language string, bins array<long>, tf array<double>, cut_bins array<long>, cut_tf array<double>"
+    found = drawn.select(place.alias("place"), "language", "description_raw").mapInArrow(sample, schema).toPandas()
     found = found.assign(size=found["bins"].map(len)).sort_values(["place", "language", "size"], kind="stable").groupby("language", sort=True).head(per_language)
-    rows = [(np.asarray(b, np.int64), normed(np.asarray(t) * idf[np.asarray(b, np.int64)]), languages.index(name)) for b, t, name in zip(found["bins"], found["tf"], found["language"])]
-    kept = [k % 5 == 4 for k in range(len(rows))]
-    train, check = [r for r, k in zip(rows, kept) if not k], [r for r, k in zip(rows, kept) if k]
+
+    def weighted(bins: str, tf: str) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        return [(np.asarray(b, np.int64), normed(np.asarray(t) * idf[np.asarray(b, np.int64)]), languages.index(name)) for b, t, name in zip(found[bins], found[tf], found["language"])]
+
+    train = [r for k, r in enumerate(weighted("bins", "tf")) if k % 5 != 4]
+    check = [r for k, r in enumerate(weighted("cut_bins", "cut_tf")) if k % 5 == 4 and len(r[0])]
     weights, bias = train_ftrl(train, len(languages))
     logits = np.array([x @ weights[bins] + bias for bins, x, _ in check]).reshape(-1, len(languages))
     return LanguageModel(languages, idf, weights, bias, fit_temperature(logits, np.array([label for *_, label in check], int)))

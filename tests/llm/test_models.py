@@ -1,3 +1,5 @@
+import dataclasses
+import math
 import random
 import re
 import zlib
@@ -5,9 +7,9 @@ import zlib
 import numpy as np
 import pytest
 from jobstrata.llm import boost
-from jobstrata.llm.language_id import features, fit_temperature, has_letter, identify, train_ftrl
+from jobstrata.llm.language_id import TEMPERATURES, cut_out, features, fit_language, fit_temperature, has_letter, identify, train_ftrl
 from jobstrata.llm.personal_data import KINDS, candidates, find_personal_data, luhn, redact, rewrite, rewritten, rule_spans
-from jobstrata.llm.quality_classifier import STATISTICS, fit_rules, keep_good, lasso_logistic, score_quality, statistics
+from jobstrata.llm.quality_classifier import STATISTICS, fit_rules, keep_good, held_out, lasso_logistic, score_quality, statistics
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, postings, rows
@@ -78,6 +80,35 @@ def test_languages_of_held_out_postings(corpus):
     assert found.filter("score < 0 or score > 1").count() == 0
 
 
+def test_scores_of_short_texts_are_calibrated(corpus):
+    """On cut-outs of held-out postings the fitted temperature loses less than none, and lies within its bounds."""
+    model = fit_language(corpus)
+    assert TEMPERATURES[0] * 1.05 < model.temperature < TEMPERATURES[1] * 0.95
+    held = corpus.filter(held_out(F.col("id")) & F.col("language").isNotNull() & (F.length("description_raw") > 60)).select("id", "language", "description_raw").collect()
+    loss = {}
+    for t in (model.temperature, 1.0, 0.02):
+        tried = dataclasses.replace(model, temperature=t)
+        p = [(tried.predict(piece), r.language) for r in held for n in range(4) for piece in [cut_out(r.description_raw, n)] if has_letter(piece)]
+        loss[t] = -np.mean([np.log(max(1e-12, s if name == right else (1 - s) / (len(model.languages) - 1))) for (name, s), right in p])
+    assert loss[model.temperature] <= min(loss.values()) + 1e-9, loss
+
+
+def test_predictions_equal_plain_ones(corpus):
+    """The scoring again, from the fitted weights and a dictionary of n-grams per text."""
+    model = fit_language(corpus)
+    for r in corpus.limit(40).collect():
+        bins, tf = features(r.description_raw or "")
+        logits = list(model.bias)
+        norm = sum((t * model.idf[b]) ** 2 for b, t in zip(bins, tf)) ** 0.5
+        for b, t in zip(bins, tf):
+            for c in range(len(logits)):
+                logits[c] += t * model.idf[b] / norm * model.weights[b, c]
+        if has_letter(r.description_raw or ""):
+            e = [math.exp((z - max(logits)) / model.temperature) for z in logits]
+            name, score = model.predict(r.description_raw)
+            assert name == model.languages[int(np.argmax(logits))] and score == pytest.approx(max(e) / sum(e))
+
+
 def test_languages_of_odd_rows(spark):
     jobs = postings(
         spark, *[(k, f"the cat and the dog {k}", "en") for k in range(40)], *[(100 + k, f"der Hund und die Katze {k}", "de") for k in range(40)],
