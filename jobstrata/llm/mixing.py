@@ -23,7 +23,8 @@ from jobstrata.operators.scans import global_order
 
 #: Keys and bits are worked out modulo this prime, so that products fit 64 bits; fixed multipliers per use.
 PRIME = 2**31 - 1
-MULTIPLIERS = (1103515245, 1566083941, 1664525, 22695477, 69069)
+MULTIPLIERS = (1103515245, 1566083941, 1664525, 22695477)
+INNER = 1_000_003
 ROUNDS = 16
 SLOTS_PER_STEP = 4096
 
@@ -46,24 +47,37 @@ def _div(a: Column, b: Column | int) -> Column:
 
 def _key(use: int, turn: Column, shift: Column) -> Column:
     """1 .. PRIME - 1, by round and shift."""
-    return (turn * MULTIPLIERS[use] + (shift % PRIME) * MULTIPLIERS[(use + 1) % 5] + 7919 * (use + 1)) % (PRIME - 1) + 1
+    return (turn * MULTIPLIERS[use] + (shift % PRIME) * MULTIPLIERS[(use + 1) % 4] + 7919 * (use + 1)) % (PRIME - 1) + 1
 
 
-def permuted(index: Column, size: Column, shift: Column) -> Column:
-    """A bijection of 0 .. size - 1, another one for each ``shift`` (not negative)."""
+def round_keys(size: Column, shift: Column) -> Column:
+    """The keys of all rounds: centre, and factor and offset of the bit. Worked out once for many indices."""
     size, shift = size.cast("long"), shift.cast("long")
 
-    def round_(at: Column, turn: Column) -> Column:
-        # A key below the size, also where that has more than 31 bits.
+    def keys(turn: Column) -> Column:
+        # The centre is below the size, also where that has more than 31 bits.
         centre = (_key(0, turn, shift) * _key(1, turn, shift)) % size
-        mirror = (centre - at + size) % size
-        pair = F.greatest(at, mirror)
-        low, high = pair % PRIME, _div(pair, PRIME)
-        bits = (((low * _key(2, turn, shift) + high + _key(3, turn, shift)) % PRIME) * ((low * _key(4, turn, shift) + turn) % PRIME)) % PRIME
+        return F.struct(centre.alias("centre"), _key(2, turn, shift).alias("factor"), _key(3, turn, shift).alias("offset"))
+
+    return F.transform(F.sequence(F.lit(1).cast("long"), F.lit(ROUNDS).cast("long")), keys)
+
+
+def swapped(index: Column, size: Column, keys: Column) -> Column:
+    """A bijection of 0 .. size - 1, given its round keys."""
+    size = size.cast("long")
+
+    def round_(at: Column, key: Column) -> Column:
+        mirror = (key["centre"] - at + size) % size
+        # Two moduli: a single one would leave the bits of neighbouring pairs too regular.
+        bits = ((F.greatest(at, mirror) % PRIME * key["factor"] + key["offset"]) % PRIME % INNER * key["factor"] + key["offset"]) % PRIME
         return F.when(_div(bits, 256) % 2 == 1, mirror).otherwise(at)
 
-    rounds = F.sequence(F.lit(1).cast("long"), F.lit(ROUNDS).cast("long"))
-    return F.aggregate(rounds, index.cast("long"), round_)
+    return F.aggregate(keys, index.cast("long"), round_)
+
+
+def permuted(index: Column, size: Column, shift: Column) -> Column:
+    """A bijection of 0 .. size - 1, another one for each ``shift`` (not negative)."""
+    return swapped(index, size, round_keys(size, shift))
 
 
 def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -132,18 +146,21 @@ def slots(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
     earlier = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     placed = sources.withColumns({"_first": F.coalesce(F.sum("draws").over(earlier), F.lit(0)), "_slots": F.sum("draws").over(Window.partitionBy(F.lit(0)))})
     # A hot source has most of the slots: its steps, not the source, are dealt over the tasks before they are numbered.
-    step = F.lit(SLOTS_PER_STEP)
-    steps = placed.filter("draws > 0").withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("draws") - 1, step))))
-    at = F.explode(F.sequence(F.col("_step") * step, F.least((F.col("_step") + 1) * step, F.col("draws")) - 1))
+    # A step lies within one pass, so its slots share their round keys.
+    step, zero = F.lit(SLOTS_PER_STEP), F.lit(0).cast("long")
+    passes = placed.filter("draws > 0").withColumn("pass", F.explode(F.sequence(zero, _div(F.col("draws") - 1, F.col("blocks")))))
+    passes = passes.withColumn("_in_pass", F.least(F.col("blocks"), F.col("draws") - F.col("pass") * F.col("blocks")))
+    steps = passes.withColumn("_step", F.explode(F.sequence(zero, _div(F.col("_in_pass") - 1, step))))
     # A row stands for thousands of slots, so the number of tasks is stated: by size they would be merged into one.
     tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = steps.repartition(tasks, F.col("source"), F.col("_step")).withColumn("_at", at)
-    turn = F.call_function("div", F.col("_at"), F.col("blocks"))
-    shift = mix.seed + 104729 * F.col("place") + 15485863 * turn
-    slot = permuted(F.col("_first") + F.col("_at"), F.col("_slots"), F.lit(mix.seed))
+    keyed = steps.repartition(tasks, "source", "pass", "_step").withColumns({
+        "_block_keys": round_keys(F.col("blocks"), mix.seed + 104729 * F.col("place").cast("long") + 15485863 * F.col("pass")),
+        "_slot_keys": round_keys(F.col("_slots"), F.lit(mix.seed)),
+    })
+    drawn = keyed.withColumn("_at", F.explode(F.sequence(F.col("_step") * step, F.least((F.col("_step") + 1) * step, F.col("_in_pass")) - 1)))
+    slot = swapped(F.col("_first") + F.col("pass") * F.col("blocks") + F.col("_at"), F.col("_slots"), F.col("_slot_keys"))
     return drawn.select(
-        F.call_function("div", slot, F.lit(mix.shard_slots)).alias("shard"), slot.alias("slot"), "source", turn.alias("pass"),
-        permuted(F.col("_at") % F.col("blocks"), F.col("blocks"), shift).alias("block"),
+        _div(slot, mix.shard_slots).alias("shard"), slot.alias("slot"), "source", "pass", swapped(F.col("_at"), F.col("blocks"), F.col("_block_keys")).alias("block"),
     )
 
 

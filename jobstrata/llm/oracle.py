@@ -1,6 +1,6 @@
 """DuckDB twins of the corpus queries that SQL can express."""
 
-from jobstrata.llm.mixing import MULTIPLIERS, PRIME, ROUNDS
+from jobstrata.llm.mixing import INNER, MULTIPLIERS, PRIME, ROUNDS
 
 _WS = r"[^\x20\x09-\x0D]"
 
@@ -96,7 +96,7 @@ FROM docs LEFT JOIN hit_words h USING (r) LEFT JOIN hit_items t USING (r)
 
 
 def _key(use: int, turn: int, shift: str) -> str:
-    return f"(({turn * MULTIPLIERS[use]} + ({shift} % {PRIME}) * {MULTIPLIERS[(use + 1) % 5]} + {7919 * (use + 1)}) % {PRIME - 1} + 1)"
+    return f"(({turn * MULTIPLIERS[use]} + ({shift} % {PRIME}) * {MULTIPLIERS[(use + 1) % 4]} + {7919 * (use + 1)}) % {PRIME - 1} + 1)"
 
 
 def _permuted(rows: str, keep: str, size: str, shift: str) -> str:
@@ -105,7 +105,8 @@ def _permuted(rows: str, keep: str, size: str, shift: str) -> str:
         centre = f"({_key(0, turn, shift)} * {_key(1, turn, shift)}) % {size}"
         rows = f"SELECT *, ({centre} - pos + {size}) % {size} AS mirror FROM ({rows})"
         rows = f"SELECT *, greatest(pos, mirror) AS pair FROM ({rows})"
-        bits = f"(((pair % {PRIME} * {_key(2, turn, shift)} + pair // {PRIME} + {_key(3, turn, shift)}) % {PRIME}) * ((pair % {PRIME} * {_key(4, turn, shift)} + {turn}) % {PRIME})) % {PRIME}"
+        factor, offset = _key(2, turn, shift), _key(3, turn, shift)
+        bits = f"((pair % {PRIME} * {factor} + {offset}) % {PRIME} % {INNER} * {factor} + {offset}) % {PRIME}"
         rows = f"SELECT {keep}, CASE WHEN ({bits}) // 256 % 2 = 1 THEN mirror ELSE pos END AS pos FROM ({rows})"
     return rows
 
