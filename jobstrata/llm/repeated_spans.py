@@ -3,7 +3,7 @@ starts earlier (in a posting with a smaller id, or further up in the same one).
 
 Suffixes are sorted in buckets that fit a task. The bucket of a string is its minimiser, the GRAM-byte gram with the
 least hash, so equal strings meet and neighbouring strings mostly stay together as one run. Runs equal as a whole are
-settled by 128-bit hashes, the earliest one stands for them; only the runs that share a minimiser but differ are read
+settled by two independently seeded 64-bit hashes, the earliest one stands for them; only the runs that share a minimiser but differ are read
 again and their strings sorted by ``suffix_sort``, with the bytes verified. Equal runs of a batch are reduced before the
 shuffle, and a minimiser with more than HOT different runs is dealt out string by string, where a batch likewise sends each
 different string once.
@@ -28,7 +28,7 @@ HOT = 2000
 _SPAN = LENGTH - GRAM + 1
 _CHUNK = 1 << 20  # positions within a chunk must fit 20 bits
 _PLACE = np.uint64(_CHUNK - 1)
-_HASH = PolyHash(21)
+_HASH, _CHECK = PolyHash(21), PolyHash(22)
 _STEPS, _OPEN_STEPS = 8, 2  # buckets of runs, and of open runs, per shuffle partition
 _BATCH = 8 << 20  # bytes of text whose equal runs are reduced together
 _STRINGS = 200_000  # strings sorted together, or more if one minimiser has more
@@ -44,10 +44,10 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of strings with one minimiser occurrence, in texts that end at ``ends``: minimiser hash, run hash, start, strings."""
-    empty = np.empty(0, np.int64)
+    """Runs of strings with one minimiser occurrence, in texts that end at ``ends``: minimiser hash, two run hashes, start, strings."""
+    empty, none = np.empty(0, np.int64), np.empty(0, np.uint64)
     if len(data) < LENGTH:
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
+        return none, none, none, empty, empty
     sums = _HASH.prefix(data)
     first = np.arange(len(data) - GRAM + 1)
     grams = mix(_HASH.stretch(sums, first, first + GRAM))
@@ -63,8 +63,8 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     anchor = least[start]
     with np.errstate(over="ignore"):
         shape = ((anchor - start).astype(np.uint64) << np.uint64(20)) | strings.astype(np.uint64)
-        whole = mix(_HASH.stretch(sums, start, start + strings + LENGTH - 1) + mix(shape))
-    return grams[anchor], whole, start, strings
+        whole, check = (mix(h.stretch(through, start, start + strings + LENGTH - 1) + mix(shape)) for h, through in ((_HASH, sums), (_CHECK, _CHECK.prefix(data))))
+    return grams[anchor], whole, check, start, strings
 
 
 def _order(ids: pa.Array, twins: np.ndarray) -> np.ndarray:
@@ -77,10 +77,15 @@ def _order(ids: pa.Array, twins: np.ndarray) -> np.ndarray:
     return out
 
 
-def _later(m: np.ndarray, r: np.ndarray, order: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order by (m, r, posting, start), and along it, whether an equal run stands elsewhere before."""
-    by = np.lexsort((start, order, r, m))
-    new = np.concatenate([[True], (m[by][1:] != m[by][:-1]) | (r[by][1:] != r[by][:-1])]) if len(by) else np.empty(0, bool)
+def _changes(by: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Along an order, where any of the keys differs from the one before."""
+    return np.concatenate([[True], np.any([k[by][1:] != k[by][:-1] for k in keys], axis=0)]) if len(by) else np.empty(0, bool)
+
+
+def _later(m: np.ndarray, r: np.ndarray, q: np.ndarray, order: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted order by (m, r, q, posting, start), and along it, whether an equal run stands elsewhere before."""
+    by = np.lexsort((start, order, q, r, m))
+    new = _changes(by, m, r, q)
     head = by[np.flatnonzero(new)][np.cumsum(new) - 1] if len(by) else by
     return by, (order[by] != order[head]) | (start[by] != start[head])
 
@@ -106,12 +111,12 @@ def find_runs(jobs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _slices(whole)):
-            found: list[list[np.ndarray]] = [[], [], [], [], []]
+            found: list[list[np.ndarray]] = [[], [], [], [], [], []]
 
             def add(row: np.ndarray, shift: int, parts: tuple[np.ndarray, ...], begins: np.ndarray) -> None:
-                m, r, start, strings = parts
+                m, r, q, start, strings = parts
                 which = np.searchsorted(begins, start, side="right") - 1
-                for into, values in zip(found, (m, r, row[which], start - begins[which] + shift, strings)):
+                for into, values in zip(found, (m, r, q, row[which], start - begins[which] + shift, strings)):
                     into.append(values)
 
             rows, group, size = [], [], 0
@@ -136,9 +141,9 @@ def find_runs(jobs: DataFrame, buckets: int) -> DataFrame:
                 size += n
             if not found[0]:
                 continue
-            m, r, row, start, strings = (np.concatenate(f) for f in found)
+            m, r, q, row, start, strings = (np.concatenate(f) for f in found)
             twins = batch.column("twin").to_numpy()
-            by, later = _later(m, r, _order(batch.column("id"), twins)[row], start)
+            by, later = _later(m, r, q, _order(batch.column("id"), twins)[row], start)
             settled = np.zeros(len(m), bool)
             settled[by] = later
             bucket = np.where(settled, mix(row.astype(np.uint64)), m) % np.uint64(buckets)
@@ -149,12 +154,12 @@ def find_runs(jobs: DataFrame, buckets: int) -> DataFrame:
                 part = cuts[a:a + 257]
                 own = by[part[0]:part[-1]]
                 values = [
-                    pa.array(m[own].view(np.int64)), pa.array(r[own].view(np.int64)), batch.column("id").take(pa.array(row[own])), pa.array(twins[row[own]]),
+                    *[pa.array(h[own].view(np.int64)) for h in (m, r, q)], batch.column("id").take(pa.array(row[own])), pa.array(twins[row[own]]),
                     pa.array(start[own], pa.int64()), pa.array(strings[own].astype(np.int32)),
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[part[:-1]]), pa.array(settled[part[:-1]]), *_lists(values, part - part[0])], ["bucket", "settled", "m", "r", "id", "twin", "start", "strings"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[part[:-1]]), pa.array(settled[part[:-1]]), *_lists(values, part - part[0])], ["bucket", "settled", "m", "r", "q", "id", "twin", "start", "strings"])
 
-    return jobs.mapInArrow(run, f"bucket long, settled boolean, m array<long>, r array<long>, id array<{kind}>, twin array<long>, start array<long>, strings array<int>")
+    return jobs.mapInArrow(run, f"bucket long, settled boolean, m array<long>, r array<long>, q array<long>, id array<{kind}>, twin array<long>, start array<long>, strings array<int>")
 
 
 def settle(found: DataFrame, kind: str, hot_runs: int = HOT) -> DataFrame:
@@ -163,16 +168,15 @@ def settle(found: DataFrame, kind: str, hot_runs: int = HOT) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         def flat(rows: pa.Table) -> list[pa.Array]:
-            return [rows.column(c).combine_chunks().flatten() for c in ("m", "r", "id", "twin", "start", "strings")]
+            return [rows.column(c).combine_chunks().flatten() for c in ("m", "r", "q", "id", "twin", "start", "strings")]
 
         settled = table.column("settled").combine_chunks()
-        m, r, ids, twins, start, strings = flat(table.filter(pc.invert(settled)))
-        key, whole = m.to_numpy(zero_copy_only=False), r.to_numpy(zero_copy_only=False)
-        by, later = _later(key, whole, _order(ids, twins.to_numpy(zero_copy_only=False)), start.to_numpy(zero_copy_only=False))
+        m, r, q, ids, twins, start, strings = flat(table.filter(pc.invert(settled)))
+        key, whole, check = (h.to_numpy(zero_copy_only=False) for h in (m, r, q))
+        by, later = _later(key, whole, check, _order(ids, twins.to_numpy(zero_copy_only=False)), start.to_numpy(zero_copy_only=False))
         first = by[~later]
-        # Of the first ones, one per (m, r): equal rows of one posting may repeat.
-        new = np.concatenate([[True], (key[first][1:] != key[first][:-1]) | (whole[first][1:] != whole[first][:-1])]) if len(first) else np.empty(0, bool)
-        first = first[new]
+        # Of the first ones, one per run: equal rows of one posting may repeat.
+        first = first[_changes(first, key, whole, check)]
         begin = np.searchsorted(key[first], key[first], side="left")
         rivals = np.searchsorted(key[first], key[first], side="right") - begin
         open_ = first[rivals > 1]
@@ -180,7 +184,7 @@ def settle(found: DataFrame, kind: str, hot_runs: int = HOT) -> DataFrame:
         n_later = int(later.sum())
         anchors = pa.concat_arrays([pa.nulls(n_later, pa.int64()), m.take(pa.array(open_))])
         hot = np.concatenate([np.zeros(n_later, bool), rivals[rivals > 1] > hot_runs])
-        _, _, ids2, twins2, start2, strings2 = flat(table.filter(settled))
+        _, _, _, ids2, twins2, start2, strings2 = flat(table.filter(settled))
         n2 = len(ids2)
         return pa.table({
             "id": pa.concat_arrays([ids.take(pick), ids2]), "twin": pa.concat_arrays([twins.take(pick), twins2]), "start": pa.concat_arrays([start.take(pick), start2]),

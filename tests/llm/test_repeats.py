@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 from jobstrata.llm import repeated_spans
-from jobstrata.llm.repeated_spans import LENGTH, remove_repeats, runs
+from jobstrata.llm.repeated_spans import _later, LENGTH, remove_repeats, runs
 from jobstrata.llm.suffix_sort import Suffixes, classes
 
 from tests.llm.helpers import documents, postings
@@ -82,7 +82,7 @@ def test_repeated_rows_count_once_and_string_ids_work(spark):
 
 def test_very_long_text_is_cut_into_pieces():
     data = np.random.default_rng(1).integers(0, 256, 3000).astype(np.uint8)
-    m, r, start, strings = runs(data, np.array([1000, 3000]))
+    m, r, q, start, strings = runs(data, np.array([1000, 3000]))
     covered = np.concatenate([np.arange(a, a + n) for a, n in zip(start, strings)])
     assert covered.tolist() == [*range(901), *range(1000, 2901)]
 
@@ -125,3 +125,9 @@ def test_false_hash_equality_is_caught(monkeypatch):
     data = np.frombuffer(b"dcba" * 5, np.uint8)
     order, _ = classes(data, np.arange(8), np.ones(8, int), 4)
     assert len(tried) == 2 and [bytes(data[k:k + 4]) for k in order] == sorted(bytes(data[k:k + 4]) for k in range(8))
+
+
+def test_runs_are_equal_only_if_both_hashes_agree():
+    m, r, q = (np.array(v, np.uint64) for v in ([5, 5, 5, 5], [1, 1, 1, 1], [7, 7, 8, 8]))
+    by, later = _later(m, r, q, np.array([1, 2, 3, 3]), np.array([0, 0, 0, 0]))
+    assert dict(zip(by.tolist(), later.tolist())) == {0: False, 1: True, 2: False, 3: False}  # the last two are one row, repeated
