@@ -18,9 +18,9 @@ from jobstrata.plans.watch_plans import _BOTH, _MSCORE, _SAME, _TOP
 from jobstrata.session import shared_root
 from jobstrata.sources import receipts, repo_files, snapshot
 from jobstrata.sources.bootstrap import bootstrap
-from jobstrata.sources.state import StateStore
+from jobstrata.sources.state import BUCKETS, StateStore, bucket_of
 from jobstrata.streaming.change_stream import start_changes
-from jobstrata.streaming.ingest_stream import start_ingest
+from jobstrata.streaming.ingest_stream import apply_pages, start_ingest
 from jobstrata.streaming.lifecycle_stream import SPANS, start_lifecycle
 from jobstrata.streaming.watch_stream import start_matching
 
@@ -104,6 +104,22 @@ def stream_changes(spark, sf_dir):
     )
 
 
+@query("state_buckets", f"{_LISTED}, {_AFTER}, shown AS (SELECT {_ROW} FROM after) SELECT * EXCLUDE (salary_min, salary_max, salary_currency) FROM shown")
+def state_buckets(spark, sf_dir):
+    """A crawl applied in two steps, half of the companies each, to an index kept in buckets: each step replaces the buckets it touches."""
+    root = shared_root(spark)
+    store = StateStore(spark, f"{root}/state")
+    never = F.lit(None).cast("timestamp")
+    store.write(
+        {"companies": X.companies(spark, sf_dir).withColumn("last_crawled_at", never)}, buckets={"jobs": (X.state(spark, sf_dir), list(range(BUCKETS)))}
+    )
+    X.landing(spark, sf_dir).write.parquet(f"{root}/made")
+    pages = spark.read.schema(schemas.LANDING).parquet(f"{root}/made")
+    for half in (0, 1):
+        apply_pages(store, pages.filter(bucket_of(F.col("company_id")) % 2 == half), f"half-{half}")
+    return _row(store.read("jobs", schemas.JOBS)).drop(*_PAY)
+
+
 _BOOT = f"""{_LISTED}, facts AS ({facts_sql('feed')}), boot AS (
   SELECT f.*, x.f_skills AS b_skills, x.f_remote AS b_remote FROM feed f JOIN facts x USING (id))"""
 
