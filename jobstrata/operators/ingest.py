@@ -240,7 +240,8 @@ def copy_transitions(feed: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def ingest_stats(jobs: DataFrame, feed: DataFrame, crawls: DataFrame) -> DataFrame:
-    """The counters of one crawl in one row; every feed copy of an id counts."""
+    """The counters of one crawl in one row; every feed copy of an id counts. The failed tenants, whose number grows with the
+    crawl, are rows of :func:`failed_tenants` instead of a list here."""
     accepted = accepted_feed(feed, crawls)
     classes = change_classes(jobs, feed, crawls)
     counted = classes.join(copy_transitions(accepted, classes), "id", "left").select(
